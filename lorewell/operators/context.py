@@ -5,7 +5,7 @@ All windows partition by ``query_id`` after top-k, so a group has at most ``k``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import (
@@ -137,6 +137,34 @@ def history_lists(messages: DataFrame, limit: int = HISTORY_MESSAGES) -> DataFra
     )
 
 
+def history_before(messages: DataFrame, bucket: Column | str, limit: int = HISTORY_MESSAGES) -> DataFrame:
+    """For every message, the spoken ones among the ``limit`` messages before it in its session.
+
+    Frames are at most ``limit`` rows. ``bucket`` (not decreasing with time) cuts
+    a long session: each bucket hands its newest messages on, so a session is
+    spread over its buckets.
+    """
+    part = ["session_id", "_bucket"]
+    entry = F.struct("created_at", "position", "role", "content")
+    staged = messages.withColumn("_bucket", F.col(bucket) if isinstance(bucket, str) else bucket)
+    ends = (
+        top_per_key(staged, part, [F.desc("created_at"), F.desc("position")], limit, "_n")
+        .groupBy(*part).agg(F.sort_array(F.collect_list(entry)).alias("_end"))
+    )
+    # every bucket holds a message, so `limit` buckets back hold enough
+    back = Window.partitionBy("session_id").orderBy("_bucket").rowsBetween(-limit, -1)
+    newest = lambda items: F.slice(items, F.greatest(F.size(items) - limit + 1, F.lit(1)), limit)
+    handed = ends.select(*part, newest(F.flatten(F.collect_list("_end").over(back))).alias("_handed"))
+    inside = Window.partitionBy(*part).orderBy("created_at", "position").rowsBetween(-limit, -1)
+    seen = F.concat("_handed", F.collect_list(entry).over(inside))
+    spoken = F.filter(newest(seen), lambda m: m["role"].isin("user", "assistant"))
+    return (
+        staged.join(handed, part)
+        .withColumn("history", F.transform(spoken, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))))
+        .select(*messages.columns, "history")
+    )
+
+
 def messages_with_citations(messages: DataFrame, cited: DataFrame, key: str = "message_id") -> DataFrame:
     """Messages with their ordered citations; none gives an empty list. A message cites at most ``k`` chunks."""
     fields = ["source_no", "doc_id", "chunk_id", "document_name", "page_number", "section", "similarity_score", "excerpt"]
