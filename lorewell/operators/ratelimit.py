@@ -8,33 +8,87 @@ is cut into time slices instead of being gathered:
    length in milliseconds whatever the traffic;
 2. each slice is summarised independently as a step function: window end carried
    in -> window end carried out;
-3. the summaries of a key are composed in time order (one short row per slice);
+3. the summaries of a key are composed in time order, as a stream that holds one
+   number per key;
 4. each slice, now knowing what it inherits, lists its windows independently.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_MS = 600_000
+_NOTHING_CARRIED = -(2 ** 62)
 
 
-def _chain(times: np.ndarray, window: int) -> np.ndarray:
+def _following(times: np.ndarray, window: int) -> np.ndarray:
     """For each request, the index of the first request after a window opened by it."""
     return np.searchsorted(times, times + window, side="left")
 
 
-def _exits(times: np.ndarray, window: int) -> np.ndarray:
-    """End of the last window in the slice when the chain starts at each request."""
-    following = _chain(times, window)
-    out = times + window
+def _steps(times: np.ndarray, window: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(upto, leave)``: a window end carried in up to ``upto[i]`` leaves the slice as ``leave[i]``."""
+    following = _following(times, window)
+    leave = times + window
     for i in range(len(times) - 1, -1, -1):
         if following[i] < len(times):
-            out[i] = out[following[i]]
-    return out
+            leave[i] = leave[following[i]]
+    # a carried end lies at most one window into the slice
+    reach = int(np.searchsorted(times, start + window, side="left")) + 1
+    upto, leave = times[:reach], leave[:reach]
+    changes = np.append(leave[1:] != leave[:-1], True)
+    return upto[changes], leave[changes]
+
+
+def _windows(times: np.ndarray, counts: np.ndarray, window: int, carried: int):
+    """``(start, requests)`` of the part of every window inside this slice."""
+    total = np.concatenate([[0], np.cumsum(counts)])
+    following = _following(times, window)
+    at = int(np.searchsorted(times, carried, side="left"))
+    if at:  # these belong to the window carried in
+        yield carried - window, int(total[at])
+    while at < len(times):
+        yield int(times[at]), int(total[following[at]] - total[at])
+        at = int(following[at])
+
+
+def _runs(batches, n_keys: int):
+    """Consecutive rows with equal leading columns, as ``(key, numpy columns)``; a run may span batches."""
+    key, held = None, []
+    for batch in batches:
+        heads = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys))))
+        tails = [c.to_numpy(zero_copy_only=False) for c in batch.columns[n_keys:]]
+        start = 0
+        for stop in range(1, len(heads) + 1):
+            if stop < len(heads) and heads[stop] == heads[start]:
+                continue
+            if held and heads[start] != key:
+                yield key, [np.concatenate(c) for c in zip(*held)]
+                held = []
+            key = heads[start]
+            held.append([t[start:stop] for t in tails])
+            start = stop
+    if held:
+        yield key, [np.concatenate(c) for c in zip(*held)]
+
+
+def _emit(rows, schema: pa.Schema, size: int = 8192):
+    out = []
+    for row in rows:
+        out.append(row)
+        if len(out) >= size:
+            yield _batch(out, schema)
+            out = []
+    if out:
+        yield _batch(out, schema)
+
+
+def _batch(rows, schema):
+    return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def anchored_windows(
@@ -44,63 +98,59 @@ def anchored_windows(
     if slice_ms < window_ms:
         raise ValueError("a slice must be at least as long as a window")
     stamp = F.col(ts) if isinstance(ts, str) else ts
+    kind = requests.schema[key].dataType
+    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    slice_key = [T.StructField("key", kind), T.StructField("slice", T.LongType())]
     counted = (
         requests.select(F.col(key).alias("key"), F.unix_millis(stamp.cast("timestamp")).alias("ms"))
         .groupBy("key", "ms").agg(F.count("*").alias("n"))
-        .withColumn("slice", F.floor(F.col("ms") / slice_ms).cast("long"))
-    )
-    kind = requests.schema[key].dataType.simpleString()
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["ms"].to_numpy())
-        exits = _exits(times, window_ms)
-        # only requests a carried window can reach decide the entry; merge equal steps
-        reach = np.searchsorted(times, times[0] + window_ms, side="right") + 1
-        entry, leave = times[:reach], exits[:reach]
-        base = int(pdf["slice"].iloc[0]) * slice_ms
-        # a carried end lies at most one window into the slice
-        last = np.searchsorted(times, base + window_ms, side="left") + 1
-        entry, leave = times[:max(last, 1)], exits[:max(last, 1)]
-        step = np.append(leave[1:] != leave[:-1], True)
-        return pd.DataFrame({
-            "key": pdf["key"].iloc[0], "slice": pdf["slice"].iloc[0],
-            "upto": [entry[step].tolist()], "leave": [leave[step].tolist()],
-        })
-
-    slices = counted.groupBy("key", "slice").applyInPandas(
-        summarise, f"key {kind}, slice long, upto array<long>, leave array<long>"
+        .select("key", F.floor(F.col("ms") / slice_ms).cast("long").alias("slice"), "ms", "n")
     )
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        carried, inherited = -(2 ** 62), []
-        pdf = pdf.sort_values("slice")
-        for upto, leave in zip(pdf["upto"], pdf["leave"]):
-            inherited.append(carried)
-            at = int(np.searchsorted(upto, carried, side="left"))
-            if at < len(upto):
-                carried = int(leave[at])
-        return pd.DataFrame({"key": pdf["key"], "slice": pdf["slice"], "carried": inherited})
-
-    carries = slices.groupBy("key").applyInPandas(compose, f"key {kind}, slice long, carried long")
-
-    def windows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ms")
-        times, counts = pdf["ms"].to_numpy(), pdf["n"].to_numpy()
-        total = np.concatenate([[0], np.cumsum(counts)])
-        following = _chain(times, window_ms)
-        carried = int(pdf["carried"].iloc[0])
-        at = int(np.searchsorted(times, carried, side="left"))
-        # requests before `at` belong to the window carried in
-        rows = [(carried - window_ms, int(total[at]))] if at else []
-        while at < len(times):
-            rows.append((int(times[at]), int(total[following[at]] - total[at])))
-            at = int(following[at])
-        return pd.DataFrame({
-            "key": pdf["key"].iloc[0], "start": [r[0] for r in rows], "n": [r[1] for r in rows],
-        })
-
-    pieces = counted.join(carries, ["key", "slice"]).groupBy("key", "slice").applyInPandas(
-        windows, f"key {kind}, start long, n long"
+    def summarise(batches):
+        schema = pa.schema([("key", arrow_kind), ("slice", pa.int64()), ("upto", pa.list_(pa.int64())), ("leave", pa.list_(pa.int64()))])
+        found = (
+            (*k, upto.tolist(), leave.tolist())
+            for k, (ms,) in _runs(batches, 2) for upto, leave in [_steps(ms, window_ms, k[1] * slice_ms)]
+        )
+        yield from _emit(found, schema)
+
+    def compose(batches):
+        schema = pa.schema([("key", arrow_kind), ("slice", pa.int64()), ("carried", pa.int64())])
+
+        def walk():
+            current, carried = None, _NOTHING_CARRIED
+            for batch in batches:
+                for k, number, upto, leave in zip(*(c.to_pylist() for c in batch.columns)):
+                    if k != current:
+                        current, carried = k, _NOTHING_CARRIED
+                    yield k, number, carried
+                    at = int(np.searchsorted(upto, carried, side="left"))
+                    if at < len(upto):
+                        carried = leave[at]
+
+        yield from _emit(walk(), schema)
+
+    def list_windows(batches):
+        schema = pa.schema([("key", arrow_kind), ("start", pa.int64()), ("n", pa.int64())])
+        found = (
+            (k[0], start, n)
+            for k, (ms, counts, carried) in _runs(batches, 2)
+            for start, n in _windows(ms, counts, window_ms, int(carried[0]))
+        )
+        yield from _emit(found, schema)
+
+    longs = T.ArrayType(T.LongType())
+    slices = (
+        counted.repartition("key", "slice").sortWithinPartitions("key", "slice", "ms").select("key", "slice", "ms")
+        .mapInArrow(summarise, T.StructType([*slice_key, T.StructField("upto", longs), T.StructField("leave", longs)]))
+    )
+    carries = slices.repartition("key").sortWithinPartitions("key", "slice").mapInArrow(
+        compose, T.StructType([*slice_key, T.StructField("carried", T.LongType())]))
+    pieces = (
+        counted.join(carries, ["key", "slice"]).repartition("key", "slice").sortWithinPartitions("key", "slice", "ms")
+        .select("key", "slice", "ms", "n", "carried")
+        .mapInArrow(list_windows, T.StructType([slice_key[0], T.StructField("start", T.LongType()), T.StructField("n", T.LongType())]))
     )
     # a window reaching into the next slice comes in two pieces
     return pieces.groupBy("key", "start").agg(F.sum("n").alias("n_requests")).select(

@@ -86,7 +86,7 @@ def rate_limit_aligned(spark, sf_dir):
 
 
 def _anchored_sql(key: str, window_ms: int, limit: int) -> str:
-    return f"""WITH RECURSIVE e AS (SELECT {key}, epoch_ms(ts) AS ms FROM events),
+    return f"""WITH RECURSIVE e AS (SELECT {key}, epoch_us(ts) // 1000 AS ms FROM events),
 chain AS (
   SELECT {key}, min(ms) AS ms FROM e GROUP BY {key}
   UNION ALL

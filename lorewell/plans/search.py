@@ -151,7 +151,7 @@ def hash_embed_search(spark, sf_dir):
 
 
 @query(f"""WITH {SQL_CHUNKS}, {sql_encode('chunks', 'chunk_id', 'content', '', 'cv')}
-SELECT chunk_id, count(*) AS n_buckets, round(sum(f), 4) + 0.0 AS total, round(max(f), 6) AS largest FROM cv_floats GROUP BY chunk_id""")
+SELECT chunk_id, count(*) AS n_buckets, round(sum(f), 4) + 0.0 AS total, round(greatest(max(f), 0.0), 6) AS largest FROM cv_floats GROUP BY chunk_id""")
 def encode_chunks(spark, sf_dir):
     """Filled buckets, sum and maximum of every chunk vector."""
     e = F.col("embedding")

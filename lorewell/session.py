@@ -44,6 +44,12 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """Runtime settings for a session that was built elsewhere."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
