@@ -9,7 +9,10 @@ from lorewell.functions import rules
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest of a folder. Content is not selected, so files are listed but not read."""
+    """Manifest of a folder. Content is not selected, so files are listed but not read.
+
+    Spark file scans skip files without a single byte; those have no row here.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return with_file_types(found.select("path", name.alias("name"), "length", "modificationTime"))
