@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def usage_window(usage: DataFrame, as_of: Column, hours: int = 24, ts: str = "cr
 def analytics_summary(
     users: DataFrame, knowledge_bases: DataFrame, documents: DataFrame, sessions: DataFrame, usage: DataFrame, as_of: Column
 ) -> DataFrame:
-    """The one-row dashboard: five aggregate scans joined on a constant."""
+    """The one-row dashboard: five aggregate scans, their single rows laid over each other."""
     parts = [
         users.agg(F.count("*").alias("total_users")),
         knowledge_bases.agg(
@@ -53,12 +55,10 @@ def analytics_summary(
         sessions.agg(F.count("*").alias("total_chat_sessions")),
         usage_window(usage, as_of).withColumnsRenamed({"api_calls": "api_calls_last_24h", "api_errors": "api_errors_last_24h"}),
     ]
-    # every part is an aggregate without keys, one row each
-    out = parts[0].withColumn("_one", F.lit(1))
-    for part in parts[1:]:
-        out = out.join(part.withColumn("_one", F.lit(1)), "_one", "left")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    out = rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns])
     empty = F.create_map().cast("map<string,bigint>")
-    return out.drop("_one").withColumns({
+    return out.withColumns({
         "documents_by_status": F.coalesce("documents_by_status", empty),
         "total_documents": F.coalesce("total_documents", F.lit(0).cast("long")),
     })

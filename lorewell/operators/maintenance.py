@@ -51,8 +51,10 @@ def cascade_delete(tables: dict[str, DataFrame], deleted: dict[str, DataFrame])
     """Surviving rows of every table after deleting ``deleted[table](id)``.
 
     Keys travel down the references table by table; survivors are anti joins, so
-    no row of a large child table is collected for a parent. Folders delete
-    their whole subtree. Audit rows survive with the user cleared.
+    no row of a large child table is collected for a parent. The keys of a table
+    are stored once (checkpoint), as both its survivors and its children need
+    them. Folders delete their whole subtree; audit rows survive with the user
+    cleared.
     """
     gone: dict[str, DataFrame] = {}
     out: dict[str, DataFrame] = {}
@@ -73,7 +75,7 @@ def cascade_delete(tables: dict[str, DataFrame], deleted: dict[str, DataFrame])
             ids = ids.unionByName(more)
         if name == "knowledge_bases" and "parent_folder_id" in df.columns:
             ids = subtree(df, ids, ident, "parent_folder_id")
-        gone[name] = ids.distinct()
+        gone[name] = cut_lineage(ids.distinct())
         out[name] = df.join(gone[name], ident, "left_anti")
     if "audit_logs" in tables:
         out["audit_logs"] = set_null(tables["audit_logs"], "user_id", gone["users"]) if "users" in gone else tables["audit_logs"]

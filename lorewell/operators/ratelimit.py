@@ -32,8 +32,10 @@ def _following(times: np.ndarray, window: int) -> np.ndarray:
 
 def _steps(times: np.ndarray, window: int, start: int) -> tuple[np.ndarray, np.ndarray]:
     """``(upto, leave)``: a window end carried in up to ``upto[i]`` leaves the slice as ``leave[i]``."""
-    following = _following(times, window)
     leave = times + window
+    if len(times) == 1:
+        return times, leave
+    following = _following(times, window)
     for i in range(len(times) - 1, -1, -1):
         if following[i] < len(times):
             leave[i] = leave[following[i]]
@@ -46,6 +48,9 @@ def _steps(times: np.ndarray, window: int, start: int) -> tuple[np.ndarray, np.n
 
 def _windows(times: np.ndarray, counts: np.ndarray, window: int, carried: int):
     """``(start, requests)`` of the part of every window inside this slice."""
+    if len(times) == 1:
+        yield (carried - window if times[0] < carried else int(times[0])), int(counts[0])
+        return
     total = np.concatenate([[0], np.cumsum(counts)])
     following = _following(times, window)
     at = int(np.searchsorted(times, carried, side="left"))

@@ -19,6 +19,7 @@ def retrieve(
     documents: DataFrame,
     top_k: int = TOP_K,
     min_similarity: float = MIN_SIMILARITY,
+    dimension: int | None = None,
 ) -> DataFrame:
     """``hits(query_id, rank, chunk_id, doc_id, document_name, content, page_number, section, similarity)``.
 
@@ -39,7 +40,7 @@ def retrieve(
             searchable = chunks.select(*TENANT, "chunk_id", "doc_id", "embedding", "language", "created_at")
         else:
             searchable = searchable.join(documents.select("doc_id", "language", "created_at"), "doc_id")
-    ranked = top_k_join(asked, searchable, TENANT, top_k, min_similarity, filtered)
+    ranked = top_k_join(asked, searchable, TENANT, top_k, min_similarity, filtered, dimension=dimension)
     shown = chunks.select("chunk_id", "doc_id", "content", "page_number", "section")
     return (
         ranked.join(shown, "chunk_id")

@@ -125,8 +125,8 @@ def _score_blocks(k: int, floor: float, ident_types, filtered: bool):
                 scores = np.round(q @ c.T, SCORE_DIGITS)
                 if filtered:
                     scores = np.where(_allowed(row, len(questions), len(chunks)), scores, -np.inf)
-                for i, question in enumerate(questions):
-                    hit = _best(scores[i], chunks, k, floor)
+                for i in np.flatnonzero(scores.max(axis=1) >= floor):
+                    question, hit = questions[i], _best(scores[i], chunks, k, floor)
                     out_q.extend([question] * len(hit))
                     out_c.extend(chunks[hit].tolist())
                     out_s.extend(scores[i][hit].tolist())
@@ -168,6 +168,7 @@ def top_k_join(
     min_similarity: float,
     filtered: bool = False,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
+    dimension: int | None = None,
     final: bool = True,
 ) -> DataFrame:
     """Best ``k`` chunks per question among chunks with equal ``keys``.
@@ -175,7 +176,8 @@ def top_k_join(
     ``questions(keys, query_id, qvec)`` and ``chunks(keys, chunk_id, embedding)``.
     With ``filtered`` questions also carry ``doc_ids, language, uploaded_after,
     uploaded_before`` and chunks ``doc_id, language, created_at``; an absent or
-    empty filter admits everything.
+    empty filter admits everything. With ``dimension`` given, the size check
+    counts rows without computing the question vectors.
     """
     if filtered:
         questions = questions.withColumn("after", _micros("uploaded_after")).withColumn("before", _micros("uploaded_before"))
@@ -184,8 +186,11 @@ def top_k_join(
     c_extras = ["doc_id", "language", "created"] if filtered else []
     q = pack_vectors(questions, keys, "query_id", "qvec", q_extras, "q")
 
-    # 8 bytes per element once packed, plus ids
-    payload = F.coalesce(F.size("qvec"), F.lit(0)).cast("long") * 8 + 64
+    # 8 bytes per element once packed, plus ids and document filters
+    elements = F.lit(dimension) if dimension else F.greatest(F.size("qvec"), F.lit(0))
+    payload = elements.cast("long") * 8 + 64
+    if filtered:
+        payload = payload + F.greatest(F.size("doc_ids"), F.lit(0)).cast("long") * 48
     if fits_broadcast(questions, payload, broadcast_limit):
         pairs = pack_vectors(chunks, keys, "chunk_id", "embedding", c_extras, "c").join(F.broadcast(q), keys)
     else:
@@ -258,7 +263,7 @@ def approximate_top_k(
     found = top_k_join(
         with_buckets(questions, "qvec", dimension, tables, bits),
         with_buckets(chunks, "embedding", dimension, tables, bits),
-        [*keys, "hash_table", "bucket"], k, min_similarity, broadcast_limit=broadcast_limit // max(tables, 1), final=False,
+        [*keys, "hash_table", "bucket"], k, min_similarity, broadcast_limit=broadcast_limit, dimension=dimension, final=False,
     )
     once = found.groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
     return top_per_key(once, ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], k)

@@ -310,15 +310,15 @@ def duplicate_rows(spark, sf_dir):
     return copies.select("owner_id", "name", "description", "document_count")
 
 
-@query("""WITH t AS (SELECT 't' || CAST(o_orderkey AS VARCHAR) AS h, o_custkey AS user_id, o_orderstatus = 'F' AS revoked, o_orderdate + INTERVAL 30 DAY AS expires_at, o_orderkey FROM orders),
-p AS (SELECT 't' || CAST(l_orderkey AS VARCHAR) AS h, l_shipdate AS ts, l_linenumber FROM lineitem WHERE l_quantity = 1 AND l_returnflag = 'A'),
+@query("""WITH t AS (SELECT 't' || CAST(o_orderkey AS VARCHAR) AS h, o_custkey AS user_id, o_orderstatus = 'F' AND o_totalprice > 450000 AS revoked, o_orderdate + INTERVAL 30 DAY AS expires_at, o_orderkey FROM orders),
+p AS (SELECT 't' || CAST(l_orderkey AS VARCHAR) AS h, l_shipdate AS ts FROM lineitem),
 v AS (SELECT p.h, t.user_id, CASE WHEN t.user_id IS NULL THEN 'unknown' WHEN t.revoked THEN 'replayed' WHEN t.expires_at < p.ts THEN 'expired' ELSE 'accepted' END AS verdict FROM p LEFT JOIN t ON t.h = p.h)
 SELECT h AS token_hash, user_id, revoked OR user_id IN (SELECT user_id FROM v WHERE verdict = 'replayed') AS revoked FROM t""")
 def token_replay_sweep(spark, sf_dir):
     tokens = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("token_hash"), F.col("o_custkey").alias("user_id"),
-        (F.col("o_orderstatus") == "F").alias("revoked"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"))
-    shown = table(spark, sf_dir, "lineitem").filter((F.col("l_quantity") == 1) & (F.col("l_returnflag") == "A")).select(
+        ((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 450_000)).alias("revoked"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"))
+    shown = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("token_hash"), F.col("l_shipdate").alias("ts"))
     return maintenance.sweep_replayed_tokens(tokens, shown)["tokens"].select("token_hash", "user_id", "revoked")
 

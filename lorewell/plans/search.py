@@ -147,7 +147,7 @@ def hash_embed_search(spark, sf_dir):
     """Every benchmark text against the whole corpus as a single tenant."""
     asked = views.benchmark_questions(spark, sf_dir).withColumn("kb_id", F.lit("all"))
     chunks = views.encoded_chunks(spark, sf_dir).withColumn("kb_id", F.lit("all"))
-    return similarity.top_k_join(asked, chunks, ["kb_id"], 8, CHAT_FLOOR).withColumn("similarity", F.round("similarity", 6))
+    return similarity.top_k_join(asked, chunks, ["kb_id"], 8, CHAT_FLOOR, dimension=DIMENSION).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH {SQL_CHUNKS}, {sql_encode('chunks', 'chunk_id', 'content', '', 'cv')}
@@ -179,7 +179,8 @@ kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank)
 def chat_hits(spark, sf_dir):
     asked = views.chat_questions(spark, sf_dir)
     return asked, retrieval.retrieve(
-        asked, views.encoded_chunks(spark, sf_dir), views.documents(spark, sf_dir), min_similarity=CHAT_FLOOR)
+        asked, views.encoded_chunks(spark, sf_dir), views.documents(spark, sf_dir), min_similarity=CHAT_FLOOR,
+        dimension=DIMENSION)
 
 
 @query(f"WITH {_SQL_CHAT} SELECT query_id, rank, chunk_id, doc_id, document_name, content, round(similarity, 6) AS similarity FROM hits")

@@ -75,13 +75,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
-    """Redistribute a scan of fewer files than cores before CPU-heavy Python work.
+    """Redistribute a scan of fewer splits than cores before CPU-heavy work.
 
-    A table of many files is already spread over the cluster and is left alone,
-    so no shuffle is added at scale.
+    A large table is already spread over the cluster and is left alone, so no
+    shuffle is added at scale. ``df`` must be a plain scan: its splits are counted.
     """
     width = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= width:
+    if df.rdd.getNumPartitions() >= width:
         return df
     return df.repartition(width, key)
 
