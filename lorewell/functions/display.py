@@ -11,6 +11,19 @@ from lorewell.functions.text import _c
 BYTE_UNITS = ["B", "KB", "MB", "GB", "TB"]
 
 
+# Our own wording for the stored statuses.
+STATUS_LABELS = {
+    "pending": "waiting", "virus_scanning": "checking", "extracting": "reading", "ocr_processing": "recognising text",
+    "chunking": "splitting", "embedding": "encoding", "completed": "ready", "failed": "failed",
+}
+
+
+def status_label(status: Column | str) -> Column:
+    """Shown status; an unknown one is shown as stored."""
+    known = F.create_map(*[F.lit(x) for kv in STATUS_LABELS.items() for x in kv])
+    return F.coalesce(known[_c(status)], _c(status))
+
+
 def human_bytes(col: Column | str) -> Column:
     n = _c(col)
     out = F.concat(n.cast("string"), F.lit(" B"))

@@ -64,9 +64,9 @@ def scoped_filter(
         out = out.filter(F.col("doc_id").isin(doc_ids))
     if language:
         out = out.filter(F.col("language") == language)
-    if uploaded_after:
+    if uploaded_after is not None:
         out = out.filter(F.col("created_at") >= F.lit(uploaded_after))
-    if uploaded_before:
+    if uploaded_before is not None:
         out = out.filter(F.col("created_at") <= F.lit(uploaded_before))
     return out
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorewell.functions import rules, text
+from lorewell.functions import display, rules, text
 from lorewell.operators import analytics, listing, maintenance
 from lorewell.plans import query, views
 from lorewell.plans.views import SQL_CHUNKS, SQL_DOCS, SQL_SESSIONS, SQL_USAGE
@@ -167,6 +167,40 @@ def public_users(spark, sf_dir):
     return users.select(*cols, _ntz("created_at").alias("created_at"), rules.is_blocked("is_suspended", "is_active").alias("is_blocked"), title.alias("title"))
 
 
+@query(f"""WITH {SQL_DOCS}, {_SQL_KBS}, k AS (SELECT kb_id, owner_id, max(created_at) AS updated_at, bool_and(status = 'completed') AS is_archived FROM docs GROUP BY ALL)
+SELECT kb_id, owner_id, updated_at FROM k WHERE NOT is_archived AND kb_id ILIKE '%rc1%' ORDER BY updated_at DESC, kb_id""")
+def kb_listing(spark, sf_dir):
+    """Knowledge bases by last change, archived ones hidden, with a name search."""
+    kbs = views.documents(spark, sf_dir).groupBy("kb_id", "owner_id").agg(
+        F.max("created_at").alias("updated_at"), F.bool_and(F.col("status") == "completed").alias("is_archived"))
+    found = listing.newest(listing.search(listing.visible(kbs), "kb_id", "RC1"), "updated_at", "kb_id")
+    return found.select("kb_id", "owner_id", _ntz("updated_at").alias("updated_at"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn")
+def messages_chronological(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn")
+
+
+@query(f"""WITH {SQL_DOCS} SELECT doc_id, CASE status WHEN 'pending' THEN 'waiting' WHEN 'completed' THEN 'ready' ELSE status END AS label,
+  status NOT IN ('completed', 'failed') AS still_processing FROM docs""")
+def status_labels(spark, sf_dir):
+    return views.documents(spark, sf_dir).select(
+        "doc_id", display.status_label("status").alias("label"), rules.is_still_processing("status").alias("still_processing"))
+
+
+@query(f"""WITH {SQL_DOCS} SELECT doc_id, kb_id, name FROM docs WHERE kb_id = 'src7' AND owner_id = 'own3' AND language = 'en'
+  AND created_at >= TIMESTAMP '2024-01-01 00:30:00' AND created_at <= TIMESTAMP '2024-01-03 00:00:00'""")
+def tenant_filter(spark, sf_dir):
+    """One tenant with language and date filters, as predicates on the scan; empty filters are absent."""
+    from lorewell.operators.retrieval import scoped_filter
+
+    stamp = lambda s: F.lit(s).cast("timestamp")
+    found = scoped_filter(views.documents(spark, sf_dir), "src7", "own3", doc_ids=[], language="en",
+                          uploaded_after=stamp("2024-01-01 00:30:00"), uploaded_before=stamp("2024-01-03 00:00:00"))
+    return found.select("doc_id", "kb_id", "name")
+
+
 # --------------------------------------------------------------- maintenance
 
 def _service_tables(spark, sf_dir):

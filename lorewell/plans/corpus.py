@@ -10,9 +10,10 @@ from lorewell.operators.chunking import chunk_blocks
 from lorewell.operators.encoding import batch_number
 from lorewell.operators.ordered import ordered_join
 from lorewell.plans import query, views
-from lorewell.plans.views import SQL_CHUNKS, SQL_DOCS, sql_sentences, sql_text, sql_tokens, sql_trim
+from lorewell.plans.views import SQL_CHUNKS, SQL_DOCS, sql_chunk_fold, sql_sentences, sql_text, sql_tokens, sql_trim
 from lorewell.session import spread_small_scan, table
 from lorewell.sources import layout, manifest, markup, plain, records
+from lorewell.sources.decode import readable
 
 _SPACE = text.SPACE_CLASS
 
@@ -105,21 +106,34 @@ def _sql_unescape(expr: str) -> str:
 _NODE_GLUE = f"regexp_replace(inner_html, {sql_text(f'{_SPACE}*<[^>]*>{_SPACE}*')}, '', 'g')"
 
 
-@query(f"""WITH c AS (
+_SQL_HTML = f"""c AS (
   SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '<!---->', 'g'),
     '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<nav\\b.*?</nav>|<footer\\b.*?</footer>|<noscript\\b.*?</noscript>', '', 'g') AS h FROM pages),
 m AS (SELECT page_id, regexp_replace(h, '(?i)<({_BLOCK_ENDS})\\b', chr(2) || '<\\1', 'g') AS h FROM c),
 s AS (SELECT page_id, generate_subscripts(p, 1) AS i, unnest(p) AS piece FROM (SELECT page_id, string_split(h, chr(2)) AS p FROM m)),
 b AS (SELECT page_id, i, lower(regexp_extract(piece, '(?i)^<(h[1-6]|p|li)\\b', 1)) AS tag,
         regexp_replace(piece, '^<[^>]*>', '') AS inner_html FROM s WHERE regexp_matches(piece, '(?i)^<(h[1-6]|p|li)\\b')),
-t AS (SELECT page_id, i, tag, {sql_trim(_sql_unescape(sql_trim(_NODE_GLUE)))} AS text FROM b)
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS seq,
+t AS (SELECT page_id, i, tag, {sql_trim(_sql_unescape(sql_trim(_NODE_GLUE)))} AS text FROM b),
+html AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS seq,
   CASE WHEN tag = 'p' THEN 'paragraph' WHEN tag = 'li' THEN 'list_item' ELSE 'heading' END AS kind, text,
   last_value(CASE WHEN tag LIKE 'h%' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_title
-FROM t WHERE text <> ''""")
+  FROM t WHERE text <> '')"""
+
+
+@query(f"WITH {_SQL_HTML} SELECT page_id, seq, kind, text, section_title FROM html")
 def html_blocks(spark, sf_dir):
     pages = spread_small_scan(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
-    return markup.html_blocks(pages, "html", carry=("page_id",)).select("page_id", "seq", "kind", "text", "section_title")
+    return readable(markup.html_blocks(pages, "html", carry=("page_id",))).select("page_id", "seq", "kind", "text", "section_title")
+
+
+@query(f"""WITH {_SQL_HTML}, page_blocks AS (SELECT page_id, seq AS i, kind, text AS txt, section_title AS sec FROM html),
+{sql_chunk_fold('page_blocks', 'page_id', 'packed')} SELECT page_id, chunk_index, section, content, token_count FROM packed""")
+def chunk_pages(spark, sf_dir):
+    """Web pages chunked with their headings as sections."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    blocks = markup.html_blocks(spread_small_scan(pages, "doc_id"))
+    chunks = chunk_blocks(readable(blocks), clustered=True)
+    return chunks.select(F.col("doc_id").alias("page_id"), "chunk_index", F.coalesce("section", F.lit("")).alias("section"), "content", "token_count")
 
 
 @query("""SELECT event_id, CAST(0 AS BIGINT) AS seq, 'table' AS kind, 'k: ' || json_extract_string(props, '$.k') AS text FROM events""")
@@ -245,6 +259,22 @@ def span_blocks(spark, sf_dir):
         F.coalesce("heading_level", F.lit(0)).alias("heading_level"), "text", "section_title")
 
 
+@query(f"""WITH {_SQL_LINES} SELECT doc_id, count(DISTINCT n // 40) AS page_count, count(*) AS n_lines FROM lines GROUP BY doc_id""")
+def page_counts(spark, sf_dir):
+    pages = _lines(spark, sf_dir).withColumn("page", F.floor(F.col("n") / 40))
+    return layout.page_counts(pages).withColumnRenamed("n_blocks", "n_lines")
+
+
+@query(f"""WITH {_SQL_LINES} SELECT doc_id, n // 40 + 1 AS page_number, CAST(n AS BIGINT) AS seq, text FROM lines""")
+def pages_flattened(spark, sf_dir):
+    """Documents stored as nested pages of lines, flattened in page and line order."""
+    lines = F.split("text", "\n")
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 40).cast("int")), lambda p: F.struct(
+        (p + 1).alias("page_number"), F.slice(lines, p * 40 + 1, 40).alias("blocks")))
+    nested = table(spark, sf_dir, "documents").select("doc_id", pages.alias("pages"))
+    return layout.flatten_pages(nested).withColumnRenamed("block", "text")
+
+
 @query("""WITH v AS (SELECT source, lang, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL)
 SELECT source, lang AS detected_language FROM v QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, first) = 1""")
 def language_vote(spark, sf_dir):

@@ -178,42 +178,52 @@ def _sql_pack(text: str, limit: int = 512) -> str:
     )
 
 
-def _state(parts: str, run: str, out: str) -> str:
-    return f"{{'txt': '', 'tk': 0, 'pieces': CAST([] AS VARCHAR[]), 'parts': {parts}, 'run': {run}, 'out': {out}}}"
+def _state(sec: str, parts: str, run: str, out: str) -> str:
+    return f"{{'txt': '', 'tk': 0, 'sec': {sec}, 'pieces': CAST([] AS VARCHAR[]), 'parts': {parts}, 'run': {run}, 'out': {out}}}"
+
+
+def sql_chunk_fold(source: str, keys: str, out: str) -> str:
+    """The chunker as one SQL fold per document, written independently of the Python one.
+
+    ``source(keys, i, kind, txt, sec)`` are blocks; a heading is preceded by an
+    element that only flushes. Emitted texts carry their section in front.
+    """
+    glue, cut = "chr(10) || chr(10)", "chr(2)"
+    sec = "coalesce(e.sec, s.sec)"
+    emitted = lambda label: f"{label} || {cut} || s.parts"
+    flushed = lambda label: f"CASE WHEN s.parts = '' THEN s.out ELSE list_append(s.out, {emitted(label)}) END"
+    tail = f"CASE WHEN s.parts = '' THEN '' ELSE {_sql_tail('s.parts')} END"
+    tail_tokens = f"CASE WHEN s.parts = '' THEN 0 ELSE {_sql_latin_tokens(_sql_tail('s.parts'))} END"
+    heading = _state("s.sec", tail, tail_tokens, flushed("s.sec"))
+    long = _state(sec, tail, tail_tokens, f"list_concat({flushed(sec)}, list_transform(e.pieces, lambda p: {sec} || {cut} || p))")
+    full = _state(sec, f"{_sql_tail('s.parts')} || {glue} || e.txt", f"{_sql_latin_tokens(_sql_tail('s.parts'))} + e.tk", f"list_append(s.out, {emitted(sec)})")
+    add = _state(sec, f"CASE WHEN s.parts = '' THEN e.txt ELSE s.parts || {glue} || e.txt END", "s.run + e.tk", "s.out")
+    return f"""{out}_tokens AS (SELECT *, {_sql_latin_tokens('txt')} AS tk FROM {source}),
+{out}_elements AS (
+  SELECT {keys}, i * 2 AS i, txt, tk, sec, CASE WHEN tk > 512 THEN list_append(r.done, r.cur) ELSE CAST([] AS VARCHAR[]) END AS pieces
+  FROM (SELECT *, {_sql_pack('txt')} AS r FROM {out}_tokens)
+  UNION ALL SELECT {keys}, i * 2 - 1, '', -1, NULL, CAST([] AS VARCHAR[]) FROM {out}_tokens WHERE kind = 'heading'),
+{out}_docs AS (
+  SELECT {keys}, list({{'txt': txt, 'tk': tk, 'sec': sec, 'pieces': pieces, 'parts': '', 'run': 0, 'out': CAST([] AS VARCHAR[])}} ORDER BY i) AS l
+  FROM {out}_elements GROUP BY ALL),
+{out}_folded AS (
+  SELECT {keys}, list_reduce(l, lambda s, e:
+    CASE WHEN e.tk = -1 THEN {heading} WHEN e.tk > 512 THEN {long} WHEN s.parts <> '' AND s.run + e.tk > 512 THEN {full} ELSE {add} END,
+    {_state("''", "''", "0", "CAST([] AS VARCHAR[])")}) AS r FROM {out}_docs),
+{out}_lists AS (
+  SELECT {keys}, CASE WHEN r.parts = '' THEN r.out ELSE list_append(r.out, r.sec || {cut} || r.parts) END AS cs FROM {out}_folded),
+{out}_rows AS (SELECT {keys}, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS chunk_index, unnest(cs) AS c FROM {out}_lists),
+{out} AS (SELECT *, CAST({_sql_latin_tokens('content')} AS INTEGER) AS token_count FROM (
+  SELECT {keys}, chunk_index, split_part(c, {cut}, 1) AS section, split_part(c, {cut}, 2) AS content FROM {out}_rows))"""
 
 
-_GLUE = "chr(10) || chr(10)"
-_FLUSHED = "CASE WHEN s.parts = '' THEN s.out ELSE list_append(s.out, s.parts) END"
-_TAIL = f"CASE WHEN s.parts = '' THEN '' ELSE {_sql_tail('s.parts')} END"
-_TAIL_TOKENS = f"CASE WHEN s.parts = '' THEN 0 ELSE {_sql_latin_tokens(_sql_tail('s.parts'))} END"
-_LONG = _state(_TAIL, _TAIL_TOKENS, f"list_concat({_FLUSHED}, e.pieces)")
-_FULL = _state(f"{_sql_tail('s.parts')} || {_GLUE} || e.txt", f"{_sql_latin_tokens(_sql_tail('s.parts'))} + e.tk", "list_append(s.out, s.parts)")
-_ADD = _state(f"CASE WHEN s.parts = '' THEN e.txt ELSE s.parts || {_GLUE} || e.txt END", "s.run + e.tk", "s.out")
-
-# The chunker as one fold per document, written independently of the Python one.
 SQL_CHUNKS = f"""lines AS (
-  SELECT doc_id, kb_id, owner_id, generate_subscripts(l, 1) AS i, {sql_trim('unnest(l)')} AS txt
-  FROM (SELECT doc_id, source AS kb_id, 'own' || CAST(CAST(substr(source, 4) AS INTEGER) % {N_OWNERS} AS VARCHAR) AS owner_id,
-               string_split(text, chr(10)) AS l FROM documents)),
-line_tokens AS (SELECT *, {_sql_latin_tokens('txt')} AS tk FROM lines WHERE txt <> ''),
-line_pieces AS (
-  SELECT doc_id, kb_id, owner_id, i, txt, tk,
-         CASE WHEN tk > 512 THEN list_append(r.done, r.cur) ELSE CAST([] AS VARCHAR[]) END AS pieces
-  FROM (SELECT *, {_sql_pack('txt')} AS r FROM line_tokens)),
-doc_lists AS (
-  SELECT doc_id, kb_id, owner_id,
-         list({{'txt': txt, 'tk': tk, 'pieces': pieces, 'parts': '', 'run': 0, 'out': CAST([] AS VARCHAR[])}} ORDER BY i) AS l
-  FROM line_pieces GROUP BY ALL),
-folded AS (
-  SELECT doc_id, kb_id, owner_id, list_reduce(l, lambda s, e:
-    CASE WHEN e.tk > 512 THEN {_LONG} WHEN s.parts <> '' AND s.run + e.tk > 512 THEN {_FULL} ELSE {_ADD} END,
-    {_state("''", "0", "CAST([] AS VARCHAR[])")}) AS r FROM doc_lists),
-chunk_lists AS (
-  SELECT doc_id, kb_id, owner_id, CASE WHEN r.parts = '' THEN r.out ELSE list_append(r.out, r.parts) END AS cs FROM folded),
-chunks AS (
-  SELECT doc_id, kb_id, owner_id, chunk_index, content, CAST(doc_id AS VARCHAR) || '/' || CAST(chunk_index AS VARCHAR) AS chunk_id,
-         CAST({_sql_latin_tokens('content')} AS INTEGER) AS token_count
-  FROM (SELECT doc_id, kb_id, owner_id, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS chunk_index, unnest(cs) AS content FROM chunk_lists))"""
+  SELECT doc_id, kb_id, owner_id, i, 'paragraph' AS kind, txt, NULL::VARCHAR AS sec FROM (
+    SELECT doc_id, kb_id, owner_id, generate_subscripts(l, 1) AS i, {sql_trim('unnest(l)')} AS txt
+    FROM (SELECT doc_id, source AS kb_id, 'own' || CAST(CAST(substr(source, 4) AS INTEGER) % {N_OWNERS} AS VARCHAR) AS owner_id,
+                 string_split(text, chr(10)) AS l FROM documents)) WHERE txt <> ''),
+{sql_chunk_fold('lines', 'doc_id, kb_id, owner_id', 'packed')},
+chunks AS (SELECT *, CAST(doc_id AS VARCHAR) || '/' || CAST(chunk_index AS VARCHAR) AS chunk_id FROM packed)"""
 
 SQL_CHAT_QUESTIONS = f"""questions AS (
   SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS query_id, conv_id AS session_id,

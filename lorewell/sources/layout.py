@@ -107,6 +107,18 @@ def span_blocks(spans: DataFrame) -> DataFrame:
     )
 
 
+def page_counts(pages: DataFrame, doc: str = "doc_id", page: str = "page") -> DataFrame:
+    return pages.groupBy(doc).agg(F.countDistinct(page).alias("page_count"), F.count("*").alias("n_blocks"))
+
+
+def flatten_pages(nested: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``pages array<struct<page_number, blocks array>>`` to one row per block, in page then block order."""
+    tagged = F.transform("pages", lambda p: F.transform(
+        p["blocks"], lambda b: F.struct(p["page_number"].alias("page_number"), b.alias("block"))))
+    return nested.select(doc, F.posexplode(F.flatten(tagged)).alias("seq", "_b")).select(
+        doc, "_b.page_number", F.col("seq").cast("long").alias("seq"), "_b.block")
+
+
 def language_votes(pages: DataFrame, keys: list[str], page: str = "page", lang: str = "lang") -> DataFrame:
     """Most frequent language over recognised pages; the earliest seen wins a tie.
 
