@@ -48,8 +48,11 @@ def within_budget(hits: DataFrame, budget: int = CONTEXT_TOKENS) -> DataFrame:
 
 
 def build_context(hits: DataFrame, budget: int = CONTEXT_TOKENS) -> DataFrame:
-    """Kept hits with ``source_no`` 1..n in order."""
-    kept = within_budget(drop_repeats(hits), budget)
+    """Kept hits with ``source_no`` 1..n in order.
+
+    One exchange by question serves every window here and what follows by question.
+    """
+    kept = within_budget(drop_repeats(hits.repartition("query_id")), budget)
     return kept.withColumn("source_no", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
 
 

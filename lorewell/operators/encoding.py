@@ -30,31 +30,33 @@ class FeatureHashEncoder:
 
     def __init__(self, dimension: int = 256):
         self.dimension = dimension
-        self._slots: dict[str, tuple[int, float]] = {}
+        self._slots: dict[str, int] = {}
 
     def __getstate__(self):
         return {"dimension": self.dimension, "_slots": {}}
 
-    def _slot(self, word: str) -> tuple[int, float]:
+    def _slot(self, word: str) -> int:
+        """Bucket of a word; words counted negatively have theirs in the upper half."""
         digest = hashlib.md5(word.encode("utf-8"), usedforsecurity=False).hexdigest()
-        slot = (int(digest[:8], 16) % self.dimension, 1.0 if int(digest[8], 16) < 8 else -1.0)
+        slot = int(digest[:8], 16) % self.dimension + (0 if int(digest[8], 16) < 8 else self.dimension)
         if len(self._slots) < 500_000:
             self._slots[word] = slot
         return slot
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension))
+        known, slot, width = self._slots, self._slot, self.dimension
+        counts = np.zeros((len(texts), 2 * width))
         for row, text in enumerate(texts):
             words = self._WORD.findall(text.lower())
-            if not words:
-                continue
-            slots = [self._slots.get(w) or self._slot(w) for w in words]
-            index, sign = zip(*slots)
-            out[row] = np.bincount(index, weights=sign, minlength=self.dimension)
-            length = np.linalg.norm(out[row])
-            if length:
-                out[row] /= length
-        return out.astype(np.float32)
+            if words:
+                try:
+                    slots = [known[w] for w in words]
+                except KeyError:
+                    slots = [known[w] if w in known else slot(w) for w in words]
+                counts[row] = np.bincount(slots, minlength=2 * width)
+        out = counts[:, :width] - counts[:, width:]
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(length > 0, length, 1.0)).astype(np.float32)
 
 
 def encode_udf(encoder: Encoder, batch: int = BATCH_TEXTS):

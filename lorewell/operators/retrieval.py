@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.operators.similarity import top_k_join
+from lorewell.session import fits_broadcast
 
 TOP_K = 8
 MIN_SIMILARITY = 0.72
 TENANT = ["kb_id", "owner_id"]
+# Memory of one broadcast (question, rank, chunk id, score) row.
+HIT_BYTES = 160
 _FILTERS = ["doc_ids", "language", "uploaded_after", "uploaded_before"]
 
 
@@ -40,12 +43,18 @@ def retrieve(
             searchable = chunks.select(*TENANT, "chunk_id", "doc_id", "embedding", "language", "created_at")
         else:
             searchable = searchable.join(documents.select("doc_id", "language", "created_at"), "doc_id")
+    # hits are at most top_k per question; joined by broadcast, the content
+    # of the corpus stays where it is
+    hit_bytes = F.lit(top_k * HIT_BYTES).cast("long")
+    few = fits_broadcast(asked, hit_bytes)
     ranked = top_k_join(asked, searchable, TENANT, top_k, min_similarity, filtered, dimension=dimension)
-    shown = chunks.select("chunk_id", "doc_id", "content", "page_number", "section")
+    named = "document_name" in chunks.columns
+    shown = chunks.select("chunk_id", "doc_id", "content", "page_number", "section", *(["document_name"] if named else []))
+    hits = shown.join(F.broadcast(ranked) if few else ranked, "chunk_id")
+    if not named:
+        hits = hits.join(documents.select("doc_id", F.col("name").alias("document_name")), "doc_id")
     return (
-        ranked.join(shown, "chunk_id")
-        .join(documents.select("doc_id", F.col("name").alias("document_name")), "doc_id")
-        .select("query_id", "rank", "chunk_id", "doc_id", "document_name", "content", "page_number", "section", "similarity")
+        hits.select("query_id", "rank", "chunk_id", "doc_id", "document_name", "content", "page_number", "section", "similarity")
     )
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from lorewell.operators.ordered import top_per_key
 from lorewell.session import BROADCAST_LIMIT_BYTES, fits_broadcast
 
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 2048
 # Vector bytes waiting in one task over all keys before every open block is written out.
 OPEN_BYTES = 64 * 1024 * 1024
 SALTS = 16
@@ -100,24 +100,29 @@ def pack_vectors(df: DataFrame, keys: list[str], ident: str, vector: str, extras
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int, floor: float):
-    """Indices of the best ``k`` by (score desc, id asc) that reach the floor."""
-    keep = np.flatnonzero(scores >= floor)
-    if len(keep) > k:
-        kth = np.partition(scores[keep], len(keep) - k)[len(keep) - k]
-        keep = keep[scores[keep] >= kth]
-    order = np.lexsort((ids[keep], -scores[keep]))
-    return keep[order[:k]]
+    """Row and column of the best ``k`` of every row by (score desc, id asc) that reach the floor."""
+    cut = np.full(len(scores), floor)
+    if scores.shape[1] > k:
+        at = scores.shape[1] - k
+        cut = np.maximum(np.partition(scores, at, axis=1)[:, at], floor)
+    # everything tied with the k-th is kept until the ids have decided
+    row, col = np.nonzero(scores >= cut[:, None])
+    place = np.empty(len(ids), dtype=np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    order = np.lexsort((place[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return row[keep], col[keep]
 
 
 def _score_blocks(k: int, floor: float, ident_types, filtered: bool):
     def run(batches):
+        schema = pa.schema([("query_id", ident_types[0]), ("chunk_id", ident_types[1]), ("similarity", pa.float64())])
         for batch in batches:
-            arrow = pa.schema([("query_id", ident_types[0]), ("chunk_id", ident_types[1]), ("similarity", pa.float64())])
-            out_q, out_c, out_s = [], [], []
             names = batch.schema.names
             for values in zip(*(c.to_pylist() for c in batch.columns)):
                 row = dict(zip(names, values))
-                questions, chunks = row["q_ids"], np.array(row["c_ids"])
+                questions, chunks = np.array(row["q_ids"]), np.array(row["c_ids"])
                 q = np.frombuffer(row["q_mat"]).reshape(len(questions), -1)
                 c = np.frombuffer(row["c_mat"]).reshape(len(chunks), -1)
                 if q.shape[1] != c.shape[1]:
@@ -125,16 +130,11 @@ def _score_blocks(k: int, floor: float, ident_types, filtered: bool):
                 scores = np.round(q @ c.T, SCORE_DIGITS)
                 if filtered:
                     scores = np.where(_allowed(row, len(questions), len(chunks)), scores, -np.inf)
-                for i in np.flatnonzero(scores.max(axis=1) >= floor):
-                    question, hit = questions[i], _best(scores[i], chunks, k, floor)
-                    out_q.extend([question] * len(hit))
-                    out_c.extend(chunks[hit].tolist())
-                    out_s.extend(scores[i][hit].tolist())
-            if out_q:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_q, ident_types[0]), pa.array(out_c, ident_types[1]), pa.array(out_s, pa.float64())],
-                    schema=arrow,
-                )
+                asked, found = _best(scores, chunks, k, floor)
+                if len(asked):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(questions[asked].tolist(), ident_types[0]), pa.array(chunks[found].tolist(), ident_types[1]),
+                         pa.array(scores[asked, found])], schema=schema)
     return run
 
 

@@ -18,12 +18,17 @@ from lorewell.sources.decode import readable
 _SPACE = text.SPACE_CLASS
 
 
+def _texts(spark, sf_dir, *columns):
+    """The documents, spread over the cores when they come as a single small file."""
+    return spread_small_scan(table(spark, sf_dir, "documents").select("doc_id", "text", *columns), "doc_id")
+
+
 # ------------------------------------------------------------------ measures
 
 @query(f"""SELECT source, count(*) AS n_documents, CAST(sum({sql_tokens('text')}) AS BIGINT) AS tokens
 FROM documents GROUP BY source""")
 def token_estimate_by_source(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(
+    return _texts(spark, sf_dir, "source").groupBy("source").agg(
         F.count("*").alias("n_documents"), F.sum(text.estimate_tokens("text")).alias("tokens"))
 
 
@@ -31,7 +36,7 @@ def token_estimate_by_source(spark, sf_dir):
 ORDER BY tokens DESC, doc_id LIMIT 20""")
 def longest_documents_topk(spark, sf_dir):
     return (
-        table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens("text").alias("tokens"))
+        _texts(spark, sf_dir).select("doc_id", text.estimate_tokens("text").alias("tokens"))
         .orderBy(F.desc("tokens"), "doc_id").limit(20)
     )
 
@@ -40,18 +45,18 @@ def longest_documents_topk(spark, sf_dir):
   SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS sentence
   FROM (SELECT doc_id, {sql_sentences('text')} AS l FROM documents))""")
 def sentence_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences("text")).alias("pos", "sentence"))
+    return _texts(spark, sf_dir).select("doc_id", F.posexplode(text.sentences("text")).alias("pos", "sentence"))
 
 
 @query(f"SELECT doc_id, len({sql_sentences('text')})::INTEGER AS n_sentences FROM documents")
 def sentence_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences("text")).alias("n_sentences"))
+    return _texts(spark, sf_dir).select("doc_id", F.size(text.sentences("text")).alias("n_sentences"))
 
 
 @query(f"""SELECT doc_id, sha256(text) AS checksum, substr(text, 1, 500) AS excerpt, lower({sql_trim('text')}) AS content_key,
   length({sql_trim('text')}) < 20 AS scanned FROM documents""")
 def text_keys(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return _texts(spark, sf_dir).select(
         "doc_id", text.checksum("text").alias("checksum"), text.excerpt("text").alias("excerpt"),
         text.content_key("text").alias("content_key"), text.is_scanned_page("text").alias("scanned"))
 
@@ -63,7 +68,7 @@ def text_keys(spark, sf_dir):
   FROM (SELECT doc_id, string_split_regex(text, {sql_text(chr(10) + _SPACE + '*' + chr(10))}) AS l FROM documents))
 WHERE text <> ''""")
 def paragraph_blocks(spark, sf_dir):
-    return plain.text_blocks(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "seq", "kind", "text")
+    return plain.text_blocks(_texts(spark, sf_dir)).select("doc_id", "seq", "kind", "text")
 
 
 _MD_HEAD = f"^#{{1,6}}{_SPACE}+"
@@ -84,7 +89,7 @@ FROM t""")
 def markdown_blocks(spark, sf_dir):
     from pyspark.sql import Window
 
-    blocks = plain.markdown_blocks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    blocks = plain.markdown_blocks(_texts(spark, sf_dir))
     # dense numbering for the report: a group is the lines of one stored text
     position = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).cast("long")
     return blocks.select("doc_id", position.alias("position"), "kind", "text", "section_title")
@@ -191,8 +196,7 @@ def row_cap_marker(spark, sf_dir):
 # paragraph, a slide line or a page line.
 
 def _lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    return _texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
 
 
 _SQL_LINES = """lines AS (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS n, unnest(p) AS text
@@ -360,7 +364,7 @@ SELECT w.doc_id, CAST(w.chunk_no AS INTEGER) AS chunk_index, string_agg(b.txt, c
 FROM walk w JOIN b ON b.doc_id = w.doc_id AND b.i = w.i GROUP BY w.doc_id, w.chunk_no""")
 def chunk_pack_paragraphs(spark, sf_dir):
     """Packing without overlap, over-long blocks kept whole as tables are."""
-    docs = spread_small_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = _texts(spark, sf_dir)
     blocks = plain.markdown_blocks(docs).withColumn("tk", text.estimate_tokens("text"))
     whole = blocks.withColumn("kind", F.when(F.col("tk") > 512, "table").otherwise(F.col("kind")))
     return chunk_blocks(whole, overlap=0, clustered=True).select("doc_id", "chunk_index", "content")
@@ -426,7 +430,7 @@ def chunk_invariants(spark, sf_dir):
 WHERE line <> '' GROUP BY doc_id""")
 def blocks_joined(spark, sf_dir):
     """Blocks of a document glued back in order; a group is one stored text."""
-    blocks = plain.markdown_blocks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    blocks = plain.markdown_blocks(_texts(spark, sf_dir))
     return blocks.groupBy("doc_id").agg(ordered_join("seq", "\n\n").alias("joined"), F.count("*").alias("n_blocks"))
 
 

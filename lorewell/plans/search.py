@@ -151,15 +151,16 @@ def hash_embed_search(spark, sf_dir):
 
 
 @query(f"""WITH {SQL_CHUNKS}, {sql_encode('chunks', 'chunk_id', 'content', '', 'cv')}
-SELECT chunk_id, count(*) AS n_buckets, round(sum(f), 4) + 0.0 AS total, round(greatest(max(f), 0.0), 6) AS largest FROM cv_floats GROUP BY chunk_id""")
+SELECT c.chunk_id, count(f) AS n_buckets, round(least(coalesce(min(f), 0.0), 0.0), 6) + 0.0 AS smallest, round(greatest(coalesce(max(f), 0.0), 0.0), 6) AS largest
+FROM chunks c LEFT JOIN cv_floats v ON v.chunk_id = c.chunk_id GROUP BY c.chunk_id""")
 def encode_chunks(spark, sf_dir):
-    """Filled buckets, sum and maximum of every chunk vector."""
+    """Filled buckets and extremes of every chunk vector."""
     e = F.col("embedding")
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    rounded = lambda c: F.round(c.cast("double"), 6) + 0.0
     return views.encoded_chunks(spark, sf_dir).select(
-        "chunk_id", F.size(F.filter(e, lambda x: x != 0)).cast("long").alias("n_buckets"), (F.round(total, 4) + 0.0).alias("total"),
-        F.round(F.array_max(e).cast("double"), 6).alias("largest"),
-    ).filter("n_buckets > 0")
+        "chunk_id", F.size(F.array_remove(e, F.lit(0.0).cast("float"))).cast("long").alias("n_buckets"),
+        rounded(F.array_min(e)).alias("smallest"), rounded(F.array_max(e)).alias("largest"),
+    )
 
 
 _SQL_CHAT = f"""{SQL_CHUNKS}, {SQL_CHAT_QUESTIONS},

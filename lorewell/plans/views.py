@@ -74,7 +74,10 @@ def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_column(corpus_chunks(spark, sf_dir), "content", FeatureHashEncoder(DIMENSION))
+    """Chunk rows as the sink stores them: with vector and the document's name copied in."""
+    chunks = corpus_chunks(spark, sf_dir).withColumn(
+        "document_name", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")))
+    return encode_column(chunks, "content", FeatureHashEncoder(DIMENSION))
 
 
 def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
