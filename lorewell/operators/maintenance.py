@@ -109,7 +109,10 @@ def match_identities(users: DataFrame, incoming: DataFrame, as_of: Column) -> tu
     known = joined.filter(F.col("user_id").isNotNull())
     matched = known.filter(~F.col("_blocked")).drop("_blocked").withColumn("last_login_at", as_of)
     refused = known.filter("_blocked").drop("_blocked")
-    inserts = joined.filter(F.col("user_id").isNull()).select(
+    # several first sign-ins with one address make one user
+    fresh = joined.filter(F.col("user_id").isNull()).groupBy("email").agg(
+        F.min(F.struct("external_id", "name", "email_verified")).alias("_n")).select("email", "_n.*")
+    inserts = fresh.select(
         F.sha2(F.concat_ws("/", F.lit("user"), "email"), 256).alias("id"), "email", F.col("name").alias("full_name"),
         F.lit("user").alias("role"), "external_id", F.col("email_verified").alias("is_verified"),
         F.lit(True).alias("is_active"), F.lit(False).alias("is_suspended"), as_of.alias("last_login_at"),
@@ -117,6 +120,23 @@ def match_identities(users: DataFrame, incoming: DataFrame, as_of: Column) -> tu
     return matched, refused, inserts
 
 
+def link_identities(users: DataFrame, matched: DataFrame) -> DataFrame:
+    """Users after their sign-ins: login time, and for a match by email the external id and verification."""
+    by_mail = F.col("matched_by") == "email"
+    news = matched.groupBy(F.col("user_id").alias("id")).agg(
+        F.max("last_login_at").alias("_login"), F.min(F.when(by_mail, F.col("external_id"))).alias("_external"),
+        F.coalesce(F.bool_or(by_mail & F.col("email_verified")), F.lit(False)).alias("_verified"))
+    return users.join(news, "id", "left").withColumns({
+        "last_login_at": F.coalesce("_login", "last_login_at"), "external_id": F.coalesce("_external", "external_id"),
+        "is_verified": F.col("is_verified") | F.coalesce("_verified", F.lit(False)),
+    }).select(*users.columns)
+
+
+def disposable_objects(documents: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Storage keys left behind by deleted documents (reported, never removed here)."""
+    return documents.join(deleted.select("id"), "id", "left_semi").filter(F.col("temp_storage_key").isNotNull()).select("temp_storage_key")
+
+
 # action -> (flag column, new value); fixed values of the action log
 FLAG_ACTIONS = {"suspend": ("is_suspended", True), "unsuspend": ("is_suspended", False), "archive": ("is_archived", True)}
 AUDITED = {"suspend": "suspend_user", "delete": "delete_user"}

@@ -125,3 +125,31 @@ def test_table_contracts(spark):
     docs = conform(rows, "documents")
     assert docs.schema == TABLES["documents"]
     assert {r["id"]: r["v"] for r in docs.select("id", rule_violation("documents").alias("v")).collect()} == {"a": None, "b": "status", "c": None}
+
+
+def test_identities(spark):
+    users = _frame(spark, "id string, email string, external_id string, is_active boolean, is_suspended boolean, is_verified boolean, last_login_at timestamp",
+                   ("u1", "a@x", "g1", True, False, True, None), ("u2", "b@x", None, True, True, False, None), ("u3", "c@x", "g3", False, False, False, None))
+    incoming = _frame(spark, "external_id string, email string, name string, email_verified boolean",
+                      ("g1", "b@x", "A", True), ("g2", "b@x", "B", True), ("g3", "c@x", "C", True), ("g9", "n@x", "N", False), ("g8", "n@x", "M", True))
+    now = F.lit("2024-05-01").cast("timestamp")
+    matched, refused, inserts = maintenance.match_identities(users, incoming, now)
+    assert {(r["external_id"], r["user_id"], r["matched_by"]) for r in matched.collect()} == {("g1", "u1", "external_id"), ("g2", "u2", "email")}
+    assert [r["user_id"] for r in refused.collect()] == ["u3"]
+    assert [(r["email"], r["external_id"], r["full_name"]) for r in inserts.collect()] == [("n@x", "g8", "M")]
+    linked = {r["id"]: (r["external_id"], r["is_verified"], r["last_login_at"] is not None) for r in maintenance.link_identities(users, matched).collect()}
+    assert linked == {"u1": ("g1", True, True), "u2": ("g2", True, True), "u3": ("g3", False, False)}
+
+
+def test_disposable_objects(spark):
+    docs = _frame(spark, "id string, temp_storage_key string", ("a", "k"), ("b", None), ("c", "z"))
+    assert [r[0] for r in maintenance.disposable_objects(docs, _frame(spark, "id string", ("a",), ("b",))).collect()] == ["k"]
+
+
+def test_parquet_table_round_trip(spark, tmp_path):
+    from lorewell.sources.tables import read_table, write_table
+
+    rows = _frame(spark, "id string, role string", ("u", "admin"))
+    write_table(rows, str(tmp_path), "users")
+    back = read_table(spark, str(tmp_path), "users")
+    assert back.schema == TABLES["users"] and back.select("id", "role").collect() == rows.collect()
