@@ -10,6 +10,8 @@ are salted over several partitions and the question blocks are copied to each.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,13 +35,18 @@ def _micros(column: str):
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def pack_vectors(df: DataFrame, keys: list[str], ident: str, vector: str, extras: list[str], prefix: str) -> DataFrame:
+def pack_vectors(
+    df: DataFrame, keys: list[str], ident: str, vector: str, extras: list[str], prefix: str, planes: "Planes | None" = None
+) -> DataFrame:
     """Rows to blocks ``(keys, <p>_ids, <p>_mat, <p>_<extra>...)`` inside each partition.
 
     Vectors become unit length; NULL and zero vectors cannot be compared and are
-    left out. Extras are stored as lists beside the ids.
+    left out. Extras are stored as lists beside the ids. With ``planes`` a vector
+    goes to one block per hash table, keyed by ``hash_table`` and ``bucket`` too.
     """
     key_fields = [df.schema[k] for k in keys]
+    if planes:
+        key_fields = key_fields + [T.StructField("hash_table", T.IntegerType()), T.StructField("bucket", T.LongType())]
     list_fields = [ident, *extras]
     schema = T.StructType(
         key_fields
@@ -53,6 +60,7 @@ def pack_vectors(df: DataFrame, keys: list[str], ident: str, vector: str, extras
         open_blocks: dict[tuple, list] = {}
         waiting = 0  # bytes
         arrow = None
+        signs = planes.matrix() if planes else None
 
         def close(blocks):
             rows = []
@@ -65,7 +73,7 @@ def pack_vectors(df: DataFrame, keys: list[str], ident: str, vector: str, extras
             if arrow is None:
                 types = {f.name: f.type for f in batch.schema}
                 arrow = pa.schema(
-                    [(k, types[k]) for k in keys]
+                    [(k, types[k]) for k in keys] + ([("hash_table", pa.int32()), ("bucket", pa.int64())] if planes else [])
                     + [(f"{prefix}_{'ids' if c == ident else c}", pa.list_(types[c])) for c in list_fields]
                     + [(f"{prefix}_mat", pa.binary())]
                 )
@@ -84,13 +92,17 @@ def pack_vectors(df: DataFrame, keys: list[str], ident: str, vector: str, extras
                 length = np.sqrt(v @ v)
                 if not length > 0:
                     continue
-                entries = open_blocks.setdefault(record[:width], [])
-                entries.append((record[width:], v / length))
-                waiting += v.nbytes
-                if len(entries) >= BLOCK_ROWS:
-                    waiting -= v.nbytes * len(entries)
-                    yield close([(record[:width], open_blocks.pop(record[:width]))])
-                elif waiting >= OPEN_BYTES:
+                key = record[:width]
+                targets = [(*key, t, code) for t, code in enumerate(planes.codes(signs, v))] if planes else [key]
+                entry = (record[width:], v / length)
+                for target in targets:
+                    entries = open_blocks.setdefault(target, [])
+                    entries.append(entry)
+                    if len(entries) >= BLOCK_ROWS:
+                        waiting -= v.nbytes * len(entries)
+                        yield close([(target, open_blocks.pop(target))])
+                waiting += v.nbytes * len(targets)
+                if waiting >= OPEN_BYTES:
                     yield close(open_blocks.items())
                     open_blocks, waiting = {}, 0
         if open_blocks:
@@ -169,7 +181,6 @@ def top_k_join(
     filtered: bool = False,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
     dimension: int | None = None,
-    final: bool = True,
 ) -> DataFrame:
     """Best ``k`` chunks per question among chunks with equal ``keys``.
 
@@ -201,16 +212,19 @@ def top_k_join(
         on = [*keys, "_salt"]
         pairs = pack_vectors(salted, on, "chunk_id", "embedding", c_extras, "c").join(copies, on)
 
-    types = (questions.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType)
-    arrow_types = tuple(_ARROW_TYPES[t.simpleString()] for t in types)
+    scored = _scored_pairs(pairs, k, min_similarity, filtered)
+    return top_per_key(scored, ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], k)
+
+
+def _scored_pairs(pairs: DataFrame, k: int, min_similarity: float, filtered: bool = False) -> DataFrame:
+    """Joined blocks to the best pairs of each pair of blocks."""
+    types = [pairs.schema[c].dataType.elementType for c in ("q_ids", "c_ids")]
     schema = T.StructType([
         T.StructField("query_id", types[0]), T.StructField("chunk_id", types[1]), T.StructField("similarity", T.DoubleType()),
     ])
-    needed = [x for x in pairs.columns if x.startswith(("q_", "c_"))]
-    scored = pairs.select(*needed).mapInArrow(_score_blocks(k, min_similarity, arrow_types, filtered), schema)
-    if not final:
-        return scored
-    return top_per_key(scored, ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], k)
+    arrow_types = tuple(_ARROW_TYPES[t.simpleString()] for t in types)
+    needed = [c for c in pairs.columns if c.startswith(("q_", "c_"))]
+    return pairs.select(*needed).mapInArrow(_score_blocks(k, min_similarity, arrow_types, filtered), schema)
 
 
 # ---------------------------------------------------------------- approximate
@@ -221,54 +235,61 @@ def plane_sign(table: int, bit: int, element: int) -> int:
     return 1 if (mixed >> 16) % 2 else -1
 
 
-def with_buckets(df: DataFrame, vector: str, dimension: int, tables: int, bits: int) -> DataFrame:
-    """One row per hash table with the sign pattern of the vector as ``bucket``."""
-    planes = np.array([
-        [[plane_sign(t, b, e) for e in range(dimension)] for b in range(bits)] for t in range(tables)
-    ], dtype=np.float64).reshape(tables * bits, dimension)
-    weights = (1 << np.arange(bits)).astype(np.int64)
-    schema = T.StructType([*df.schema.fields, T.StructField("bucket", T.ArrayType(T.LongType()))])
-    at = df.columns.index(vector)
+@dataclass(frozen=True)
+class Planes:
+    """Hash tables of random hyperplanes; a bucket is the sign pattern of a vector in one table."""
 
-    def run(batches):
-        for batch in batches:
-            vectors = batch.column(at)
-            matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
-            on = (matrix @ planes.T > 0).reshape(-1, tables, bits)
-            buckets = pa.array((on @ weights).tolist(), type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, buckets], names=[*batch.schema.names, "bucket"])
+    dimension: int
+    tables: int = 8
+    bits: int = 4
 
-    usable = df.filter(F.col(vector).isNotNull() & (F.size(vector) == dimension))
-    hashed = usable.mapInArrow(run, schema)
-    return hashed.select(*df.columns, F.posexplode("bucket").alias("hash_table", "bucket"))
+    def matrix(self) -> np.ndarray:
+        return np.array([
+            [plane_sign(t, b, e) for e in range(self.dimension)] for t in range(self.tables) for b in range(self.bits)
+        ], dtype=np.float64)
 
+    def codes(self, signs: np.ndarray, vector: np.ndarray) -> list[int]:
+        on = (signs @ vector > 0).reshape(self.tables, self.bits)
+        return (on @ (1 << np.arange(self.bits))).tolist()
 
-def approximate_top_k(
-    questions: DataFrame,
-    chunks: DataFrame,
-    keys: list[str],
-    dimension: int,
-    k: int,
-    min_similarity: float,
-    tables: int = 8,
-    bits: int = 4,
+
+def build_index(chunks: DataFrame, keys: list[str], planes: Planes) -> DataFrame:
+    """Packed blocks per (keys, hash table, bucket), to be stored once and searched often.
+
+    The rebalance hint gathers a tenant's rows for full blocks and splits a hot
+    tenant over several tasks. Written with ``partitionBy("hash_table",
+    "bucket")``, a search reads only the buckets its questions fall into.
+    """
+    usable = chunks.select(*keys, "chunk_id", "embedding").filter(F.size("embedding") == planes.dimension)
+    grouped = usable.hint("rebalance", *keys).sortWithinPartitions(*keys)
+    return pack_vectors(grouped, keys, "chunk_id", "embedding", [], "c", planes)
+
+
+def search_index(
+    questions: DataFrame, index: DataFrame, keys: list[str], planes: Planes, k: int, min_similarity: float,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
-    """Candidates share a random-hyperplane bucket in some table; their scores are exact.
+    """Candidates share a bucket in some table; their scores are exact.
 
-    Each bucket is searched with the block join above, so a hot bucket is a list
-    of blocks like any other key and no candidate is dropped. A pair found in
-    several tables is kept once.
+    Each bucket is a list of blocks, so a hot one is spread and no candidate is
+    dropped. A pair found in several tables is kept once.
     """
-    found = top_k_join(
-        with_buckets(questions, "qvec", dimension, tables, bits),
-        with_buckets(chunks, "embedding", dimension, tables, bits),
-        [*keys, "hash_table", "bucket"], k, min_similarity, broadcast_limit=broadcast_limit, dimension=dimension, final=False,
-    )
-    once = found.groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
+    usable = questions.select(*keys, "query_id", "qvec").filter(F.size("qvec") == planes.dimension)
+    q = pack_vectors(usable, keys, "query_id", "qvec", [], "q", planes)
+    payload = F.lit((planes.dimension * 8 + 64) * planes.tables).cast("long")
+    small = fits_broadcast(questions, payload, broadcast_limit)
+    pairs = index.join(F.broadcast(q) if small else q, [*keys, "hash_table", "bucket"])
+    once = _scored_pairs(pairs, k, min_similarity).groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
     return top_per_key(once, ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], k)
 
 
+def approximate_top_k(
+    questions: DataFrame, chunks: DataFrame, keys: list[str], planes: Planes, k: int, min_similarity: float
+) -> DataFrame:
+    """Index and search in one go; only worthwhile as a check, as a stored index saves the scan."""
+    return search_index(questions, build_index(chunks, keys, planes), keys, planes, k, min_similarity)
+
+
 def recall_at_k(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of the exact hits of each question that the approximate search found."""
     got = approximate.select("query_id", "chunk_id", F.lit(1).alias("_hit"))

@@ -101,10 +101,10 @@ _BLOCK_ENDS = "/?(?:h[1-6]|p|li|ul|ol|table|tr|td|th|div|article|section|header|
 
 
 def _sql_unescape(expr: str) -> str:
-    # fixed values: the entities that occur in the given pages
-    for entity, char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", chr(0xA9)),
-                         ("&nbsp;", chr(0xA0)), ("&amp;", "&")]:
-        expr = f"replace({expr}, {sql_text(entity)}, {sql_text(char)})"
+    # fixed values: the entities that occur in the given pages; HTML lets these names end without a semicolon
+    for entity, char in [("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "'"), ("&copy;?", chr(0xA9)),
+                         ("&nbsp;?", chr(0xA0)), ("&amp;?", "&")]:
+        expr = f"regexp_replace({expr}, {sql_text(entity)}, {sql_text(char)}, 'g')"
     return expr
 
 

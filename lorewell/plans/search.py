@@ -117,8 +117,8 @@ near AS (SELECT s.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY simi
 
 def _approximate(spark, sf_dir):
     return similarity.approximate_top_k(
-        views.topic_questions(spark, sf_dir), views.vector_chunks(spark, sf_dir), retrieval.TENANT, VECTOR_DIMENSION, 8,
-        TOPIC_FLOOR, TABLES, BITS)
+        views.topic_questions(spark, sf_dir), views.vector_chunks(spark, sf_dir), retrieval.TENANT,
+        similarity.Planes(VECTOR_DIMENSION, TABLES, BITS), 8, TOPIC_FLOOR)
 
 
 @query(f"WITH {_SQL_APPROXIMATE} SELECT query_id, rank, chunk_id, round(similarity, 6) AS similarity FROM near")

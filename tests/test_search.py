@@ -68,13 +68,19 @@ def test_per_question_filters(spark):
     assert got == _brute(rows, q, 5, 0.1, allow)
 
 
-def test_approximate_scores_are_exact_and_hits_a_subset(spark):
+def test_approximate_scores_are_exact_and_hits_a_subset(spark, tmp_path):
     rows, q, chunks, questions = _data(spark, n=1500)
     everything = _brute(rows, q, 10 ** 6, 0.3)
     scores = {(k[0], v[0]): v[1] for k, v in everything.items()}
-    near = similarity.approximate_top_k(questions, chunks, retrieval.TENANT, 8, 5, 0.3, tables=6, bits=2)
+    near = similarity.approximate_top_k(questions, chunks, retrieval.TENANT, similarity.Planes(8, 6, 2), 5, 0.3)
     found = near.collect()
     assert found and all(scores[(r["query_id"], r["chunk_id"])] == round(r["similarity"], 9) for r in found)
+    planes = similarity.Planes(8, 6, 2)
+    path = str(tmp_path / "index")
+    similarity.build_index(chunks, retrieval.TENANT, planes).write.partitionBy("hash_table", "bucket").parquet(path)
+    stored = spark.read.parquet(path)
+    assert _got(similarity.search_index(questions, stored, retrieval.TENANT, planes, 5, 0.3)) == _got(near)
+    assert _got(similarity.search_index(questions, stored, retrieval.TENANT, planes, 5, 0.3, broadcast_limit=-1)) == _got(near)
     exact = similarity.top_k_join(questions, chunks, retrieval.TENANT, 5, 0.3)
     assert similarity.recall_at_k(exact, near).agg(F.avg("recall")).first()[0] > 0.5
 
