@@ -79,32 +79,33 @@ def pack_vectors(
                 )
             heads = [batch.column(i).to_pylist() for i in range(width + len(list_fields))]
             vectors = batch.column(width + len(list_fields))
-            flat = vectors.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(vectors.offsets.to_numpy())
-            ends = np.cumsum(sizes)
-            valid = vectors.is_valid().to_numpy(zero_copy_only=False)
-            position = 0
-            for record, end, size, ok in zip(zip(*heads), ends, sizes, valid):
-                start, position = position, (end if ok else position)
-                if not ok:
-                    continue
-                v = flat[end - size:end].astype(np.float64)
-                length = np.sqrt(v @ v)
-                if not length > 0:
-                    continue
-                key = record[:width]
-                targets = [(*key, t, code) for t, code in enumerate(planes.codes(signs, v))] if planes else [key]
-                entry = (record[width:], v / length)
-                for target in targets:
-                    entries = open_blocks.setdefault(target, [])
-                    entries.append(entry)
-                    if len(entries) >= BLOCK_ROWS:
-                        waiting -= v.nbytes * len(entries)
-                        yield close([(target, open_blocks.pop(target))])
-                waiting += v.nbytes * len(targets)
-                if waiting >= OPEN_BYTES:
-                    yield close(open_blocks.items())
-                    open_blocks, waiting = {}, 0
+            present = vectors.is_valid().to_numpy(zero_copy_only=False)
+            # rows of unlike length cannot share a matrix; contract-checked data has one group
+            sizes = np.where(present, np.diff(vectors.offsets.to_numpy()), 0)
+            starts = np.cumsum(sizes) - sizes
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            records = list(zip(*heads))
+            for size in np.unique(sizes[sizes > 0]):
+                rows = np.flatnonzero(sizes == size)
+                matrix = flat[starts[rows][:, None] + np.arange(size)]
+                length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+                rows, matrix, length = rows[length > 0], matrix[length > 0], length[length > 0]
+                codes = planes.codes(signs, matrix) if planes else None
+                unit = matrix / length[:, None]
+                for i, at in enumerate(rows):
+                    record = records[at]
+                    key = record[:width]
+                    entry = (record[width:], unit[i].copy())  # a view would hold the whole batch
+                    for target in ([(*key, t, code) for t, code in enumerate(codes[i])] if planes else [key]):
+                        entries = open_blocks.setdefault(target, [])
+                        entries.append(entry)
+                        waiting += unit[i].nbytes
+                        if len(entries) >= BLOCK_ROWS:
+                            waiting -= unit[i].nbytes * len(entries)
+                            yield close([(target, open_blocks.pop(target))])
+                    if waiting >= OPEN_BYTES:
+                        yield close(open_blocks.items())
+                        open_blocks, waiting = {}, 0
         if open_blocks:
             yield close(open_blocks.items())
 
@@ -248,8 +249,8 @@ class Planes:
             [plane_sign(t, b, e) for e in range(self.dimension)] for t in range(self.tables) for b in range(self.bits)
         ], dtype=np.float64)
 
-    def codes(self, signs: np.ndarray, vector: np.ndarray) -> list[int]:
-        on = (signs @ vector > 0).reshape(self.tables, self.bits)
+    def codes(self, signs: np.ndarray, vectors: np.ndarray) -> list[list[int]]:
+        on = (vectors @ signs.T > 0).reshape(-1, self.tables, self.bits)
         return (on @ (1 << np.arange(self.bits))).tolist()
 
 
