@@ -279,7 +279,6 @@ def two_key_match(spark, sf_dir):
     )
 
 
-_ACTIONS = {"click": "suspend", "view": "unsuspend", "purchase": "suspend", "signup": "delete"}
 _SQL_ACTIONS = """acts AS (SELECT event_id AS seq, ts, user_id AS actor, event_id * 7 % 1600 AS target,
   CASE event_type WHEN 'click' THEN 'suspend' WHEN 'view' THEN 'unsuspend' WHEN 'purchase' THEN 'suspend' WHEN 'signup' THEN CASE WHEN event_id % 9 = 0 THEN 'delete' ELSE 'archive' END ELSE 'archive' END AS action FROM events),
 judged AS (SELECT a.*, CASE WHEN action IN ('suspend', 'delete') AND actor = target THEN 'own account' WHEN c_custkey IS NULL THEN 'not found' END AS reason

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,7 +105,3 @@ def rule_violation(name: str) -> Column:
         return F.lit(None).cast("string")
     joined = F.concat_ws(",", *checks)
     return F.when(joined != "", joined)
-
-
-def with_fields(df: DataFrame, **cols: Column) -> DataFrame:
-    return reduce(lambda d, kv: d.withColumn(*kv), cols.items(), df)

@@ -9,7 +9,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.functions.text import SPACES, _c, strip_text
+from lorewell.functions.text import _c, strip_text
 from lorewell.sources.decode import DecodeError, as_text, decode_documents
 from lorewell.sources.markup import LINES_PER_BLOCK, grouped
 
@@ -144,7 +144,3 @@ def capped_lines(rows: DataFrame, number: str, line: str, cap: int, marker: str,
           else F.lit(marker).alias(c) if c == line else F.col(c) for c in rows.columns]
     )
     return kept.unionByName(trigger)
-
-
-def nonblank(text: Column | str) -> Column:
-    return F.btrim(_c(text), F.lit(SPACES)) != ""
