@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorewell.llm import bpe_codec, token_counts
+from lorewell.llm import bpe_codec, line_spread, token_counts
 from lorewell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,30 @@ def query(sql: str | None = None):
     return add
 
 
+LINE_SPREAD_SQL = """
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), h AS (SELECT doc_id, source, pos, line, CASE WHEN trim(line) <> '' THEN md5(line) END AS d FROM l),
+m AS (SELECT doc_id, min(DISTINCT d) AS k1 FROM h WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m2 AS (SELECT h.doc_id, k1, min(d) FILTER (d <> k1) AS k2 FROM h JOIN m ON h.doc_id = m.doc_id GROUP BY h.doc_id, k1),
+o AS (SELECT h.doc_id, source, pos, d, coalesce(CASE WHEN d = k1 THEN k2 ELSE k1 END, '') AS context FROM h JOIN m2 ON h.doc_id = m2.doc_id WHERE d IS NOT NULL),
+f AS (
+  SELECT d, min(doc_id) AS first_doc FROM o GROUP BY d
+  HAVING count(DISTINCT source) >= 10 AND 2 * count(DISTINCT context) >= count(DISTINCT doc_id)
+), g AS (SELECT h.doc_id, h.pos, h.line, f.d IS NOT NULL AND h.doc_id <> f.first_doc AS gone FROM h LEFT JOIN f ON h.d = f.d)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM g GROUP BY doc_id
+"""
+
+
+@query(LINE_SPREAD_SQL)
+def op4_line_site_spread(spark, sf_dir):
+    out = line_spread.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query()
 def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
