@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import bpe_codec, line_spread, token_counts
+from lorewell.llm import bpe_codec, bwt_merge, line_spread, suffix_trees, token_counts
 from lorewell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op3_bwt_merge_dedup(spark, sf_dir):
+    return bwt_merge.remove_substrings(table(spark, sf_dir, "documents"), digest=True)
+
+
 LINE_SPREAD_SQL = """
 WITH l AS (
   SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
@@ -61,3 +66,8 @@ def op6_token_counts(spark, sf_dir):
 @query()
 def op8_bpe_round_trip(spark, sf_dir):
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), WORD_MODEL)
+
+
+@query()
+def op9_suffix_tree_dedup(spark, sf_dir):
+    return suffix_trees.remove_sequences(table(spark, sf_dir, "documents"), digest=True)
