@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import bpe_codec, bwt_merge, line_spread, suffix_trees, token_counts
+from lorewell.llm import bpe_codec, bwt_merge, line_spread, multi_index, suffix_trees, token_counts
 from lorewell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,9 @@ def op8_bpe_round_trip(spark, sf_dir):
 @query()
 def op9_suffix_tree_dedup(spark, sf_dir):
     return suffix_trees.remove_sequences(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query()
+def op10_multi_index_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
