@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import bpe_codec, bwt_merge, line_spread, multi_index, suffix_trees, token_counts
+from lorewell.llm import bpe_codec, bwt_merge, line_spread, multi_index, suffix_trees, token_counts, training_order
 from lorewell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op2_training_order(spark, sf_dir):
+    index, _ = training_order.materialise(table(spark, sf_dir, "documents"))
+    return index
+
+
 @query()
 def op3_bwt_merge_dedup(spark, sf_dir):
     return bwt_merge.remove_substrings(table(spark, sf_dir, "documents"), digest=True)
