@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import bpe_codec, bwt_merge, line_spread, multi_index, suffix_trees, token_counts, training_order
+from lorewell.llm import bpe_codec, bwt_merge, line_spread, multi_index, suffix_trees, token_counts, toxicity, training_order
 from lorewell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,12 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+@query()
+def op7_toxicity_weak_labels(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query()
 def op8_bpe_round_trip(spark, sf_dir):
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), WORD_MODEL)
