@@ -2,7 +2,7 @@
 
 1. Features of a text are its words and the 4, 5 and 6 letter beginnings of longer words
    (stems of inflected abuse). Training rows tell which features mark toxic texts: the
-   lexicon, the ``LEXICON`` best by a z-score of their log-odds.
+   lexicon, the ``LEXICON`` best by the likelihood ratio of their counts.
 2. Many voters look at a text: lexicon groups by kind and precision, a curated list, density,
    variety, absence, and surface patterns. Each votes toxic, clean or nothing.
 3. A generative label model estimates by EM how each voter votes given the unseen class (the
@@ -144,7 +144,7 @@ def _text(raw: bytes | None) -> str:
 
 
 def learn_lexicon(training: DataFrame, positives: int, negatives: int, size: int = LEXICON) -> Lexicon:
-    """Features that are more frequent in toxic texts by at least 2.5 standard errors and e times."""
+    """Features at least twice as frequent in toxic texts, by the likelihood ratio of their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,12 +156,12 @@ def learn_lexicon(training: DataFrame, positives: int, negatives: int, size: int
             yield pa.RecordBatch.from_arrays([pa.array(every.keys(), pa.string()), pa.array(every.values(), pa.int64()), pa.array([toxic[f] for f in every], pa.int64())], names=["feature", "n", "toxic"])
 
     counts = training.select("text", "toxic").mapInArrow(run, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("pos"))
-    pos, neg = F.col("pos") + 0.5, F.col("n") - F.col("pos") + 0.5
-    odds = F.log(pos / F.lit(positives + 1)) - F.log(neg / F.lit(negatives + 1))
+    pos, neg, n = F.col("pos"), F.col("n") - F.col("pos"), F.col("n")
+    share = positives / (positives + negatives)
+    surprise = 2 * (pos * F.log(pos / (n * share)) + F.when(neg > 0, neg * F.log(neg / (n * (1 - share)))).otherwise(0.0))
     best = (
-        counts.where(F.col("pos") >= 4).withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / pos + 1 / neg))
-        .where((F.col("odds") >= 1) & (F.col("z") >= 2.5)).withColumn("precision", pos / (pos + neg))
-        .orderBy(F.desc("z"), "feature").limit(size).select("feature", "precision").collect()
+        counts.where((pos >= 3) & (pos > 2 * share * n)).withColumn("surprise", surprise).where(F.col("surprise") >= 8)
+        .withColumn("precision", (pos + 0.5) / (n + 1)).orderBy(F.desc("surprise"), "feature").limit(size).select("feature", "precision").collect()
     )
     return Lexicon([r["feature"] for r in best], [0 if r["precision"] >= 0.9 else 1 if r["precision"] >= 0.6 else 2 for r in best])
 
