@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import bpe_codec, bwt_merge, line_spread, multi_index, suffix_trees, token_counts, toxicity, training_order
+from lorewell.llm import bpe_codec, bwt_merge, line_spread, multi_index, near_duplicates, suffix_trees, token_counts, toxicity, training_order
 from lorewell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,11 @@ def op4_line_site_spread(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query()
+def op5_set_sketch_duplicates(spark, sf_dir):
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 @query()
 def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
