@@ -12,6 +12,7 @@ never part within ``size`` symbols are intervals of a repeated string.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from lorewell.llm.repeats import Units, removed_repeats
 
 SIZE = 50
-SHARD_BYTES = 128 * 1024
+SHARD_BYTES = 32 * 1024
 
 
 def shard_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -54,16 +55,17 @@ def merge_transforms(shards: list[np.ndarray], depth: int = SIZE) -> tuple[np.nd
     n = len(transform)
     shard_type = np.uint8 if len(shards) <= 256 else np.uint16 if len(shards) <= 65536 else np.uint32
     interleave = np.repeat(np.arange(len(shards), dtype=shard_type), [len(s) for s in shards])
-    common = np.full(n, depth, np.int32)
+    common = np.full(n, depth, np.uint8)
     common[:1] = 0
-    symbols = np.empty(n, np.uint16)
+    symbols, block = np.empty(n, np.uint16), np.zeros(n, np.int32)
+    parted = np.ones(n, bool)
     for h in range(0, depth, 2):
         symbols[np.argsort(interleave, kind="stable")] = transform
-        block = np.cumsum(common < h) if h else np.zeros(n, np.int64)
         step = np.argsort(symbols, kind="stable")
         moved, within = symbols[step], block[step]
-        parted = np.flatnonzero((moved[1:] != moved[:-1]) | (within[1:] != within[:-1])) + 1
-        common[parted[common[parted] == depth]] = h
+        np.logical_or(moved[1:] != moved[:-1], within[1:] != within[:-1], out=parted[1:])
+        common[parted & (common == depth)] = h
+        np.cumsum(parted, out=block)
         interleave = interleave[step]
     bases = np.cumsum([0, *[len(s) for s in shards[:-1]]])
     merged = np.empty(n, np.int64)
@@ -84,23 +86,20 @@ def _shards(contents: list[bytes]) -> list[np.ndarray]:
     return shards
 
 
-def judge(table: pa.Table, size: int = SIZE) -> list[np.ndarray]:
-    """For every piece, which of its windows also start in a document with a smaller id."""
-    contents, counts = table.column("content").to_pylist(), table.column("n").to_numpy()
-    docs = table.column("doc_id").to_numpy()
-    if not contents:
-        return []
+def judge(contents: list[bytes], counts: np.ndarray, docs: np.ndarray, starts: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """For every window of the pieces in turn, whether it also starts in a document with a smaller id."""
     merged, common = merge_transforms(_shards(contents), size)
     lengths = np.array([len(c) for c in contents])
     begin = np.cumsum(lengths) - lengths
-    piece = np.repeat(np.arange(len(contents)), lengths)
-    inside = np.arange(len(piece)) - begin[piece] < counts[piece]
-    doc = np.where(inside, docs[piece], np.iinfo(np.int64).max)[merged]  # what runs over a piece's end is no window
+    windows = np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    doc = np.full(len(merged), np.iinfo(np.int64).max)  # what runs over a piece's end is no window
+    doc[windows] = np.repeat(docs, counts)
+    doc = doc[merged]
     heads = np.flatnonzero(common < size)
     least = np.repeat(np.minimum.reduceat(doc, heads), np.diff(np.append(heads, len(doc))))
     earlier = np.empty(len(doc), bool)
     earlier[merged] = least < doc
-    return [earlier[b : b + n] for b, n in zip(begin.tolist(), counts.tolist())]
+    return earlier[windows]
 
 
 def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -130,7 +129,7 @@ def remove_substrings(docs: DataFrame, digest: bool = False, size: int = SIZE) -
     if size % 2 or not 16 <= size <= 64:
         raise ValueError("size must be even, from 16 to 64")
     kind = Units(size=size, gram=16 if size >= 32 else 8, words=False, across=True)
-    judged = lambda table: judge(table, size)
+    judged = partial(judge, size=size)
     if digest:
         return removed_repeats(docs, kind, judged, _digest, ["n_bytes", "n_removed", "n_spans", "kept_sha256"],
                                [pa.int64(), pa.int64(), pa.int64(), pa.string()], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

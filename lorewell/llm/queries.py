@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import bpe_codec, bwt_merge, line_spread, multi_index, near_duplicates, suffix_trees, token_counts, toxicity, training_order
+from lorewell.llm import bpe_codec, bwt_merge, decontaminate, line_spread, multi_index, near_duplicates, suffix_trees, token_counts, toxicity, training_order
 from lorewell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_latent_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op2_training_order(spark, sf_dir):
     index, _ = training_order.materialise(table(spark, sf_dir, "documents"))

@@ -33,14 +33,18 @@ from lorewell.llm.common import partitions
 
 SLICE_BYTES = 256 * 1024  # bytes worked on at once, so that the arrays stay in the processor's cache
 BLOCKS_PER_PARTITION = 4
-CROWDED = 20_000  # pieces of one anchor above which its windows are dealt by their full content
+CROWDED = 64_000  # pieces of one anchor above which its windows are dealt by their full content
 ANCHOR_BYTES = 6
+CHUNK_BYTES = 256 * 1024  # pieces judged at once, cut between anchors
 
 CENSUS = "bucket int, block int, anchors binary, counts binary"
 FLAGS = "block int, bucket int, repeated binary, crowded binary"
-PIECES = "slot int, content binary, n int, block int, row int, start int, doc_id long, later binary"
+PIECES = "hash int, content binary, n int, block int, row int, start int, doc_id long, later binary"
 MARKS = "block int, row int, start int, n int, bits binary, later binary"
 
+# distinct pieces, their numbers of windows, first documents and first units -> for every window in turn, whether it starts earlier
+Judge = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE_HASH = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
@@ -285,9 +289,9 @@ def flag_bucket(key: tuple, table: pa.Table) -> pa.Table:
     })
 
 
-def pieces_of(kind: Units, buckets: int, slots: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+def pieces_of(kind: Units, buckets: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def pieces(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
-        out: dict[tuple[int, bytes], list] = {}
+        out: dict[bytes, list] = {}
         ids, texts = _rows(table)
         anchors, _ = block_anchors(kind, ids, texts)
         edges = _bucket_edges(anchors, buckets)
@@ -298,40 +302,37 @@ def pieces_of(kind: Units, buckets: int, slots: int) -> Callable[[tuple, pa.Tabl
             crowded[a:z] = np.unpackbits(np.frombuffer(c, np.uint8), count=z - a)
         for part in slices(kind, texts, _judged(ids)) if repeated.any() else ():
             at = np.searchsorted(anchors, _cut(part.anchor))
-            for i in np.flatnonzero(repeated[at]).tolist():
-                n, first, row, start = int(part.count[i]), int(part.first[i]), int(part.row[i]), int(part.start[i])
-                steps = ((j, 1) for j in range(n)) if crowded[at[i]] else ((0, n),)
-                for j, m in steps:
-                    content = _content(kind, part, first + j, m)
-                    slot = _slot(content, slots) if crowded[at[i]] else int(part.anchor[i]) % slots
+            use = np.flatnonzero(repeated[at])
+            raw = part.buf.tobytes()
+            fine = (part.anchor[use] >> np.uint64(33)).tolist()
+            for h, split, n, first, row, start in zip(fine, crowded[at[use]].tolist(), *(c[use].tolist() for c in (part.count, part.first, part.row, part.start))):
+                for j, m in [(j, 1) for j in range(n)] if split else [(0, n)]:
+                    last = first + j + m + kind.size - 2
+                    if kind.words:
+                        content = b" ".join(raw[part.starts[first + j] : part.ends[last]].split())  # cuts at the contracts' six characters
+                    else:
+                        content = raw[first + j : last + 1]
                     place = (ids[row], start + j, row)
-                    held = out.get((m, content))
+                    held = out.get(content)
                     if held is None:
-                        out[(m, content)] = [slot, place, []]
-                    elif kind.across or place >= held[1]:
-                        held[2].append(place)
+                        out[content] = [_hash(content) if split else h, m, place, []]
+                    elif kind.across or place >= held[2]:
+                        held[3].append(place)
                     else:  # rows that share an id come in any order of places
-                        held[2].append(held[1])
-                        held[1] = place
-        rows = [(slot, content, m, key[0].as_py(), p[2], p[1], p[0], _later(kind, p, rest)) for (m, content), (slot, p, rest) in out.items()]
+                        held[3].append(held[2])
+                        held[2] = place
+        block = key[0].as_py()
+        rows = [(h, content, m, block, p[2], p[1], p[0], _later(kind, p, rest) if rest else b"") for content, (h, m, p, rest) in out.items()]
         columns = list(zip(*rows)) if rows else [()] * 8
         kinds = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        names = ["slot", "content", "n", "block", "row", "start", "doc_id", "later"]
+        names = ["hash", "content", "n", "block", "row", "start", "doc_id", "later"]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return pieces
 
 
-def _slot(content: bytes, slots: int) -> int:
-    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little") % slots
-
-
-def _content(kind: Units, part: Slice, first: int, n: int) -> bytes:
-    last = first + n + kind.size - 2
-    if not kind.words:
-        return part.buf[first : last + 1].tobytes()
-    raw = part.buf[part.starts[first] : part.ends[last]].tobytes()
-    return b" ".join(raw.split())  # bytes.split() cuts at the contracts' six characters
+def _hash(content: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(content, digest_size=4).digest(), "little") >> 1
 
 
 def _later(kind: Units, first: tuple, rest: list[tuple]) -> bytes:
@@ -340,6 +341,45 @@ def _later(kind: Units, first: tuple, rest: list[tuple]) -> bytes:
     return np.array([(p[2], p[1], int(key(p) > key(first))) for p in rest], "<i4").tobytes()
 
 
+def judged_of(kind: Units, judge: Judge) -> Callable[[pa.Table], pa.Table]:
+    """Answers of a slot: ``bits`` null for no window, empty for all windows, else one bit a window."""
+
+    def judged(table: pa.Table) -> pa.Table:
+        contents = table.column("content").to_pylist()
+        n, docs, starts, hashes = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "doc_id", "start", "hash"))
+        index: dict[bytes, int] = {}
+        which = np.fromiter((index.setdefault(c, len(index)) for c in contents), np.int64, len(contents))
+        order = np.lexsort((starts, docs, which))
+        head = order[np.flatnonzero(np.append(True, which[order][1:] != which[order][:-1]))]  # first place of each distinct piece
+        behind = docs > docs[head][which] if kind.across else (docs > docs[head][which]) | ((docs == docs[head][which]) & (starts > starts[head][which]))
+        distinct = list(index)
+        some, every, bits = np.zeros(len(head), bool), np.zeros(len(head), bool), [None] * len(head)
+        for chunk in _chunks(hashes[head], [len(c) for c in distinct]):
+            own = head[chunk]
+            flat = judge([distinct[i] for i in chunk], n[own], docs[own], starts[own])
+            begin = np.cumsum(n[own]) - n[own]
+            hits = np.add.reduceat(flat.astype(np.int64), begin)
+            some[chunk], every[chunk] = hits > 0, hits == n[own]
+            for i, b, m in zip(chunk[(hits > 0) & (hits < n[own])].tolist(), begin[(hits > 0) & (hits < n[own])].tolist(), n[own][(hits > 0) & (hits < n[own])].tolist()):
+                bits[i] = np.packbits(flat[b : b + m]).tobytes()
+        later = table.column("later").to_pylist()
+        use = [i for i, (w, b) in enumerate(zip(which.tolist(), behind.tolist())) if b or some[w] or later[i]]
+        answers = [b"" if behind[i] or every[which[i]] else bits[which[i]] for i in use]
+        kept = table.select(["block", "row", "start", "n"]).take(pa.array(use, pa.int64()))
+        return kept.append_column("bits", pa.array(answers, pa.binary())).append_column("later", pa.array([later[i] for i in use], pa.binary()))
+
+    return judged
+
+
+def _chunks(hashes: np.ndarray, sizes: list[int]) -> Iterator[np.ndarray]:
+    """Groups of pieces of about ``CHUNK_BYTES``; pieces with one hash stay together."""
+    order = np.argsort(hashes, kind="stable")
+    total = np.cumsum(np.array(sizes)[order]) // CHUNK_BYTES
+    same = np.append(False, hashes[order][1:] == hashes[order][:-1])
+    cut = np.flatnonzero((np.append(False, total[1:] != total[:-1])) & ~same)
+    yield from (c for c in np.split(order, cut) if len(c))
+
+
 def covered(kind: Units, n: int, marks: list[tuple[int, int, np.ndarray | None]]) -> np.ndarray:
     """Units that lie in a removed window; marks: start, number of windows, which of them (None: all)."""
     edge = np.zeros(n + 1, np.int64)
@@ -362,13 +402,14 @@ def final_of(kind: Units, finish: Callable[[bytes, np.ndarray], tuple], names: l
         by: dict[int, list] = {}
         for row, start, n, bits, later in zip(*(marks.column(c).to_pylist() for c in ("row", "start", "n", "bits", "later"))):
             mask = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool) if bits else None
-            if mask is not None:
+            if bits is not None:
                 by.setdefault(row, []).append((start, n, mask))
-            for r, s, after in np.frombuffer(later, "<i4").reshape(-1, 3).tolist():
-                if after:
-                    by.setdefault(r, []).append((s, n, None))
-                elif mask is not None:
-                    by.setdefault(r, []).append((s, n, mask))
+            if later:
+                for r, s, after in np.frombuffer(later, "<i4").reshape(-1, 3).tolist():
+                    if after:
+                        by.setdefault(r, []).append((s, n, None))
+                    elif bits is not None:
+                        by.setdefault(r, []).append((s, n, mask))
         rows = []
         for r, text in enumerate(texts):
             size = len(text.split()) if kind.words else len(text)
@@ -378,22 +419,15 @@ def final_of(kind: Units, finish: Callable[[bytes, np.ndarray], tuple], names: l
     return final
 
 
-def removed_repeats(docs: DataFrame, kind: Units, judge: Callable[[pa.Table], list[np.ndarray]], finish, names: list[str], kinds: list[pa.DataType], schema: str) -> DataFrame:
-    """The plan of the module's head; ``judge`` gives, for each piece of a slot, a mask of the windows that start earlier."""
+def removed_repeats(docs: DataFrame, kind: Units, judge: Judge, finish, names: list[str], kinds: list[pa.DataType], schema: str) -> DataFrame:
+    """The plan of the module's head; ``judge`` gets distinct pieces with their first places and tells which of all their windows start earlier."""
     width = partitions(docs.sparkSession)
     blocks = BLOCKS_PER_PARTITION * width
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     texts = source.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(width, "block")
 
-    def judged(table: pa.Table) -> pa.Table:
-        masks = judge(table)
-        later = table.column("later").to_pylist()
-        use = [i for i, m in enumerate(masks) if m.any() or later[i]]
-        bits = [np.packbits(masks[i]).tobytes() if masks[i].any() else None for i in use]
-        kept = table.select(["block", "row", "start", "n"]).take(pa.array(use, pa.int64()))
-        return kept.append_column("bits", pa.array(bits, pa.binary())).append_column("later", pa.array([later[i] for i in use], pa.binary()))
-
     flags = texts.groupBy("block").applyInArrow(census_of(kind, width), CENSUS).groupBy("bucket").applyInArrow(flag_bucket, FLAGS)
-    pieces = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(pieces_of(kind, width, blocks), PIECES)
-    marks = pieces.groupBy("slot").applyInArrow(judged, MARKS)
+    pieces = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(pieces_of(kind, width), PIECES)
+    slots = pieces.withColumn("slot", F.pmod("hash", F.lit(blocks)))
+    marks = slots.groupBy("slot").applyInArrow(judged_of(kind, judge), MARKS)
     return texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(final_of(kind, finish, names, kinds), schema)

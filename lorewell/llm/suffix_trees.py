@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 from itertools import compress
 
 import numpy as np
@@ -60,19 +61,16 @@ def deep_nodes(codes: np.ndarray, suffixes: np.ndarray, size: int, shared: int)
     return suffixes[order], np.append(0, np.flatnonzero(common < size) + 1)
 
 
-def judge(table: pa.Table, size: int = SIZE, group: int = GROUP) -> list[np.ndarray]:
-    """For every piece, which of its windows also start at an earlier place."""
-    counts = table.column("n").to_numpy().astype(np.int64)
-    if not len(counts):
-        return []
+def judge(contents: list[bytes], counts: np.ndarray, docs: np.ndarray, starts: np.ndarray, size: int = SIZE, group: int = GROUP) -> np.ndarray:
+    """For every window of the pieces in turn, whether it also starts at an earlier place."""
     vocabulary: dict[bytes, int] = {}
-    codes = np.array([vocabulary.setdefault(w, len(vocabulary)) for c in table.column("content").to_pylist() for w in c.split()], np.int32)
+    codes = np.array([vocabulary.setdefault(w, len(vocabulary)) for c in contents for w in c.split()], np.int32)
     lengths = counts + size - 1
     begin = np.cumsum(lengths) - lengths
     offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     suffixes = np.repeat(begin, counts) + offset
-    doc = np.repeat(table.column("doc_id").to_numpy(), counts)
-    start = np.repeat(table.column("start").to_numpy().astype(np.int64), counts) + offset
+    doc = np.repeat(docs, counts)
+    start = np.repeat(starts, counts) + offset
     order = np.lexsort((start, doc))
     fresh = np.append(0, (doc[order][1:] != doc[order][:-1]) | (start[order][1:] != start[order][:-1]))
     place = np.zeros(len(codes), np.int64)
@@ -83,7 +81,7 @@ def judge(table: pa.Table, size: int = SIZE, group: int = GROUP) -> list[np.ndar
         at = place[ordered]
         least = np.repeat(np.minimum.reduceat(at, heads), np.diff(np.append(heads, len(at))))
         earlier[ordered] = least < at
-    return [earlier[b : b + n] for b, n in zip(begin.tolist(), counts.tolist())]
+    return earlier[suffixes]
 
 
 def _digest(text: bytes, gone: np.ndarray) -> tuple:
@@ -106,7 +104,7 @@ def remove_sequences(docs: DataFrame, digest: bool = False, size: int = SIZE) ->
     other. Other columns are ignored; an empty table gives no rows.
     """
     kind = Units(size=size, gram=max(1, min(8, size // 2)), words=True, across=False)
-    judged = lambda table: judge(table, size)
+    judged = partial(judge, size=size)
     if digest:
         return removed_repeats(docs, kind, judged, _digest, ["n_words", "n_removed", "kept_sha256"],
                                [pa.int64(), pa.int64(), pa.string()], "doc_id long, n_words long, n_removed long, kept_sha256 string")
