@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.llm.common import stored
@@ -33,7 +33,7 @@ REGISTERS = BANDS * ROWS
 BASE = 1.02
 TOP = 65_534
 DOUBT = 18.0  # nats of likelihood below which a pair is never dropped
-CROWDED = 4_096  # pairs of one bucket from which a second shared band is asked for
+CROWDED = 256  # pairs of one bucket from which a shared rare shingle is asked for too
 SHINGLE = 5
 PART = 65_536  # shingles sketched at once
 
@@ -157,25 +157,46 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     return likely.join(items("b"), "b").join(items("a"), "a").select("a", "b", "items_a", "items_b").mapInArrow(exact, "a long, b long")
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket, without listing the pairs inside a bucket's largest component."""
-    own = members.join(labels.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select("bucket", "class_id", F.coalesce("root", "class_id").alias("root"))
-    groups = own.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+def _mixed(rows: DataFrame) -> DataFrame:
+    """``bucket, class_id, root`` of buckets with several components, with the largest one and whether the bucket is crowded."""
+    groups = rows.groupBy("bucket", "root").agg(F.count("*").alias("size"))
     mixed = (
         groups.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("large"), F.sum("size").alias("total"), F.count("*").alias("parts")).where("parts > 1")
         .select("bucket", F.col("large.root").alias("large"), ((F.col("total") - F.col("large.size")) * F.col("total") > CROWDED).alias("crowded"))
     )
-    rows = stored(own.join(mixed, "bucket"), "mixed")
+    return rows.join(mixed, "bucket")
+
+
+def _meet(rows: DataFrame) -> DataFrame:
+    """Members outside their bucket's largest component with all members of other components."""
+    few = rows.where("root <> large").select("bucket", F.col("class_id").alias("x"), F.col("root").alias("root_x"))
+    every = rows.select("bucket", F.col("class_id").alias("y"), F.col("root").alias("root_y"))
+    return few.join(every, "bucket").where("root_x <> root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    def meet(df: DataFrame, *keys: str) -> DataFrame:
-        few = df.where("root <> large").select(*keys, F.col("class_id").alias("x"), F.col("root").alias("root_x"))
-        every = df.select(*keys, F.col("class_id").alias("y"), F.col("root").alias("root_y"))
-        return few.join(every, list(keys)).where("root_x <> root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
-    crowded = rows.where("crowded")
-    second = rows.select("class_id", F.col("bucket").alias("other"))
-    twice = crowded.join(second, "class_id").where("bucket <> other")
-    return meet(rows.where("not crowded"), "bucket").unionByName(meet(twice, "bucket", "other")).distinct()
+def _prefixes(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of each class, so many that two similar classes must share one: ``bucket, class_id, root``."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, raw in enumerate(batch.column(2).to_pylist()):
+                items = np.frombuffer(raw, np.int64)
+                same = pa.array(np.full(len(items), at), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(items), batch.column(0).take(same), batch.column(1).take(same), pa.array(np.full(len(items), len(items)), pa.int32())], names=["bucket", "class_id", "root", "n"])
+
+    # a text that stands for several rows of one id may have several sets; all of their shingles count
+    items = crowded.join(sets, "class_id").select("class_id", "root", "items").mapInArrow(explode, "bucket long, class_id long, root long, n int")
+    rare = items.join(items.groupBy("bucket").agg(F.count("*").alias("held")), "bucket")
+    place = F.row_number().over(Window.partitionBy("class_id").orderBy("held", "bucket"))
+    return rare.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("held > 1").select("bucket", "class_id", "root")
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a bucket and may still be similar."""
+    own = members.join(labels.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select("bucket", "class_id", F.coalesce("root", "class_id").alias("root"))
+    rows = stored(_mixed(own), "mixed")
+    prefixes = _prefixes(rows.where("crowded").select("class_id", "root").distinct(), sets, percent)
+    return _meet(rows.where("not crowded")).unionByName(_meet(_mixed(stored(prefixes, "prefixes")))).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -201,7 +222,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     first = leaders.groupBy("class_id").agg(F.max(F.struct("bands", (-F.col("leader")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), F.col("class_id").alias("b"))
     links = stored(_links(first, classes, sets, percent), "links")
     labels = components(links)
-    more = stored(_links(_open_pairs(members, labels), classes, sets, percent), "links")
+    more = stored(_links(_open_pairs(members, labels, sets, percent), classes, sets, percent), "links")
     labels = components(links.unionByName(more))
     by_key = keyed.select("set_key", "class_id").join(labels, F.col("class_id") == F.col("node"), "left").select("set_key", F.coalesce("root", "class_id").alias("root"))
     out = rows.join(by_key, "set_key", "left")
