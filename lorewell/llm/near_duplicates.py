@@ -174,29 +174,48 @@ def _meet(rows: DataFrame) -> DataFrame:
     return few.join(every, "bucket").where("root_x <> root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _prefixes(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rarest shingles of each class, so many that two similar classes must share one: ``bucket, class_id, root``."""
+def _rare_meet(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of crowded buckets that the limit leaves possible, by what sets them apart from a reference.
+
+    The reference is the root of the bucket's largest component, and every class meets it.
+    A class is described by its *difference*: shingles it adds and shingles it lacks. Two
+    similar classes differ in at most T shingles, so their differences share at least
+    o = (d_x + d_y - T) / 2; in rare-first order the first shared one then stands at
+    place d - o + 1 or before on both sides. If o <= 0 one class is within T / 2 of the reference
+    and the other within T, so both are linked to it already.
+    """
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, raw in enumerate(batch.column(2).to_pylist()):
-                items = np.frombuffer(raw, np.int64)
-                same = pa.array(np.full(len(items), at), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(items), batch.column(0).take(same), batch.column(1).take(same), pa.array(np.full(len(items), len(items)), pa.int32())], names=["bucket", "class_id", "root", "n"])
-
-    # a text that stands for several rows of one id may have several sets; all of their shingles count
-    items = crowded.join(sets, "class_id").select("class_id", "root", "items").mapInArrow(explode, "bucket long, class_id long, root long, n int")
-    rare = items.join(items.groupBy("bucket").agg(F.count("*").alias("held")), "bucket")
-    place = F.row_number().over(Window.partitionBy("class_id").orderBy("held", "bucket"))
-    return rare.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("held > 1").select("bucket", "class_id", "root")
+            for at, (own, base) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                own, base = np.frombuffer(own, np.uint64), np.frombuffer(base, np.uint64)
+                apart = np.concatenate([np.setdiff1d(own, base, assume_unique=True), ~np.setdiff1d(base, own, assume_unique=True)])
+                if len(apart):
+                    same = pa.array(np.full(len(apart), at), pa.int32())
+                    sizes = [pa.array(np.full(len(apart), v), pa.int32()) for v in (len(own), len(apart))]
+                    yield pa.RecordBatch.from_arrays([batch.column(c).take(same) for c in range(3)] + [pa.array(apart.view(np.int64)), *sizes], names=["class_id", "root", "large", "item", "n", "d"])
+
+    base = sets.select(F.col("class_id").alias("large"), F.col("items").alias("base"))
+    both = crowded.join(sets, "class_id").join(base, "large").where("class_id <> large").select("class_id", "root", "large", "items", "base")
+    apart = stored(both.mapInArrow(differ, "class_id long, root long, large long, item long, n int, d int"), "differences")
+    held = apart.groupBy("large", "item").agg(F.count("*").alias("held"))
+    place = F.row_number().over(Window.partitionBy("class_id", "large").orderBy("held", "item"))
+    ranked = apart.join(held, ["large", "item"]).withColumn("place", place).where("held > 1").drop("held")
+    side = lambda end: ranked.select("large", "item", F.col("root").alias(f"root_{end}"), F.col("class_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}"), F.col("place").alias(f"place_{end}"))
+    apart_most = F.floor((F.col("n_x") + F.col("n_y")) * (100 - percent) / (100 + percent))
+    shared = F.ceil((F.col("d_x") + F.col("d_y") - apart_most) / 2)
+    possible = (shared > 0) & (F.col("place_x") <= F.col("d_x") - shared + 1) & (F.col("place_y") <= F.col("d_y") - shared + 1) & (F.col("root_x") != F.col("root_y"))
+    met = side("x").where("root_x <> large").join(side("y"), ["large", "item"]).where(possible)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(
+        crowded.where("root <> large").select(F.least("class_id", "large").alias("a"), F.greatest("class_id", "large").alias("b"))).distinct()
 
 
 def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a bucket and may still be similar."""
     own = members.join(labels.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select("bucket", "class_id", F.coalesce("root", "class_id").alias("root"))
     rows = stored(_mixed(own), "mixed")
-    prefixes = _prefixes(rows.where("crowded").select("class_id", "root").distinct(), sets, percent)
-    return _meet(rows.where("not crowded")).unionByName(_meet(_mixed(stored(prefixes, "prefixes")))).distinct()
+    crowded = rows.where("crowded").select("class_id", "root", "large").distinct()
+    return _meet(rows.where("not crowded")).unionByName(_rare_meet(crowded, sets, percent)).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
