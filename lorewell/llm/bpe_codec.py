@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lorewell.llm.merges import Cache, merge_symbols
 
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-TOKENS_SCHEMA = "doc_id long, ids array<int>, decoded string"
+TOKENS_SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string"
 
 
 def byte_symbols() -> list[str]:
@@ -195,15 +195,15 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id, ids, decoded`` of every whole text; same rules as ``round_trip``."""
+    """``doc_id, n_tokens, ids, decoded`` of every whole text; same rules as ``round_trip``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(vocabulary)
         for batch in batches:
             ids = [codec.encode(t) for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([i.astype("int32") for i in ids], pa.list_(pa.int32())), pa.array([codec.decode(i) for i in ids], pa.string())],
-                names=["doc_id", "ids", "decoded"],
+                [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([i.astype("int32") for i in ids], pa.list_(pa.int32())), pa.array([codec.decode(i) for i in ids], pa.string())],
+                names=["doc_id", "n_tokens", "ids", "decoded"],
             )
 
     return _source(docs).mapInArrow(run, TOKENS_SCHEMA)

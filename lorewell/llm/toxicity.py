@@ -212,3 +212,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return _source(docs).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with all columns, less the rows whose score is 0.5 or more."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array([model.score(_text(raw)) < 0.5 for raw in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
