@@ -51,7 +51,7 @@ def merge_transforms(shards: list[np.ndarray], depth: int = SIZE) -> tuple[np.nd
     (``depth``: at least that long).
     """
     orders = [shard_order(s, depth) for s in shards]
-    transform = np.concatenate([s[o - 2].astype(np.uint16) * np.uint16(256) + s[o - 1] for s, o in zip(shards, orders)])
+    transform = np.concatenate([s[(o - 2) % len(s)].astype(np.uint16) * np.uint16(256) + s[o - 1] for s, o in zip(shards, orders)])
     n = len(transform)
     shard_type = np.uint8 if len(shards) <= 256 else np.uint16 if len(shards) <= 65536 else np.uint32
     interleave = np.repeat(np.arange(len(shards), dtype=shard_type), [len(s) for s in shards])
