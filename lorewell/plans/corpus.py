@@ -167,9 +167,8 @@ def _sheet_sql() -> str:
     parts = []
     for name, number, key, cells in _SHEETS:
         line = " || ' | ' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cells)
-        parts.append(f"""SELECT CAST({number * 2} AS BIGINT) AS seq, {number} AS page_number, 'heading' AS kind, '{name}' AS text
-UNION ALL SELECT {number * 2 + 1}, {number}, 'table', string_agg(line, chr(10) ORDER BY {key}) || CASE WHEN max({key}) >= 5000 THEN chr(10) || '... (truncated after 5000 rows)' ELSE '' END
-FROM (SELECT {key}, CASE WHEN {key} < 5000 THEN {line} END AS line FROM {name})""")
+        parts.append(f"""SELECT CAST({number << 32} AS BIGINT) AS seq, {number} AS page_number, 'heading' AS kind, '{name}' AS text
+UNION ALL SELECT {number << 32} + 1 + {key} // 1000, {number}, 'table', string_agg({line}, chr(10) ORDER BY {key}) FROM {name} GROUP BY {key} // 1000""")
     return "\nUNION ALL ".join(parts)
 
 
@@ -236,7 +235,7 @@ def slide_blocks(spark, sf_dir):
         "doc_id", (F.floor(F.col("n") / 6) + 1).cast("int").alias("slide"), place.alias("shape_no"), F.lit(0).alias("para_no"),
         role.alias("role"), "text")
     return layout.slide_blocks(shapes).select(
-        "doc_id", "page_number", (F.col("seq") % 100_000).cast("int").alias("position"), "kind", "text", "section_title")
+        "doc_id", "page_number", (F.col("seq") % (1 << 32)).cast("int").alias("position"), "kind", "text", "section_title")
 
 
 _SIZE_SQL = "CASE WHEN length(text) % 9 = 0 THEN 18.0 WHEN length(text) % 9 = 1 THEN 14.0 WHEN length(text) % 2 = 0 THEN 10.2 ELSE 9.0 END"
@@ -259,7 +258,7 @@ def span_blocks(spark, sf_dir):
         "doc_id", (F.floor(F.col("n") / 40) + 1).cast("int").alias("page"), F.lit(0).alias("block"),
         (F.col("n") % 40).alias("line"), F.lit(0).alias("span"), size.alias("size"), "text")
     return layout.span_blocks(spans).select(
-        "doc_id", "page_number", (F.col("seq") % 100_000).cast("int").alias("line"),
+        "doc_id", "page_number", (F.col("seq") % (1 << 20)).cast("int").alias("line"),
         F.coalesce("heading_level", F.lit(0)).alias("heading_level"), "text", "section_title")
 
 

@@ -3,7 +3,7 @@
 A decoder is a small function ``content -> iterable of blocks`` where a block
 is ``(kind, text, heading_level, page_number, section_title)``. Documents never
 leave their partition and block batches are flushed by size, so memory per task
-is one document plus one output batch.
+is one document with its blocks plus one output batch.
 """
 
 from __future__ import annotations
@@ -46,14 +46,18 @@ def decode_documents(
             rows: list[tuple] = []
             for record in zip(*(c.to_pylist() for c in batch.columns)):
                 head, body = record[:-1], record[-1]
+                # whatever a decoder trips over concerns this document only, and none of its blocks count then
                 try:
-                    for seq, block in enumerate(decoder(body) if body is not None else ()):
-                        rows.append((*head, seq, *block, None))
-                        if len(rows) >= FLUSH_ROWS:
-                            yield _to_batch(rows, arrow)
-                            rows = []
+                    found = [(*head, seq, *block, None) for seq, block in enumerate(decoder(body) if body is not None else ())]
                 except DecodeError as fault:
-                    rows.append((*head, 0, None, None, None, None, None, str(fault)))
+                    found = [(*head, 0, None, None, None, None, None, str(fault))]
+                except Exception as fault:
+                    found = [(*head, 0, None, None, None, None, None, f"{type(fault).__name__}: {fault}")]
+                for row in found:
+                    rows.append(row)
+                    if len(rows) >= FLUSH_ROWS:
+                        yield _to_batch(rows, arrow)
+                        rows = []
             if rows:
                 yield _to_batch(rows, arrow)
 

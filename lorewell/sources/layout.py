@@ -61,7 +61,7 @@ def slide_blocks(shapes: DataFrame) -> DataFrame:
         shapes.withColumn("text", strip_text("text")).filter(F.col("text") != "")
         .withColumn("_place", position)
         .withColumn("section_title", F.max(F.when(F.col("role") == "title", F.col("text"))).over(slide))
-        .withColumn("seq", F.col("slide").cast("long") * 100_000 + F.row_number().over(ordered))
+        .withColumn("seq", F.col("slide").cast("long") * (1 << 32) + F.row_number().over(ordered))
         .select(
             "doc_id", "seq", F.when(F.col("role") == "title", "heading").otherwise("paragraph").alias("kind"),
             spoken.alias("text"), F.when(F.col("role") == "title", 1).alias("heading_level"),
@@ -98,7 +98,7 @@ def span_blocks(spans: DataFrame) -> DataFrame:
     )
     heading = F.when(F.col("heading_level").isNotNull(), F.col("text"))
     filled = carry_forward(lines, ["doc_id"], "page", ["page", "block", "line"], heading, "section_title")
-    stride = 100_000
+    stride = 1 << 20
     return filled.select(
         "doc_id",
         ((F.col("page").cast("long") * stride + F.col("block")) * stride + F.col("line")).alias("seq"),

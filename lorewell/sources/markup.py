@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from lorewell.sources.decode import DecodeError, as_text, decode_documents
+from lorewell.functions.text import strip_text
+from lorewell.sources.decode import as_text, decode_documents
 
 # Elements dropped with everything inside them.
 NOISE = frozenset(["script", "style", "nav", "footer", "noscript"])
@@ -26,7 +27,6 @@ IMPLIED_END = {
     "td": (("td", "th"), ("tr", "table")),
     "th": (("td", "th"), ("tr", "table")),
 }
-XML_LINE_CAP = 5000
 LINES_PER_BLOCK = 50
 
 
@@ -155,26 +155,41 @@ def grouped(lines: list[str], kind: str):
         yield kind, "\n".join(lines[start:start + LINES_PER_BLOCK]), None, None, None
 
 
-def decode_xml(content):
-    """``tag: text`` for every element with own text, namespaces removed."""
-    source = bytes(content) if isinstance(content, (bytes, bytearray, memoryview)) else str(content)
-    parser = ET.XMLParser(target=ET.TreeBuilder(insert_comments=True))
-    try:
-        root = ET.fromstring(source, parser)
-    except ET.ParseError as fault:
-        raise DecodeError(f"Could not parse XML: {fault}") from fault
-    lines: list[str] = []
-    for element in root.iter():
-        if not isinstance(element.tag, str):
-            continue
-        if len(lines) >= XML_LINE_CAP:
-            lines.append(f"... (truncated after {XML_LINE_CAP} elements)")
-            break
-        text = (element.text or "").strip()
-        if text:
-            lines.append(f"{element.tag.rpartition('}')[2]}: {text}")
-    return grouped(lines, "paragraph")
+# An opening tag, its prefix left out, and the text up to the next tag.
+_OPENING = r"<(?:[A-Za-z_][\w.\-]*:)?([A-Za-z_][\w.\-]*)(?:\s[^<>]*)?(?<!/)>([^<]+)"
+_UTF8_NAMES = ("", "utf-8", "utf8", "us-ascii", "ascii")
+
+
+def _resolved(text: Column) -> Column:
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
 
 
 def xml_blocks(docs: DataFrame, content: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    return decode_documents(docs, decode_xml, content, carry)
+    """``tag: text`` for every element with own text, 50 per block, by expressions only.
+
+    Prefixes are left out, the five named entities are resolved, and sections of raw
+    character data are read as text. A document whose tags do not balance, or that
+    states another encoding than UTF-8, gives one row with ``error`` set.
+    """
+    raw = F.col(content).cast("string")
+    flat = F.regexp_replace(raw, r"<!--[\s\S]*?-->", "<!---->")
+    flat = F.regexp_replace(flat, r"<!\[CDATA\[([^<]*)\]\]>", "$1")
+    tag, text = (F.regexp_extract_all(flat, F.lit(_OPENING), F.lit(g)) for g in (1, 2))
+    pairs = F.filter(F.arrays_zip(tag.alias("tag"), F.transform(text, lambda t: strip_text(_resolved(t))).alias("text")), lambda p: p["text"] != "")
+    lines = F.transform(pairs, lambda p: F.concat(p["tag"], F.lit(": "), p["text"]))
+    count = lambda pattern: F.regexp_count(flat, F.lit(pattern))
+    opened, closed = count(r"<[A-Za-z_][^<>]*(?<!/)>"), count(r"</[A-Za-z_][^<>]*>")
+    encoding = F.lower(F.regexp_extract(raw, r"^\s*<\?xml[^>]*encoding=[\"']([^\"']*)", 1))
+    error = (
+        F.when(~encoding.isin(*_UTF8_NAMES), F.concat(F.lit("Could not parse XML: encoding "), encoding))
+        .when((opened != closed) | (count(r"<[A-Za-z_]") == 0) | (count("<") != count(r"<[^<>]*>")), "Could not parse XML: tags do not balance")
+    )
+    found = docs.where(raw.isNotNull()).select(*carry, error.alias("error"), lines.alias("_lines"))
+    groups = F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast("string"))).when(F.size("_lines") > 0, F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / LINES_PER_BLOCK).cast("int")),
+        lambda g: F.array_join(F.slice("_lines", g * LINES_PER_BLOCK + 1, LINES_PER_BLOCK), "\n")))
+    return found.select(*carry, "error", F.posexplode(groups).alias("seq", "text")).select(
+        *carry, F.col("seq").cast("long").alias("seq"), F.when(F.col("error").isNull(), "paragraph").alias("kind"), "text",
+        F.lit(None).cast("int").alias("heading_level"), F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("section_title"), "error")

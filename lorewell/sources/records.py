@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,37 +12,37 @@ from lorewell.functions.text import _c, strip_text
 from lorewell.sources.decode import DecodeError, as_text, decode_documents
 from lorewell.sources.markup import LINES_PER_BLOCK, grouped
 
-CSV_ROW_CAP = 10_000
-SNIFF_CHARS = 8192
-JSON_LINE_CAP = 5000
-SHEET_ROW_CAP = 5000
 CELL_GLUE = " | "
+SHEET_ROWS_PER_BLOCK = 1000
 
+# Private characters that stand for a quote, and for separators and line ends inside quotes.
+_QUOTE, _SEP, _LF, _CR = "\ue000", "\ue001", "\ue002", "\ue003"
 
-def decode_csv(content, cap: int = CSV_ROW_CAP):
-    """One table block; the dialect is sniffed, comma when that fails."""
-    text = as_text(content).removeprefix(chr(0xFEFF))
-    try:
-        dialect = csv.Sniffer().sniff(text[:SNIFF_CHARS])
-    except csv.Error:
-        dialect = csv.excel
-    csv.field_size_limit(1 << 30)
-    lines = []
-    try:
-        for number, row in enumerate(csv.reader(io.StringIO(text, newline=""), dialect)):
-            if number == cap:
-                lines.append(f"... (truncated after {cap} rows)")
-                break
-            if any(cell.strip() for cell in row):
-                lines.append(CELL_GLUE.join(row))
-    except csv.Error as fault:
-        raise DecodeError(f"Could not read CSV: {fault}") from fault
-    if lines:
-        yield "table", "\n".join(lines), None, None, None
 
+def csv_records(text: Column | str, sep: str = ",", quote: str = '"') -> Column:
+    """Rows of cells of a CSV text, by expressions only; separators and line ends inside quotes belong to the cell."""
+    bare = F.regexp_replace(_c(text), "^\ufeff", "")
+    # between quotes every second piece is quoted; a doubled quote leaves an empty piece and changes nothing
+    pieces = F.split(bare, re.escape(quote), -1)
+    masked = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.translate(p, f"{sep}\n\r", _SEP + _LF + _CR)).otherwise(p))
+    lines = F.split(F.array_join(masked, _QUOTE), "\r\n|\n|\r", -1)
+
+    def cell(c: Column) -> Column:
+        quoted = F.length(c).__ge__(2) & c.startswith(_QUOTE) & c.endswith(_QUOTE)
+        inner = F.when(quoted, F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c)
+        whole = F.replace(F.replace(inner, F.lit(_QUOTE * 2), F.lit(quote)), F.lit(_QUOTE), F.lit(quote))
+        return F.translate(whole, _SEP + _LF + _CR, f"{sep}\n\r")
+
+    return F.transform(lines, lambda line: F.transform(F.split(line, re.escape(sep), -1), cell))
 
-def csv_blocks(docs: DataFrame, content: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    return decode_documents(docs, decode_csv, content, carry)
+
+def csv_blocks(docs: DataFrame, content: str = "text", carry: tuple[str, ...] = ("doc_id",), sep: str = ",", quote: str = '"') -> DataFrame:
+    """One table block per document with all rows that are not blank; the dialect is the caller's to state."""
+    shown = F.filter(csv_records(content, sep, quote), lambda r: F.exists(r, lambda c: strip_text(c) != ""))
+    body = F.array_join(F.transform(shown, lambda r: F.array_join(r, CELL_GLUE)), "\n")
+    return docs.select(*carry, body.alias("text")).where(F.col("text") != "").select(
+        *carry, F.lit(0).cast("long").alias("seq"), F.lit("table").alias("kind"), "text", F.lit(None).cast("int").alias("heading_level"),
+        F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("section_title"), F.lit(None).cast("string").alias("error"))
 
 
 def _leaves(value, path):
@@ -59,19 +58,13 @@ def _leaves(value, path):
             yield here, item
 
 
-def decode_json(content, cap: int = JSON_LINE_CAP):
-    """``a.b[0]: value`` lines, 50 per table block, with a marker at the cap."""
+def decode_json(content):
+    """``a.b[0]: value`` lines, 50 per table block."""
     try:
         data = json.loads(as_text(content))
-    except (json.JSONDecodeError, RecursionError) as fault:
+    except (ValueError, RecursionError) as fault:
         raise DecodeError(f"Could not parse JSON: {fault}") from fault
-    lines = []
-    for path, value in _leaves(data, ""):
-        lines.append(f"{path}: {value}")
-        if len(lines) == cap:
-            lines.append(f"... (truncated after {cap} fields)")
-            break
-    return grouped(lines, "table")
+    return grouped([f"{path}: {value}" for path, value in _leaves(data, "")], "table")
 
 
 def json_blocks(docs: DataFrame, content: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -83,42 +76,31 @@ def pipe_row(cells: Column | str) -> Column:
     return F.array_join(F.transform(_c(cells), lambda c: F.coalesce(c, F.lit(""))), CELL_GLUE)
 
 
-def sheet_blocks(rows: DataFrame, cap: int = SHEET_ROW_CAP, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``(doc_id, sheet_no, sheet, row_no, cells)`` rows to a heading and a table block per sheet.
+def sheet_blocks(rows: DataFrame, cap: int | None = None, keys: tuple[str, ...] = ("doc_id",), per_block: int = SHEET_ROWS_PER_BLOCK) -> DataFrame:
+    """``(doc_id, sheet_no, sheet, row_no, cells)`` rows to a heading and table blocks per sheet.
 
-    ``row_no`` is the physical row counted from 0. Rows past the cap are dropped
-    before the shuffle (one row at the cap is enough for the marker), so a sheet
-    never gathers more than ``cap`` lines however long the table is.
+    ``row_no`` is the physical row counted from 0. A table block holds ``per_block``
+    physical rows, so no group grows with the sheet. With ``cap`` the rows from there
+    on are left out and a marker line says so; without, every row is kept.
     """
     group = [*keys, "sheet_no"]
     blank = ~F.exists("cells", lambda c: strip_text(F.coalesce(c, F.lit(""))) != "")
-    keep = (F.col("row_no") < cap) & ~blank
-    sheets = (
-        rows.filter(F.col("row_no").isNull() | (F.col("row_no") <= cap))
-        .select(*group, "sheet", "row_no", F.when(keep, F.struct("row_no", pipe_row("cells").alias("line"))).alias("_l"))
-        .groupBy(*group)
-        .agg(
-            F.max("sheet").alias("sheet"),
-            F.sort_array(F.collect_list("_l")).alias("_lines"),
-            (F.max("row_no") >= cap).alias("_cut"),
-        )
-    )
-    marker = F.when(F.col("_cut"), F.array(F.lit(f"... (truncated after {cap} rows)"))).otherwise(F.array().cast("array<string>"))
-    body = F.array_join(F.concat(F.transform("_lines", lambda x: x["line"]), marker), "\n")
-    block = lambda kind, text, level: F.struct(
-        F.lit(kind).alias("kind"), text.alias("text"), F.lit(level).cast("int").alias("heading_level")
-    )
-    return (
-        sheets.select(
-            *group, "sheet",
-            F.posexplode(F.filter(F.array(block("heading", F.col("sheet"), 1), block("table", body, None)),
-                                  lambda b: (b["kind"] == "heading") | (b["text"] != ""))).alias("_pos", "_b"),
-        )
-        .select(
-            *keys, (F.col("sheet_no").cast("long") * 2 + F.col("_pos")).alias("seq"), "_b.kind", "_b.text",
-            "_b.heading_level", F.col("sheet_no").cast("int").alias("page_number"), F.col("sheet").alias("section_title"),
-        )
+    lines = rows.where(F.col("row_no").isNotNull() & ~blank)
+    lines = lines.select(*group, "sheet", "row_no", pipe_row("cells").alias("line"))
+    if cap is not None:
+        marker = rows.where(F.col("row_no") == cap).select(*group, "sheet", "row_no", F.lit(f"... (truncated after {cap} rows)").alias("line"))
+        lines = lines.where(F.col("row_no") < cap).unionByName(marker)
+    number = F.col("sheet_no").cast("long")
+    tables = (
+        lines.groupBy(*group, F.floor(F.col("row_no") / per_block).alias("_part"))
+        .agg(F.max("sheet").alias("sheet"), F.sort_array(F.collect_list(F.struct("row_no", "line"))).alias("_lines"))
+        .select(*keys, (number * (1 << 32) + F.col("_part") + 1).alias("seq"), F.lit("table").alias("kind"),
+                F.array_join(F.col("_lines.line"), "\n").alias("text"), F.lit(None).cast("int").alias("heading_level"), "sheet_no", "sheet")
     )
+    heads = rows.groupBy(*group).agg(F.max("sheet").alias("sheet")).select(
+        *keys, (number * (1 << 32)).alias("seq"), F.lit("heading").alias("kind"), F.col("sheet").alias("text"), F.lit(1).alias("heading_level"), "sheet_no", "sheet")
+    return heads.unionByName(tables).select(
+        *keys, "seq", "kind", "text", "heading_level", F.col("sheet_no").cast("int").alias("page_number"), F.col("sheet").alias("section_title"))
 
 
 def line_groups(docs: DataFrame, lines: Column | str, size: int = LINES_PER_BLOCK, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -65,16 +65,19 @@ def test_xml(spark):
     lines = ["r: top", "a: first"] + [f"i: {n}" for n in range(60)]
     assert out[0][1:3] == ("paragraph", "\n".join(lines[:50])) and out[1][2] == "\n".join(lines[50:])
     assert out[2][0] == "1" and out[2][1] is None and out[2][3].startswith("Could not parse XML")
-    capped = list(markup.decode_xml("<r>" + "<i>x</i>" * 5001 + "</r>"))
-    assert capped[-1][1].endswith("... (truncated after 5000 elements)") and sum(b[1].count("\n") + 1 for b in capped) == 5001
+    long = _rows(markup.xml_blocks(_docs(spark, "<r>" + "<i>a &amp; b</i>" * 5001 + "</r>")), "text", "error")
+    assert sum(r[0].count("\n") + 1 for r in long) == 5001 and long[0][0].startswith("i: a & b")
+    odd = _docs(spark, '<?xml version="1.0" encoding="shift_jis"?><a>x</a>', "<a><!-- <b>no</b> --><c k='1'/>t<d>y</d></a>", "plain", "<a><![CDATA[raw]]></a>")
+    assert _rows(markup.xml_blocks(odd), "doc_id", "text", "error") == [
+        ("0", None, "Could not parse XML: encoding shift_jis"), ("1", "d: y", None), ("2", None, "Could not parse XML: tags do not balance"), ("3", "a: raw", None)]
 
 
 def test_csv(spark):
     text = chr(0xFEFF) + "name;age\n;\n\"a;b\";3\n"
-    assert _rows(records.csv_blocks(_docs(spark, text, "")), "doc_id", "kind", "text") == [("0", "table", "name | age\na;b | 3")]
-    exact, over = "v,w\n" * 10_000, "v,w\n" * 10_001
-    assert list(records.decode_csv(exact))[0][1].count("truncated") == 0
-    assert list(records.decode_csv(over))[0][1].split("\n")[-1] == "... (truncated after 10000 rows)"
+    assert _rows(records.csv_blocks(_docs(spark, text, ""), sep=";"), "doc_id", "kind", "text") == [("0", "table", "name | age\na;b | 3")]
+    quoted = 'a,"say ""x, y"" now"\r\n"two\nlines",""\r\n,\r\nplain,"end"'
+    assert _rows(records.csv_blocks(_docs(spark, quoted)), "text") == [('a | say "x, y" now\ntwo\nlines | \nplain | end',)]
+    assert _rows(records.csv_blocks(_docs(spark, "v,w\n" * 10_001)), "text")[0][0].count("v | w") == 10_001
 
 
 def test_json(spark):
@@ -82,9 +85,9 @@ def test_json(spark):
     got = _rows(records.json_blocks(_docs(spark, doc, "3", "{")), "doc_id", "text", "error")
     assert got[0][1] == "a.b[0]: 1\na.b[1].c: None\nt: True\ns: x" and got[1][1] == ": 3"
     assert got[2][2].startswith("Could not parse JSON")
-    full = list(records.decode_json(json.dumps(list(range(5000)))))
-    assert len(full) == 101 and full[-1][1] == "... (truncated after 5000 fields)"
-    assert "truncated" not in list(records.decode_json(json.dumps(list(range(4999)))))[-1][1]
+    full = list(records.decode_json(json.dumps(list(range(5001)))))
+    assert len(full) == 101 and full[-1][1] == "[5000]: 5000"
+    assert _rows(records.json_blocks(_docs(spark, "[1" + "0" * 5000 + "]", "[1]")), "doc_id", "text")[1] == ("1", "[0]: 1")
 
 
 def test_sheets_and_caps(spark):
