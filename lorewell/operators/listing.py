@@ -54,10 +54,10 @@ def errors(usage: DataFrame) -> DataFrame:
     return usage.filter(F.col("status_code") >= 400)
 
 
-def owned(requests: DataFrame, table: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Requests whose (id, owner) exists, and the rest."""
-    known = table.select(*keys)
-    return requests.join(known, keys, "left_semi"), requests.join(known, keys, "left_anti")
+def owned(requests: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests with ``owned``: whether their (id, owner) exists. Each input is read and joined once."""
+    known = table.select(*keys).distinct().withColumn("owned", F.lit(True))
+    return requests.join(known, keys, "left").withColumn("owned", F.coalesce("owned", F.lit(False)))
 
 
 def processing_by(documents: DataFrame, key: str) -> DataFrame:

@@ -154,8 +154,7 @@ def ownership_lookup(spark, sf_dir):
     asked = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 1000).alias("owner_id"), F.col("l_linenumber").alias("line"))
     known = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner_id"))
-    yes, no = listing.owned(asked, known, ["id", "owner_id"])
-    return yes.withColumn("is_owned", F.lit(True)).unionByName(no.withColumn("is_owned", F.lit(False))).drop("owner_id")
+    return listing.owned(asked, known, ["id", "owner_id"]).withColumnRenamed("owned", "is_owned").drop("owner_id")
 
 
 @query(f"""WITH {_SQL_USERS} SELECT id, email, full_name, role, is_active, is_suspended, created_at, is_suspended OR NOT is_active AS is_blocked,
@@ -388,5 +387,5 @@ def orphan_uploads(spark, sf_dir):
 @query(f"""WITH {SQL_DOCS}, {SQL_SESSIONS} SELECT s.session_id, s.kb_id, EXISTS (SELECT 1 FROM docs d WHERE d.kb_id = s.kb_id AND d.owner_id = s.owner_id) AS allowed FROM sessions s""")
 def session_ownership(spark, sf_dir):
     """A session may be opened on an owned knowledge base only."""
-    yes, no = listing.owned(views.sessions(spark, sf_dir), views.knowledge_bases(spark, sf_dir), ["kb_id", "owner_id"])
-    return yes.withColumn("allowed", F.lit(True)).unionByName(no.withColumn("allowed", F.lit(False))).select("session_id", "kb_id", "allowed")
+    sessions = listing.owned(views.sessions(spark, sf_dir), views.knowledge_bases(spark, sf_dir), ["kb_id", "owner_id"])
+    return sessions.select("session_id", "kb_id", F.col("owned").alias("allowed"))

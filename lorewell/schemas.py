@@ -26,6 +26,8 @@ CHUNKS = _struct(
     ("chunk_id", _S), ("doc_id", _S), ("kb_id", _S), ("owner_id", _S), ("chunk_index", _I),
     ("page_number", _I), ("section", _S), ("content", _S), ("token_count", _I),
     ("embedding", _VEC), ("embedding_model", _S), ("checksum", _S),
+    # copied from the document, so that a search needs no join
+    ("document_name", _S), ("language", _S), ("document_created_at", _TS), ("created_at", _TS),
 )
 TABLES: dict[str, T.StructType] = {
     "users": _struct(
@@ -84,8 +86,10 @@ MAX_LENGTH = {("document_chunks", "section"): 512, ("chat_citations", "section")
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Select and cast to the table's schema; absent columns become NULL."""
+    """Select and cast to the table's schema; absent columns become NULL, undeclared ones are an error."""
     have = set(df.columns)
+    if unknown := sorted(have - {f.name for f in TABLES[name].fields}):
+        raise ValueError(f"{name} has no columns {', '.join(unknown)}")
     return df.select(*[
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in TABLES[name].fields

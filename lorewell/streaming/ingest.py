@@ -40,7 +40,7 @@ def process_batch(
     judged = judged.withColumn("reject_reason", F.coalesce("reject_reason", F.when(mismatch, F.lit("content does not match its extension"))))
     accepted = judged.filter(F.col("reject_reason").isNull())
     blocks, failures = route(accepted.select("doc_id", "file_type", "content"))
-    tenant = accepted.select("doc_id", "kb_id", "owner_id")
+    tenant = accepted.select("doc_id", "kb_id", "owner_id", F.col("name").alias("document_name"))
     chunks = encode_column(chunk_blocks(blocks, size, overlap), "content", encoder)
     rows = chunks.join(tenant, "doc_id").withColumns({
         "chunk_id": chunk_id(), "checksum": checksum("content"), "embedding_model": F.lit(model), "created_at": F.current_timestamp()})

@@ -12,6 +12,7 @@ from lorewell.operators.chunking import chunk_blocks
 from lorewell.plans import views
 from lorewell.session import table
 from lorewell.sources import plain
+from lorewell.sources.tables import write_chunks
 
 
 def plan(df) -> str:
@@ -70,3 +71,19 @@ def test_pages_are_top_n(spark):
 def test_history_limits_before_the_shuffle(spark):
     text = plan(queries()["history_last_n"](spark, SF_SMALL))
     assert text.index("Final") < text.index("Exchange") < text.index("Partial")
+
+
+def test_retrieval_prunes_both_scans_of_a_stored_chunk_table(spark, tmp_path):
+    """A question of one tenant opens that tenant's folders only, for vectors and for content."""
+    chunks = views.encoded_chunks(spark, SF_SMALL).select(
+        "chunk_id", "doc_id", "kb_id", "owner_id", "chunk_index", "page_number", "section", "content", "token_count", "embedding", "checksum", "document_name")
+    path = str(tmp_path / "chunks")
+    write_chunks(chunks, path)
+    stored = spark.read.parquet(path)
+    one = views.chat_questions(spark, SF_SMALL).where("kb_id = 'src3'")
+    hits = retrieval.retrieve(one, stored, views.documents(spark, SF_SMALL), min_similarity=-1.0, dimension=views.DIMENSION)
+    scans = [line for line in hits._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line and "kb_id" in line]
+    assert len(scans) >= 2 and all("PartitionFilters: [kb_id" in s or "PartitionFilters: [isnotnull(kb_id" in s for s in scans), scans
+    assert hits.count() > 0
+    with pytest.raises(ValueError, match="no columns extra"):
+        write_chunks(chunks.withColumn("extra", F.lit(1)), path)
