@@ -1,7 +1,7 @@
 """Shared plumbing of the two substring operators: which windows of a corpus were seen before.
 
 A *unit* is a byte or a word, a *window* is ``size`` consecutive units of one row.
-The job is one lazy plan over ``blocks`` (hash groups of documents of a few MB):
+The job is one lazy plan over ``blocks`` (hash groups of texts of a few MB):
 
 1. census: every window is represented by its *anchor*, the smallest hash among its
    grams of ``gram`` units. Equal windows have equal anchors. Each block reports its
@@ -14,7 +14,8 @@ The job is one lazy plan over ``blocks`` (hash groups of documents of a few MB):
 4. judge (the operator's own method): per slot, which windows of a piece start earlier;
 5. final: each block turns the answers into removed units and hashes the rest.
 
-The text is shuffled once; Spark reuses that exchange for steps 1, 3 and 5. Hash
+Blocks are dealt by text, so copies of a whole text meet in a block and only the first is
+compared. The text is shuffled once; Spark reuses that exchange for steps 1, 3 and 5. Hash
 collisions only let more windows pass to step 4, which compares content.
 """
 
@@ -35,7 +36,7 @@ SLICE_BYTES = 256 * 1024  # bytes worked on at once, so that the arrays stay in
 BLOCKS_PER_PARTITION = 4
 CROWDED = 64_000  # pieces of one anchor above which its windows are dealt by their full content
 ANCHOR_BYTES = 6
-CHUNK_BYTES = 256 * 1024  # pieces judged at once, cut between anchors
+CHUNK_BYTES = 128 * 1024  # pieces judged at once, cut between anchors
 
 CENSUS = "bucket int, block int, anchors binary, counts binary"
 FLAGS = "block int, bucket int, repeated binary, crowded binary"
@@ -211,8 +212,18 @@ def _rows(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
     return [p[0] for p in pairs], [p[1] for p in pairs]
 
 
-def _judged(ids: list[int | None]) -> list[int]:
-    return [r for r, i in enumerate(ids) if i is not None]
+def _firsts(ids: list[int | None], texts: list[bytes]) -> tuple[list[int], dict[int, int]]:
+    """Rows to compare, and for each copy of a whole text in the block the row that has it first. Rows without id are neither."""
+    seen: dict[bytes, int] = {}
+    rows, copies = [], {}
+    for r, i in enumerate(ids):
+        if i is not None:
+            first = seen.setdefault(texts[r], r)
+            if first == r:
+                rows.append(r)
+            else:
+                copies[r] = first
+    return rows, copies
 
 
 def _cut(anchors: np.ndarray) -> np.ndarray:
@@ -222,7 +233,7 @@ def _cut(anchors: np.ndarray) -> np.ndarray:
 def block_anchors(kind: Units, ids: list[int | None], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchors of a block, ascending, and their number of documents or places."""
     seen, by = [], []
-    for part in slices(kind, texts, _judged(ids)):
+    for part in slices(kind, texts, _firsts(ids, texts)[0]):
         anchor = _cut(part.anchor)
         if kind.across:  # once per document
             doc = np.array([ids[r] for r in part.row], np.int64)
@@ -300,7 +311,7 @@ def pieces_of(kind: Units, buckets: int) -> Callable[[tuple, pa.Table, pa.Table]
             a, z = edges[b], edges[b + 1]
             repeated[a:z] = np.unpackbits(np.frombuffer(r, np.uint8), count=z - a)
             crowded[a:z] = np.unpackbits(np.frombuffer(c, np.uint8), count=z - a)
-        for part in slices(kind, texts, _judged(ids)) if repeated.any() else ():
+        for part in slices(kind, texts, _firsts(ids, texts)[0]) if repeated.any() else ():
             at = np.searchsorted(anchors, _cut(part.anchor))
             use = np.flatnonzero(repeated[at])
             raw = part.buf.tobytes()
@@ -411,8 +422,12 @@ def final_of(kind: Units, finish: Callable[[bytes, np.ndarray], tuple], names: l
                     elif bits is not None:
                         by.setdefault(r, []).append((s, n, mask))
         rows = []
+        copies = _firsts(ids, texts)[1]
         for r, text in enumerate(texts):
             size = len(text.split()) if kind.words else len(text)
+            if r in copies:
+                first = copies[r]
+                by[r] = by.get(first, []) if ids[r] == ids[first] else [(0, size - kind.size + 1, None)] if size >= kind.size else []
             rows.append((ids[r], *finish(text, covered(kind, size, by.get(r, [])))))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), *kinds])], names=["doc_id", *names])
 
@@ -424,7 +439,13 @@ def removed_repeats(docs: DataFrame, kind: Units, judge: Judge, finish, names: l
     width = partitions(docs.sparkSession)
     blocks = BLOCKS_PER_PARTITION * width
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = source.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(width, "block")
+    digest = F.xxhash64("text")
+    # a text with more than its share of rows is dealt by document; there are at most ``blocks`` such texts
+    counts = source.groupBy(digest.alias("digest")).count()
+    total = source.count()
+    common = [r["digest"] for r in counts.where(F.col("count") * blocks > total).select("digest").collect()]
+    deal = F.xxhash64(digest, F.when(digest.isin(common), F.col("doc_id"))) if common else digest
+    texts = source.withColumn("block", F.pmod(deal, F.lit(blocks)).cast("int")).repartition(width, "block")
 
     flags = texts.groupBy("block").applyInArrow(census_of(kind, width), CENSUS).groupBy("bucket").applyInArrow(flag_bucket, FLAGS)
     pieces = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(pieces_of(kind, width), PIECES)
