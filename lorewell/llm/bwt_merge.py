@@ -3,7 +3,8 @@
 Within a slot of ``repeats`` the pieces are cut into shards. Each shard sorts only its
 own rotations. The merged order of all shards is an interleave: for every place, the
 shard its next rotation comes from. It starts as shard after shard and is refined by
-stable bucket passes over the transforms, two symbols a pass; after h symbols it is the
+stable bucket passes over the transforms, four symbols a pass where their strings can be numbered
+in 16 bits, else fewer; after h symbols it is the
 order by the first h symbols, so no suffix of different shards is ever compared. The
 pass at which a place first parts two neighbours is their common prefix; places that
 never part within ``size`` symbols are intervals of a repeated string.
@@ -22,6 +23,7 @@ from lorewell.llm.repeats import Units, removed_repeats
 
 SIZE = 50
 SHARD_BYTES = 32 * 1024
+SYMBOLS = 4
 
 
 def shard_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -33,7 +35,7 @@ def shard_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(8)) | twice[j : j + n]
     known = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys in any order
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.append(0, sorted_key[1:] != sorted_key[:-1]))
@@ -43,23 +45,41 @@ def shard_order(text: np.ndarray, depth: int) -> np.ndarray:
         known *= 2
 
 
+def _transform(shards: list[np.ndarray], orders: list[np.ndarray], width: int) -> np.ndarray:
+    """For every rotation in order, the ``width`` symbols before it as one number; one shard after the other."""
+    parts = []
+    for s, o in zip(shards, orders):
+        code = np.zeros(len(s), np.uint32)
+        for back in range(width, 0, -1):
+            code = (code << np.uint32(8)) | np.roll(s, back)
+        parts.append(code[o])
+    return np.concatenate(parts)
+
+
 def merge_transforms(shards: list[np.ndarray], depth: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave the rotations of all shards by their first ``depth`` symbols (an even number).
+    """Interleave the rotations of all shards by their first ``depth`` symbols.
 
-    Returns the merged order as places in the concatenated shards, and for every
-    place the common prefix with the one before it, rounded down to an even number
+    Returns the merged order as places in the concatenated shards, and for every place
+    the common prefix with the one before it, rounded down to the last pass
     (``depth``: at least that long).
     """
     orders = [shard_order(s, depth) for s in shards]
-    transform = np.concatenate([s[(o - 2) % len(s)].astype(np.uint16) * np.uint16(256) + s[o - 1] for s, o in zip(shards, orders)])
+    width = SYMBOLS
+    while True:
+        codes, transform = np.unique(_transform(shards, orders, width), return_inverse=True)
+        if len(codes) <= 65536:
+            break
+        width -= 1
+    transform, last = transform.astype(np.uint16), depth % width
     n = len(transform)
     shard_type = np.uint8 if len(shards) <= 256 else np.uint16 if len(shards) <= 65536 else np.uint32
     interleave = np.repeat(np.arange(len(shards), dtype=shard_type), [len(s) for s in shards])
     common = np.full(n, depth, np.uint8)
     common[:1] = 0
-    symbols, block = np.empty(n, np.uint16), np.zeros(n, np.int32)
-    parted = np.ones(n, bool)
-    for h in range(0, depth, 2):
+    symbols, block, parted = np.empty(n, np.uint16), np.zeros(n, np.int32), np.ones(n, bool)
+    for h in [*range(0, depth - last, width), *([depth - last] if last else [])]:
+        if h + width > depth:
+            transform = np.unique(_transform(shards, orders, last), return_inverse=True)[1].astype(np.uint16)
         symbols[np.argsort(interleave, kind="stable")] = transform
         step = np.argsort(symbols, kind="stable")
         moved, within = symbols[step], block[step]
@@ -124,10 +144,10 @@ def remove_substrings(docs: DataFrame, digest: bool = False, size: int = SIZE) -
     the input. A null text is empty; a text shorter than ``size`` is kept; a row with a
     null ``doc_id`` is neither compared nor changed; rows that share a ``doc_id`` are
     one document, which never removes from itself. Other columns are ignored; an empty
-    table gives no rows. ``size`` is even and at most 64.
+    table gives no rows. ``size`` is from 16 to 64.
     """
-    if size % 2 or not 16 <= size <= 64:
-        raise ValueError("size must be even, from 16 to 64")
+    if not 16 <= size <= 64:
+        raise ValueError("size must be from 16 to 64")
     kind = Units(size=size, gram=16 if size >= 32 else 8, words=False, across=True)
     judged = partial(judge, size=size)
     if digest:
