@@ -15,7 +15,7 @@ CASCADE = {
     "documents": [("knowledge_bases", "knowledge_base_id", "id"), ("users", "owner_id", "id")],
     "document_chunks": [("documents", "doc_id", "id"), ("knowledge_bases", "kb_id", "id"), ("users", "owner_id", "id")],
     "chat_sessions": [("knowledge_bases", "knowledge_base_id", "id"), ("users", "owner_id", "id")],
-    "chat_messages": [("chat_sessions", "session_id", "id")],
+    "chat_messages": [("chat_sessions", "session_id", "id"), ("chat_messages", "parent_message_id", "id")],
     "chat_citations": [("chat_messages", "message_id", "id"), ("documents", "document_id", "id"), ("document_chunks", "chunk_id", "chunk_id")],
     "api_usage_logs": [("users", "user_id", "id")],
     "refresh_tokens": [("users", "user_id", "id")],
@@ -53,8 +53,8 @@ def cascade_delete(tables: dict[str, DataFrame], deleted: dict[str, DataFrame])
     Keys travel down the references table by table; survivors are anti joins, so
     no row of a large child table is collected for a parent. The keys of a table
     are stored once (checkpoint), as both its survivors and its children need
-    them. Folders delete their whole subtree; audit rows survive with the user
-    cleared.
+    them. Folders and messages delete their whole subtree; audit rows survive with
+    the user cleared.
     """
     gone: dict[str, DataFrame] = {}
     out: dict[str, DataFrame] = {}
@@ -73,8 +73,9 @@ def cascade_delete(tables: dict[str, DataFrame], deleted: dict[str, DataFrame])
         ids = keys[0]
         for more in keys[1:]:
             ids = ids.unionByName(more)
-        if name == "knowledge_bases" and "parent_folder_id" in df.columns:
-            ids = subtree(df, ids, ident, "parent_folder_id")
+        for parent, child_key, _ in CASCADE.get(name, []):
+            if parent == name and child_key in df.columns:
+                ids = subtree(df, ids, ident, child_key)
         gone[name] = cut_lineage(ids.distinct())
         out[name] = df.join(gone[name], ident, "left_anti")
     if "audit_logs" in tables:

@@ -48,6 +48,12 @@ def test_cascade(spark):
     assert left["audit_logs"] == [("a1", None), ("a2", "u2"), ("a3", None)]
 
 
+def test_cascade_takes_replies_along(spark):
+    messages = _frame(spark, "id string, session_id string, parent_message_id string", ("m1", "s", None), ("m2", "s", "m1"), ("m3", "s", "m2"), ("m4", "s", None))
+    left = maintenance.cascade_delete({"chat_messages": messages}, {"chat_messages": _frame(spark, "id string", ("m2",))})
+    assert sorted(r["id"] for r in left["chat_messages"].collect()) == ["m1", "m4"]
+
+
 def test_patch_sets_null_explicitly(spark):
     df = _frame(spark, "id int, a string, b string", (1, "x", "y"), (2, "x", "y"))
     patches = _frame(spark, "id int, set_fields array<string>, a string, b string", (1, ["a"], None, "ignored"))
