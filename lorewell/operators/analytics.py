@@ -146,17 +146,21 @@ def error_alarm(
 
 
 def usage_rollup(usage: DataFrame, ts: str = "created_at") -> DataFrame:
-    """Calls, tokens, cost and latency per user, endpoint and day with subtotals.
+    """Calls, errors, latency, tokens and cost per user, endpoint and day with subtotals.
 
-    Our own use of the log's declared fields. Level names the grouping: total,
+    Our own use of the log's declared fields; of tokens and cost those that the log
+    carries are summed. ``latency_p95`` is approximate. Level names the grouping: total,
     user, endpoint or day. Sums combine before the shuffle.
     """
+    carried = [c for c in ("input_tokens", "output_tokens", "estimated_cost_usd") if c in usage.columns]
     day = usage.withColumn("day", F.date_format(ts, "yyyy-MM-dd"))
     return day.rollup("user_id", "endpoint", "day").agg(
         F.grouping_id().alias("_g"),
         F.count("*").alias("calls"),
         F.count_if(F.col("status_code") >= ERROR_STATUS).alias("errors"),
         F.sum("latency_ms").alias("latency_ms"),
+        F.percentile_approx("latency_ms", 0.95).alias("latency_p95"),
+        *[F.sum(c).alias(c) for c in carried],
     ).withColumn("level", F.element_at(F.array(*map(F.lit, ["day", "endpoint", "?", "user", "?", "?", "?", "total"])), F.col("_g").cast("int") + 1)).drop("_g")
 
 

@@ -48,15 +48,17 @@ def usage_page(spark, sf_dir):
 
 
 @query(f"""WITH {SQL_USAGE} SELECT coalesce(user_id, -1) AS user_id, coalesce(endpoint, '') AS endpoint, coalesce(day, '') AS day, level,
-  calls, errors, round(latency, 4) AS latency_ms FROM (
+  calls, errors, round(latency, 4) AS latency_ms, input_tokens, round(cost, 6) AS estimated_cost_usd FROM (
   SELECT user_id, endpoint, strftime(created_at, '%Y-%m-%d') AS day, count(*) AS calls, count(*) FILTER (WHERE status_code >= 400) AS errors,
-    sum(latency_ms) AS latency, CASE grouping(user_id, endpoint, strftime(created_at, '%Y-%m-%d')) WHEN 0 THEN 'day' WHEN 1 THEN 'endpoint' WHEN 3 THEN 'user' ELSE 'total' END AS level
+    sum(latency_ms) AS latency, CAST(sum(id % 500) AS BIGINT) AS input_tokens, sum((id % 500) * 0.000002) AS cost, CASE grouping(user_id, endpoint, strftime(created_at, '%Y-%m-%d')) WHEN 0 THEN 'day' WHEN 1 THEN 'endpoint' WHEN 3 THEN 'user' ELSE 'total' END AS level
   FROM logs GROUP BY ROLLUP (user_id, endpoint, strftime(created_at, '%Y-%m-%d')))""")
 def usage_rollup(spark, sf_dir):
-    rolled = analytics.usage_rollup(views.usage(spark, sf_dir))
+    tokens = F.col("id") % 500
+    rolled = analytics.usage_rollup(views.usage(spark, sf_dir).withColumn("input_tokens", tokens).withColumn("estimated_cost_usd", tokens * 0.000002))
     return rolled.select(
         F.coalesce("user_id", F.lit(-1).cast("long")).alias("user_id"), F.coalesce("endpoint", F.lit("")).alias("endpoint"),
-        F.coalesce("day", F.lit("")).alias("day"), "level", "calls", "errors", F.round("latency_ms", 4).alias("latency_ms"))
+        F.coalesce("day", F.lit("")).alias("day"), "level", "calls", "errors", F.round("latency_ms", 4).alias("latency_ms"),
+        "input_tokens", F.round("estimated_cost_usd", 6).alias("estimated_cost_usd"))
 
 
 def _alarm_sql(period: int, threshold: int) -> str:

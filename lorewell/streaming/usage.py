@@ -30,9 +30,12 @@ def status_counts(documents: DataFrame) -> DataFrame:
     return documents.groupBy("status").agg(F.count("*").alias("n_documents"))
 
 
-def start_dashboard(counts: DataFrame, name: str, refresh: str | None = DASHBOARD_REFRESH) -> StreamingQuery:
-    """Refreshed in-memory table for a screen; without ``refresh`` it runs once over what is there."""
-    writer = counts.writeStream.outputMode("complete").format("memory").queryName(name)
+def start_dashboard(counts: DataFrame, path: str, checkpoint: str, refresh: str | None = DASHBOARD_REFRESH) -> StreamingQuery:
+    """A small stored table for a screen, replaced with each batch; without ``refresh`` it runs once over what is there."""
+    writer = (
+        counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda df, batch: df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path))
+    )
     return writer.trigger(processingTime=refresh).start() if refresh else writer.trigger(availableNow=True).start()
 
 

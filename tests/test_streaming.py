@@ -47,9 +47,9 @@ def test_usage_append_equals_batch(spark, tmp_path):
     q = usage.append_usage(shape(stream), str(tmp_path / "log"), str(tmp_path / "logcp"))
     q.awaitTermination(180)
     assert spark.read.parquet(str(tmp_path / "log")).count() == events.count()
-    q = usage.start_dashboard(usage.endpoint_counts(shape(stream)), "dash", refresh=None)
+    q = usage.start_dashboard(usage.endpoint_counts(shape(stream)), str(tmp_path / "dash"), str(tmp_path / "dashcp"), refresh=None)
     q.awaitTermination(180)
-    got = {r["endpoint"]: (r["api_calls"], r["api_errors"]) for r in spark.table("dash").collect()}
+    got = {r["endpoint"]: (r["api_calls"], r["api_errors"]) for r in spark.read.parquet(str(tmp_path / "dash")).collect()}
     want = {r["endpoint"]: (r["n"], r["e"]) for r in shape(events).groupBy("endpoint").agg(
         F.count("*").alias("n"), F.count_if(F.col("status_code") >= 400).alias("e")).collect()}
     assert got == want
