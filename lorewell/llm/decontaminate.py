@@ -32,6 +32,7 @@ ITEMS, ITEM_BYTES = 256, 1 << 20
 PASSAGE, STRIDE = 32, 16
 COSINE = 0.3
 EXTRA_RANK = 64
+COMMON = 0.25  # share of the weight of an unseen word below which a word tells too little
 SCHEMA = "doc_id long, item_id long, cosine double, begin int, common_words int, item_words int, answer_share double"
 
 _PLAIN = bytes(32 if chr(b) in "\t\n\v\f\r.,;:!?\"()[]{}|*#%$&<>/\\~`^=+" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -147,7 +148,7 @@ def _weigh(texts: DataFrame, block: Block) -> None:
             frequency[term] = n
     rarity = np.log1p(0.05 * max(passages, 1) / np.maximum(frequency, 1))
     block.unknown = float(np.log1p(0.05 * max(passages, 1)))
-    block.weight = np.where(rarity >= 0.05 * block.unknown, rarity, 0.0)  # words of nearly every passage tell nothing
+    block.weight = np.where(rarity >= COMMON * block.unknown, rarity, 0.0)
 
 
 def _matrix_rows(texts: DataFrame, block: Block) -> DataFrame:
@@ -211,19 +212,17 @@ def _item_rows(block: Block) -> np.ndarray:
 
 
 def _fit(texts: DataFrame, block: Block) -> None:
-    """Latent space of the block by a randomised SVD with one power step."""
+    """Latent space of the block by a randomised SVD: a random range, then the matrix within it."""
     _weigh(texts, block)
     items = _item_rows(block)
     norms = np.sqrt((items**2).sum(axis=1))
     rows = _matrix_rows(texts, block)
     rank = min(len(block.vocabulary), len(block.ids) + EXTRA_RANK)
     basis = np.random.default_rng(11).standard_normal((len(block.vocabulary), min(len(block.vocabulary), rank + 8)))
-    heavy = None
-    for _ in range(2):
-        product = _times_itself(rows, block, basis)
-        if heavy is None:  # items outweigh the strongest direction of the passages
-            heavy = 10 * max(np.abs(product).max(), 1.0) / max((norms**2).min(initial=np.inf, where=norms > 0), 1e-9) if (norms > 0).any() else 0.0
-        basis, _ = np.linalg.qr(product + heavy * (items.T @ (items @ basis)))
+    product = _times_itself(rows, block, basis)
+    # items outweigh the strongest direction of the passages
+    heavy = 10 * max(np.abs(product).max(), 1.0) / max((norms**2).min(initial=np.inf, where=norms > 0), 1e-9) if (norms > 0).any() else 0.0
+    basis, _ = np.linalg.qr(product + heavy * (items.T @ (items @ basis)))
     inner = basis.T @ (_times_itself(rows, block, basis) + heavy * (items.T @ (items @ basis)))
     _, vectors = np.linalg.eigh((inner + inner.T) / 2)
     block.space = (basis @ vectors[:, ::-1][:, :rank]).astype(np.float32)
