@@ -23,6 +23,7 @@ from lorewell.llm.common import clean_text
 
 LG_K = 10  # 1024 registers: a standard error of about 3.3 %
 MIN_SITES = 10
+SALTS = 32
 
 
 def _lines(text: str) -> Column:
@@ -58,8 +59,10 @@ def boilerplate_lines(docs: DataFrame, text: str = "text", site: str = "source",
     possible = spread.where((2 * F.col("sites") >= min_sites) & (F.col("contexts") >= 0.35 * F.col("docs")))
     sure = (F.col("sites") >= 2 * min_sites) & (F.col("contexts") >= 0.7 * F.col("docs"))
     near = possible.where(~sure).select("line")
+    # dealt by line and salt, so that a line of a third of all documents is counted by many tasks
+    salted = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     exact = (
-        rows.join(near, "line", "left_semi").groupBy("line")
+        rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"], "left_semi").groupBy("line")
         .agg(F.countDistinct("site").alias("sites"), F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
         .where((F.col("sites") >= min_sites) & (2 * F.col("contexts") >= F.col("docs")))
     )
@@ -82,13 +85,16 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
         .groupBy(F.col("doc_id").alias("_gone_doc")).agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
     )
     named = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in named]).join(gone, F.col("doc_id") == F.col("_gone_doc"), "left").withColumn("_lines", _lines(text))
+    # columns of the input travel in one struct, so that none can clash
+    row = docs.select(F.col("doc_id").alias("_doc"), _lines(text).alias("_lines"), F.struct(*[F.col(f"`{c}`") for c in named]).alias("_row"))
+    joined = row.join(gone, F.col("_doc") == F.col("_gone_doc"), "left")
     # the stretches between removed lines, so that the work is linear in the lines
     begin = lambda i: F.when(i == 0, 0).otherwise(F.get("_gone", i - 1) + 1)
     end = lambda i: F.coalesce(F.get("_gone", i), F.size("_lines"))
     stretches = F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda i: F.slice("_lines", begin(i) + 1, F.greatest(end(i) - begin(i), F.lit(0))))
     kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.flatten(stretches))
+    value = lambda c: F.col("_row").getField(c)
     return joined.withColumn("_kept", kept).select(
-        *[F.when(F.col("_gone").isNull(), F.col(f"`{c}`")).otherwise(F.array_join("_kept", "\n")).alias(c) if c == text else F.col(f"`{c}`") for c in named],
+        *[F.when(F.col("_gone").isNull(), value(c)).otherwise(F.array_join("_kept", "\n")).alias(c) if c == text else value(c).alias(c) for c in named],
         F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed"),
     )
