@@ -190,6 +190,7 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        codec.cache.clear()  # an idle worker holds no memory
 
     return _source(docs).mapInArrow(run, DIGEST_SCHEMA)
 
@@ -205,5 +206,6 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
                 [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([i.astype("int32") for i in ids], pa.list_(pa.int32())), pa.array([codec.decode(i) for i in ids], pa.string())],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
+        codec.cache.clear()
 
     return _source(docs).mapInArrow(run, TOKENS_SCHEMA)

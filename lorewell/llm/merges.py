@@ -6,7 +6,7 @@ from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 
 # A worker's cache of pre-tokens is emptied when it holds this many entries; a later miss is merged anew.
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 400_000
 
 
 def merge_symbols(symbols: list[str], rank: Callable[[str, str], float | None]) -> list[str]:
