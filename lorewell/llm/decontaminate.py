@@ -2,9 +2,11 @@
 
 Documents are cut into passages of ``PASSAGE`` words. Passages are rows of a TF-IDF matrix whose
 columns are the words of the benchmark; the items are further rows, heavy enough that the latent
-space holds them. A randomised SVD gives the latent space: the matrix is multiplied by itself
+space holds them. Copies of a passage count once, so no group of copies makes its own words
+common, and every word keeps a weight. A randomised SVD gives the latent space: the matrix is multiplied by itself
 and a random block in tasks, only (words x rank) sums come to the driver. Overlapping passages
-whose latent cosine with an item reaches ``COSINE`` are candidates. A candidate is a leak if the
+whose latent cosine with an item reaches ``COSINE`` are candidates. So is, whatever its words
+weigh, every stretch about as long as an item that holds 60 % of the item's words. A candidate is a leak if the
 longest common subsequence with the item, in the passage and its surroundings, holds 80 % of
 the item's words, or 60 % together with half of its answer (its last sentence): paraphrases keep
 the order of most words.
@@ -15,6 +17,7 @@ bounded; each block has its own columns and latent space, fitted on all passages
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +35,7 @@ ITEMS, ITEM_BYTES = 256, 1 << 20
 PASSAGE, STRIDE = 32, 16
 COSINE = 0.3
 EXTRA_RANK = 64
-COMMON = 0.25  # share of the weight of an unseen word below which a word tells too little
+PIECE = 256  # strides of a text whose words are counted against the items at once
 SCHEMA = "doc_id long, item_id long, cosine double, begin int, common_words int, item_words int, answer_share double"
 
 _PLAIN = bytes(32 if chr(b) in "\t\n\v\f\r.,;:!?\"()[]{}|*#%$&<>/\\~`^=+" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -116,53 +119,55 @@ def _blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield block()
 
 
-def _counts(parts: list[np.ndarray], step: int, base: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passage, term and count of every term of every passage of ``step`` words; texts one after the other."""
-    keys, at = [], base
-    for terms in parts:
-        here = np.flatnonzero(terms >= 0)
-        keys.append((at + here // step) * (1 << 32) + terms[here])
-        at += -(-len(terms) // step)
-    key, count = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-    return key >> 32, key & 0xFFFFFFFF, count
+def _passages(texts: DataFrame, block: Block) -> DataFrame:
+    """The distinct passages as sorted lists of terms, with repetitions; a passage without a known word is an empty list."""
 
-
-def _weigh(texts: DataFrame, block: Block) -> None:
-    """Document frequencies of the block's words over all passages, and their weights."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[bytes, np.ndarray] = {}
+            for text in batch.column(1).to_pylist():
+                words, terms = block.terms(text or b"")
+                for a in range(0, len(words), PASSAGE):
+                    digest = hashlib.blake2b(b" ".join(words[a : a + PASSAGE]), digest_size=16).digest()
+                    if digest not in rows:
+                        own = terms[a : a + PASSAGE]
+                        rows[digest] = np.sort(own[own >= 0])
+            offsets = pa.array(np.cumsum([0, *map(len, rows.values())]), pa.int32())
+            terms = np.concatenate(list(rows.values())) if rows else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(terms, pa.int32()))], names=["digest", "terms"])
+
+    return stored(texts.mapInArrow(run, "digest binary, terms array<int>").dropDuplicates(["digest"]).select("terms"), "passages")
+
+
+def _counts(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passage, term and count of every distinct term of every passage."""
+    lengths = np.diff(column.offsets.to_numpy())
+    terms, passage = column.flatten().to_numpy(), np.repeat(np.arange(len(lengths)), lengths)
+    if not len(terms):
+        return passage, terms, passage
+    heads = np.flatnonzero(np.append(True, (terms[1:] != terms[:-1]) | (passage[1:] != passage[:-1])))
+    return passage[heads], terms[heads], np.diff(np.append(heads, len(terms)))
+
+
+def _weigh(rows: DataFrame, block: Block) -> None:
+    """Document frequencies of the block's words over the distinct passages, and their weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, passages = np.zeros(len(block.vocabulary), np.int64), 0
         for batch in batches:
-            parts = [block.terms(t or b"")[1] for t in batch.column(1).to_pylist()]
-            _, term, _ = _counts(parts, PASSAGE)
-            total += np.bincount(term, minlength=len(total))
-            passages += sum(-(-len(p) // PASSAGE) for p in parts)
+            total += np.bincount(_counts(batch.column(0))[1], minlength=len(total))
+            passages += batch.num_rows
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(total[used], passages), pa.int64())], names=["term", "n"])
 
     frequency, passages = np.zeros(len(block.vocabulary)), 0
-    for term, n in texts.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n")).collect():  # at most the words of a block
+    for term, n in rows.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n")).collect():  # at most the words of a block
         if term < 0:
             passages = n
         else:
             frequency[term] = n
-    rarity = np.log1p(0.05 * max(passages, 1) / np.maximum(frequency, 1))
+    block.weight = np.log1p(0.05 * max(passages, 1) / np.maximum(frequency, 1))
     block.unknown = float(np.log1p(0.05 * max(passages, 1)))
-    block.weight = np.where(rarity >= COMMON * block.unknown, rarity, 0.0)
-
-
-def _matrix_rows(texts: DataFrame, block: Block) -> DataFrame:
-    """The passages' rows of the matrix, as lists of terms and counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.where((t >= 0) & (block.weight[t] > 0), t, -1) for t in (block.terms(x or b"")[1] for x in batch.column(1).to_pylist())]
-            passage, term, count = _counts(parts, PASSAGE)
-            heads = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])) if len(passage) else np.zeros(0, np.int64)
-            offsets = pa.array(np.append(heads, len(passage)), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(term, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32()))], names=["terms", "counts"])
-
-    return stored(texts.mapInArrow(run, "terms array<int>, counts array<int>"), "passages")
 
 
 def _times_itself(rows: DataFrame, block: Block, basis: np.ndarray) -> np.ndarray:
@@ -173,21 +178,24 @@ def _times_itself(rows: DataFrame, block: Block, basis: np.ndarray) -> np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(basis.shape, np.float32)
         for batch in batches:
-            terms, offsets = batch.column(0).flatten().to_numpy(), batch.column(0).offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            counts = batch.column(1).flatten().to_numpy()
-            for a in range(0, len(offsets) - 1, 2048):
-                cut = offsets[a : a + 2049]
+            passage, terms, counts = _counts(batch.column(0))
+            offsets = np.append(0, np.cumsum(np.bincount(passage, minlength=batch.num_rows)))
+            for a in range(0, len(offsets) - 1, 256):  # what a step holds stays in the processor's cache
+                cut = offsets[a : a + 257]
                 t, c = terms[cut[0] : cut[-1]], counts[cut[0] : cut[-1]]
                 if not len(t):
                     continue
                 value = (np.log1p(c) * weight[t]).astype(np.float32)
                 heads, lengths = cut[:-1] - cut[0], np.diff(cut)
-                product = np.add.reduceat(small[t] * value[:, None], heads[lengths > 0], axis=0)
-                back = np.repeat(product, lengths[lengths > 0], axis=0) * value[:, None]
+                wide = small[t]
+                wide *= value[:, None]
+                product = np.add.reduceat(wide, heads[lengths > 0], axis=0)
                 order = np.argsort(t, kind="stable")
-                first = np.flatnonzero(np.append(True, t[order][1:] != t[order][:-1]))
-                total[t[order][first]] += np.add.reduceat(back[order], first, axis=0)
+                t = t[order]
+                np.take(product, np.repeat(np.arange(len(product)), lengths[lengths > 0])[order], axis=0, out=wide)
+                wide *= value[order][:, None]
+                first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+                total[t[first]] += np.add.reduceat(wide, first, axis=0)
         tiles = [i for i in range(0, len(total), tile) if total[i : i + tile].any()]
         yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.int32()), pa.array([total[i : i + tile].tobytes() for i in tiles], pa.binary())], names=["tile", "part"])
 
@@ -213,10 +221,10 @@ def _item_rows(block: Block) -> np.ndarray:
 
 def _fit(texts: DataFrame, block: Block) -> None:
     """Latent space of the block by a randomised SVD: a random range, then the matrix within it."""
-    _weigh(texts, block)
+    rows = _passages(texts, block)
+    _weigh(rows, block)
     items = _item_rows(block)
     norms = np.sqrt((items**2).sum(axis=1))
-    rows = _matrix_rows(texts, block)
     rank = min(len(block.vocabulary), len(block.ids) + EXTRA_RANK)
     basis = np.random.default_rng(11).standard_normal((len(block.vocabulary), min(len(block.vocabulary), rank + 8)))
     product = _times_itself(rows, block, basis)
@@ -230,14 +238,14 @@ def _fit(texts: DataFrame, block: Block) -> None:
 
 
 def _find(texts: DataFrame, block: Block) -> DataFrame:
-    longest = max(map(len, block.words))
     scaled = block.items / np.maximum(block.norms, 1e-9)[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = _occurrences(block)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += _hits(block, scaled, longest, doc, text or b"")
+                out += _hits(block, scaled, times, doc, text or b"")
             columns = list(zip(*out)) if out else [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "cosine", "begin", "common_words", "item_words", "answer_share"])
@@ -245,14 +253,61 @@ def _find(texts: DataFrame, block: Block) -> DataFrame:
     return texts.mapInArrow(run, SCHEMA)
 
 
-def _hits(block: Block, scaled: np.ndarray, longest: int, doc: int | None, text: bytes) -> Iterator[tuple]:
+def _occurrences(block: Block) -> np.ndarray:
+    """How often a word (row) is in an item (column)."""
+    longest = max(map(len, block.words))
+    times = np.zeros((len(block.vocabulary), len(block.ids)), np.uint16 if longest < 1 << 16 else np.uint32)
+    for i, words in enumerate(block.words):
+        terms, counts = np.unique([block.vocabulary[w] for w in words], return_counts=True)
+        times[terms, i] = counts
+    return times
+
+
+def _holding(block: Block, times: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Places (passage * items + item) in stretches with 60 % of an item's words, for items of any weight.
+
+    A stretch is the fewest whole strides that hold any run of as many words as the item has.
+    Its words are counted with their occurrences in the item, so no such common subsequence is missed.
+    """
+    sizes = np.array([len(w) for w in block.words])
+    needed, strides = -(-6 * sizes // 10), -(-(sizes - 1) // STRIDE) + 1
+    most, n = int(strides.max()), -(-len(terms) // STRIDE)
+    piece = max(PIECE, 2 * most)
+    found = []
+    for first in range(0, n, piece):
+        part = terms[first * STRIDE : (first + piece + most - 1) * STRIDE]
+        own, column = np.unique(part, return_inverse=True)
+        skip = int(len(own) > 0 and own[0] < 0)
+        own = own[skip:]
+        counts = times[own]
+        items = np.flatnonzero(np.add.reduce(counts, axis=0, dtype=times.dtype) >= needed)
+        if not len(items):
+            continue
+        known = np.flatnonzero(part >= 0)
+        holds = np.zeros((-(-len(part) // STRIDE), len(own)), bool)
+        holds[known // STRIDE, column[known] - skip] = True
+        for length in np.unique(strides[items]).tolist():
+            some = items[strides[items] == length]
+            stretch = holds.copy()
+            for k in range(1, min(length, len(holds))):
+                stretch[:-k] |= holds[k:]
+            at, which = np.nonzero(stretch[:piece].astype(np.float32) @ counts[:, some].astype(np.float32) >= needed[some])
+            for k in range(max(length - 1, 1)):
+                found.append((first + at + k) * len(sizes) + some[which])
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _hits(block: Block, scaled: np.ndarray, times: np.ndarray, doc: int | None, text: bytes) -> Iterator[tuple]:
     words, terms = block.terms(text)
     if not len(words):
         return
     known = terms >= 0
+    if not known.any():
+        return
+    held = _holding(block, times, terms)
     value = np.where(known, block.weight[terms], block.unknown)
     square = np.append(0, np.cumsum(value**2))
-    at = np.flatnonzero(known & (value > 0))
+    at = np.flatnonzero(known)
     steps = PASSAGE // STRIDE
     window = (at // STRIDE)[:, None] - np.arange(steps)  # the passages that hold a word
     term = np.repeat(terms[at], steps)
@@ -266,14 +321,18 @@ def _hits(block: Block, scaled: np.ndarray, longest: int, doc: int | None, text:
     own, lengths = window[heads], np.diff(np.append(heads, len(window)))
     norm = np.sqrt(square[np.minimum(own * STRIDE + PASSAGE, len(words))] - square[own * STRIDE])
     mass = np.add.reduceat(block.weight[term] ** 2, heads)
-    use = np.flatnonzero(mass >= (COSINE * norm) ** 2)  # a projection is no longer than what it projects
+    # a projection is no longer than what it projects
+    use = np.flatnonzero((mass >= (COSINE * norm) ** 2) | np.isin(own, held // len(block.ids)))
     best: dict[int, list] = {}
     for a in range(0, len(use), 1024):
         some = use[a : a + 1024]
         picked = np.repeat(heads[some] - np.cumsum(lengths[some]) + lengths[some], lengths[some]) + np.arange(lengths[some].sum())
         latent = np.add.reduceat(block.space[term[picked]] * block.weight[term[picked]].astype(np.float32)[:, None], np.cumsum(lengths[some]) - lengths[some], axis=0)
         cosine = latent @ scaled.T / norm[some][:, None]
-        for w, i in zip(*np.nonzero(cosine >= COSINE)):
+        near = cosine >= COSINE
+        if len(held):
+            near |= np.isin(own[some][:, None] * len(block.ids) + np.arange(len(block.ids)), held)
+        for w, i in zip(*np.nonzero(near)):
             begin = int(own[some[w]]) * STRIDE
             best.setdefault(int(i), []).append((begin, float(cosine[w, i])))
     for i, places in best.items():
