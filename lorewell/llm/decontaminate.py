@@ -167,7 +167,8 @@ def _weigh(rows: DataFrame, block: Block) -> None:
         else:
             frequency[term] = n
     block.weight = np.log1p(0.05 * max(passages, 1) / np.maximum(frequency, 1))
-    block.unknown = float(np.log1p(0.05 * max(passages, 1)))
+    # other words weigh what a known one weighs on average, which does not grow with the corpus
+    block.unknown = float(np.average(block.weight, weights=frequency if frequency.any() else None))
 
 
 def _times_itself(rows: DataFrame, block: Block, basis: np.ndarray) -> np.ndarray:

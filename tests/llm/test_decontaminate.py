@@ -68,6 +68,43 @@ def test_odd_rows(spark):
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_leak_in_a_third_of_all_rows(spark):
+    items = [(j, odd.words(500 + j, 16)) for j in range(6)]
+    copied = odd.words(40, 90) + " " + items[0][1] + " " + odd.words(41, 90)
+    docs = [(i, copied if i % 3 == 0 else odd.words(1000 + i, 150), "s", 1, 2) for i in range(300)]
+    # the next item leaks in as many different documents, at other places
+    docs += [(300 + i, " ".join([odd.words(2000 + i, 20 + i % 60), items[1][1], odd.words(3000 + i, 60)]), "s", 1, 2) for i in range(150)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(*i, 1) for i in items], ITEMS)).collect()}
+    assert got == {(i, 0) for i in range(0, 300, 3)} | {(300 + i, 1) for i in range(150)}
+
+
+def test_short_verbatim_items_of_everyday_words(spark):
+    everyday = odd.words(77, 12).split()
+    items = [(0, " ".join(everyday[:6])), (1, " ".join(everyday[6:11]))]
+    rnd = random.Random(3)
+    docs = []
+    for i in range(400):
+        words = [odd.words(5000 + 40 * i + k, 2).replace(" ", "") for k in range(24)]
+        for w in everyday:
+            if rnd.random() < 0.3:
+                words.insert(rnd.randrange(len(words)), w)
+        if i % 8 == 0:
+            words[12:12] = items[i // 8 % 2][1].split()
+        docs.append((i, " ".join(words), "s", 1, 2))
+    frame = spark.createDataFrame(docs, DOCS)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, spark.createDataFrame([(*i, 1) for i in items], ITEMS)).collect()}
+    assert got == brute([d[:2] for d in docs], items) >= {(i, i // 8 % 2) for i in range(0, 400, 8)}
+    # counts of a corpus 32 times as large give the same weights, also to words outside the benchmark
+    block = next(decontaminate._blocks(spark.createDataFrame([(*i, 1) for i in items], ITEMS)))
+    rows = decontaminate._passages(frame.selectExpr("doc_id", "cast(text AS binary) AS text"), block)
+    decontaminate._weigh(rows, block)
+    weight, unknown = block.weight, block.unknown
+    for _ in range(5):
+        rows = rows.unionAll(rows)
+    decontaminate._weigh(rows, block)
+    assert abs(block.unknown - unknown) < 1e-9 and abs(block.weight - weight).max() < 1e-9
+
+
 def test_common_subsequence():
     assert decontaminate.common_subsequence([b"a", b"b", b"c", b"b"], [b"b", b"x", b"c", b"a", b"b"]) == 3
     assert decontaminate.common_subsequence([b"a"], []) == 0
