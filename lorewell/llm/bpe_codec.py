@@ -195,6 +195,20 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     return _source(docs).mapInArrow(run, DIGEST_SCHEMA)
 
 
+def encode_words(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """``doc_id`` and, as ``text``, the little-endian 16-bit ids of every whole text; a text without tokens has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = load(vocabulary)
+        if max(codec.strings) >= 0xFFFF:
+            raise ValueError("ids do not fit 16 bits beside a separator")
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.encode(t).astype("<u2").tobytes() for t in _texts(batch)], pa.binary())], names=["doc_id", "text"])
+        codec.cache.clear()
+
+    return _source(docs).mapInArrow(run, "doc_id long, text binary")
+
+
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` of every whole text; same rules as ``round_trip``."""
 

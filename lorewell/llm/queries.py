@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm import bpe_codec, bwt_merge, decontaminate, line_spread, multi_index, near_duplicates, suffix_trees, token_counts, toxicity, training_order
-from lorewell.llm.common import table
+from lorewell.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,7 +36,8 @@ def op1_latent_decontamination(spark, sf_dir):
 
 @query()
 def op2_training_order(spark, sf_dir):
-    index, _ = training_order.materialise(table(spark, sf_dir, "documents"))
+    ids = stored(bpe_codec.encode_words(table(spark, sf_dir, "documents"), WORD_MODEL), "ids")  # texts are encoded once
+    index, _ = training_order.materialise(ids, width=2)
     return index
 
 

@@ -8,6 +8,7 @@ import pytest
 import odd
 from conftest import SF_SMALL
 from lorewell.llm import training_order
+from lorewell.llm.queries import QUERIES, WORD_MODEL
 from lorewell.llm.training_order import Permutation, materialise, read_from
 
 
@@ -55,6 +56,16 @@ def test_ids_of_two_bytes(spark):
     assert (ids == 0xFFFF).sum() == docs.where("text <> ''").count()
 
 
+def test_registered_query_orders_token_ids(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD_MODEL)
+    texts = [r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
+    counts = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    index = QUERIES["op2_training_order"](spark, SF_SMALL).collect()
+    assert sum(r.n_ids for r in index) == sum(n + 1 for n in counts if n)
+
+
 def test_odd_rows_and_empty(spark):
     path = training_order.shared_dir(spark, "odd")
     odd.documents(spark).write.parquet(path)
