@@ -160,22 +160,66 @@ _OPENING = r"<(?:[A-Za-z_][\w.\-]*:)?([A-Za-z_][\w.\-]*)(?:\s[^<>]*)?(?<!/)>([^<
 _UTF8_NAMES = ("", "utf-8", "utf8", "us-ascii", "ascii")
 
 
+# Comments, raw character data, instructions, tags with their quoted values, text between them, a stray opening.
+_TOKEN = r"<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<\?[\s\S]*?\?>|<(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^<]+|<"
+# Private characters that stand for markup characters which are text.
+_MASKS = "\ue005\ue006\ue007"
+
+
+def _masked(raw: Column) -> Column:
+    """The text without comments, and with markup characters of raw data and attribute values masked."""
+
+    def token(t: Column) -> Column:
+        inner = F.translate(F.substring(t, F.lit(2), F.length(t) - 2), "<>", _MASKS[1:])
+        return (
+            F.when(t.startswith("<!--") & t.endswith("-->"), "<!---->")
+            .when(t.startswith("<![CDATA[") & t.endswith("]]>"), F.translate(F.substring(t, F.lit(10), F.length(t) - 12), "&<>", _MASKS))
+            .when(t.startswith("<") & t.endswith(">"), F.concat(F.lit("<"), inner, F.lit(">")))
+            .otherwise(t)
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(_TOKEN), F.lit(0)), token), "")
+
+
+def _numeric(text: Column) -> Column:
+    """Numeric entities as characters, an ampersand masked; what names no character stays."""
+
+    def one(t: Column) -> Column:
+        digits = F.regexp_extract(t, r"^&#(?:x0*([0-9A-Fa-f]{1,6})|0*([0-9]{1,7}));$", 1)
+        decimal = F.regexp_extract(t, r"^&#0*([0-9]{1,7});$", 1)
+        code = F.conv(F.when(digits != "", digits).otherwise(F.conv(decimal, 10, 16)), 16, 10).cast("int")
+        valid = (code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF))
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(t == "&#38;", _MASKS[0]).when(valid & (code == 38), _MASKS[0]).when(valid, char).otherwise(t)
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"&#[^;&]*;|[^&]+|&"), F.lit(0)), lambda t: F.when(t.startswith("&#"), one(t)).otherwise(t))
+    return F.when(F.contains(text, F.lit("&#")), F.array_join(found, "")).otherwise(text)
+
+
+def xml_text(content: Column) -> Column:
+    """The text of an XML file: Latin-1 where it is stated, without the declaration then; UTF-8 otherwise."""
+    latin = F.decode(content, "ISO-8859-1")
+    stated = F.lower(F.regexp_extract(latin, r"^\s*<\?xml[^>]*encoding=[\"']([^\"']*)", 1))
+    return F.when(stated.isin("iso-8859-1", "latin-1", "latin1"), F.regexp_replace(latin, r"^\s*<\?xml[^>]*>", "")).otherwise(F.make_valid_utf8(content.cast("string")))
+
+
 def _resolved(text: Column) -> Column:
+    text = _numeric(text)
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    return F.translate(text, _MASKS, "&<>")
 
 
 def xml_blocks(docs: DataFrame, content: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``tag: text`` for every element with own text, 50 per block, by expressions only.
 
-    Prefixes are left out, the five named entities are resolved, and sections of raw
+    Prefixes are left out, the five named and numeric entities are resolved, and sections of raw
     character data are read as text. A document whose tags do not balance, or that
     states another encoding than UTF-8, gives one row with ``error`` set.
     """
     raw = F.col(content).cast("string")
-    flat = F.regexp_replace(raw, r"<!--[\s\S]*?-->", "<!---->")
-    flat = F.regexp_replace(flat, r"<!\[CDATA\[([^<]*)\]\]>", "$1")
+    docs = docs.withColumn("_flat", _masked(raw))
+    flat = F.col("_flat")
     tag, text = (F.regexp_extract_all(flat, F.lit(_OPENING), F.lit(g)) for g in (1, 2))
     pairs = F.filter(F.arrays_zip(tag.alias("tag"), F.transform(text, lambda t: strip_text(_resolved(t))).alias("text")), lambda p: p["text"] != "")
     lines = F.transform(pairs, lambda p: F.concat(p["tag"], F.lit(": "), p["text"]))

@@ -72,6 +72,15 @@ def test_xml(spark):
         ("0", None, "Could not parse XML: encoding shift_jis"), ("1", "d: y", None), ("2", None, "Could not parse XML: tags do not balance"), ("3", "a: raw", None)]
 
 
+def test_xml_raw_data_entities_quotes_and_encoding(spark):
+    docs = _docs(spark, "<a><![CDATA[<p>x &amp; <!-- y -->]]></a>", "<a>caf&#233; &#xE9; &#x1F600; &amp;#233; &#38;lt; &#0;</a>", "<a k='1 > 0' j=\"<b>\">t</a>")
+    assert _rows(markup.xml_blocks(docs), "text", "error") == [
+        ("a: <p>x &amp; <!-- y -->", None), ("a: café é " + chr(0x1F600) + " &#233; &lt; &#0;", None), ("a: t", None)]
+    latin = '<?xml version="1.0" encoding="ISO-8859-1"?><a>café</a>'.encode("latin-1")
+    blocks, failed = registry.route(spark.createDataFrame([("x", "xml", latin)], "doc_id string, file_type string, content binary"))
+    assert [r.text for r in blocks.collect()] == ["a: café"] and failed.count() == 0
+
+
 def test_csv(spark):
     text = chr(0xFEFF) + "name;age\n;\n\"a;b\";3\n"
     assert _rows(records.csv_blocks(_docs(spark, text, ""), sep=";"), "doc_id", "kind", "text") == [("0", "table", "name | age\na;b | 3")]
