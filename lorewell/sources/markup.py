@@ -185,12 +185,12 @@ def _numeric(text: Column) -> Column:
     """Numeric entities as characters, an ampersand masked; what names no character stays."""
 
     def one(t: Column) -> Column:
-        digits = F.regexp_extract(t, r"^&#(?:x0*([0-9A-Fa-f]{1,6})|0*([0-9]{1,7}));$", 1)
+        digits = F.regexp_extract(t, r"^&#x0*([0-9A-Fa-f]{1,6});$", 1)
         decimal = F.regexp_extract(t, r"^&#0*([0-9]{1,7});$", 1)
         code = F.conv(F.when(digits != "", digits).otherwise(F.conv(decimal, 10, 16)), 16, 10).cast("int")
         valid = (code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF))
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(t == "&#38;", _MASKS[0]).when(valid & (code == 38), _MASKS[0]).when(valid, char).otherwise(t)
+        return F.when(valid & (code == 38), _MASKS[0]).when(valid, char).otherwise(t)
 
     found = F.transform(F.regexp_extract_all(text, F.lit(r"&#[^;&]*;|[^&]+|&"), F.lit(0)), lambda t: F.when(t.startswith("&#"), one(t)).otherwise(t))
     return F.when(F.contains(text, F.lit("&#")), F.array_join(found, "")).otherwise(text)
