@@ -14,6 +14,7 @@ from lorewell.sources.markup import LINES_PER_BLOCK, grouped
 
 CELL_GLUE = " | "
 SHEET_ROWS_PER_BLOCK = 1000
+SEPARATORS = (",", ";", "\t", "|")
 
 # Private characters that stand for a quote, and for separators and line ends inside quotes.
 _QUOTE, _SEP, _LF, _CR = "\ue000", "\ue001", "\ue002", "\ue003"
@@ -36,10 +37,39 @@ def csv_records(text: Column | str, sep: str = ",", quote: str = '"') -> Column:
     return F.transform(lines, lambda line: F.transform(F.split(line, re.escape(sep), -1), cell))
 
 
-def csv_blocks(docs: DataFrame, content: str = "text", carry: tuple[str, ...] = ("doc_id",), sep: str = ",", quote: str = '"') -> DataFrame:
-    """One table block per document with all rows that are not blank; the dialect is the caller's to state."""
-    shown = F.filter(csv_records(content, sep, quote), lambda r: F.exists(r, lambda c: strip_text(c) != ""))
-    body = F.array_join(F.transform(shown, lambda r: F.array_join(r, CELL_GLUE)), "\n")
+def csv_separator(text: Column | str, quote: str = '"') -> Column:
+    """The separator whose count outside quotes is the same in all rows of the text, a comma if there is none.
+
+    Of several the most frequent; a comma only if not all of them stand between two digits, as decimal commas do.
+    """
+    pieces = F.split(_c(text), re.escape(quote), -1)
+    outside = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise("q")), "")
+    lines = F.filter(F.split(outside, "\r\n|\n|\r", -1), lambda s: (s != "") & ((strip_text(s) != "") | F.contains(s, F.lit("\t"))))
+
+    def even(mark: str) -> Column:
+        counts = F.transform(lines, lambda s: F.regexp_count(s, F.lit(re.escape(mark))))
+        return F.when(F.array_min(counts) == F.array_max(counts), F.array_min(counts)).otherwise(0)
+
+    decimal = F.regexp_count(outside, F.lit(",")) == F.regexp_count(outside, F.lit(r"(?<=\d),(?=\d)"))
+    # equal counts: the earlier separator
+    rated = [F.struct((F.when(decimal, 0).otherwise(even(m)) if m == "," else even(m)).alias("n"), F.lit(-i).alias("i"), F.lit(m).alias("sep")) for i, m in enumerate(SEPARATORS)]
+    return F.coalesce(F.array_max(F.array(*rated))["sep"], F.lit(","))
+
+
+def csv_blocks(docs: DataFrame, content: str = "text", carry: tuple[str, ...] = ("doc_id",), sep: str | None = ",", quote: str = '"') -> DataFrame:
+    """One table block per document with all rows that are not blank; without ``sep`` each document's is found."""
+
+    def shown(mark: str) -> Column:
+        rows = F.filter(csv_records(content, mark, quote), lambda r: F.exists(r, lambda c: strip_text(c) != ""))
+        return F.array_join(F.transform(rows, lambda r: F.array_join(r, CELL_GLUE)), "\n")
+
+    if sep is None:
+        docs = docs.withColumn("_sep", csv_separator(content, quote))
+        body = shown(SEPARATORS[0])
+        for mark in SEPARATORS[1:]:
+            body = F.when(F.col("_sep") == mark, shown(mark)).otherwise(body)
+    else:
+        body = shown(sep)
     return docs.select(*carry, body.alias("text")).where(F.col("text") != "").select(
         *carry, F.lit(0).cast("long").alias("seq"), F.lit("table").alias("kind"), "text", F.lit(None).cast("int").alias("heading_level"),
         F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("section_title"), F.lit(None).cast("string").alias("error"))

@@ -34,7 +34,7 @@ READERS: dict[str, Reader] = {
     "markdown": lambda files: plain.markdown_blocks(_as_utf8(files)),
     "html": lambda files: decode_documents(files, markup.html_decoder(), "content"),
     "xml": lambda files: markup.xml_blocks(files.select("doc_id", markup.xml_text(F.col("content").cast("binary")).alias("text"))),
-    "csv": lambda files: records.csv_blocks(_as_utf8(files)),
+    "csv": lambda files: records.csv_blocks(_as_utf8(files), sep=None),
     "json": lambda files: decode_documents(files, records.decode_json, "content"),
 }
 

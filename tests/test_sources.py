@@ -81,6 +81,13 @@ def test_xml_raw_data_entities_quotes_and_encoding(spark):
     assert [r.text for r in blocks.collect()] == ["a: café"] and failed.count() == 0
 
 
+def test_routed_csv_of_mixed_dialects(spark):
+    texts = ['a;b\n1,5;"x;y"\n2,5;z', "1,5;2,5\n3,1;4,2", "a\tb\n1\t2", "a|b|c\n1|2|3", "a,b\n1;2,3", "1,2\n3,4", "one, two\nthree", '"p;q",r\n"s",t\n']
+    files = spark.createDataFrame([(str(i), "csv", bytearray(t, "utf-8")) for i, t in enumerate(texts)], "doc_id string, file_type string, content binary")
+    got = [r.text for r in registry.route(files)[0].orderBy("doc_id").collect()]
+    assert got == ["a | b\n1,5 | x;y\n2,5 | z", "1,5 | 2,5\n3,1 | 4,2", "a | b\n1 | 2", "a | b | c\n1 | 2 | 3", "a | b\n1;2 | 3", "1 | 2\n3 | 4", "one |  two\nthree", "p;q | r\ns | t"]
+
+
 def test_csv(spark):
     text = chr(0xFEFF) + "name;age\n;\n\"a;b\";3\n"
     assert _rows(records.csv_blocks(_docs(spark, text, ""), sep=";"), "doc_id", "kind", "text") == [("0", "table", "name | age\na;b | 3")]
