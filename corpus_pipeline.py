@@ -30,15 +30,18 @@ def remove_line_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (similarity 0.8, five words)."""
+    """The document with the smallest id of each group of near-duplicates (similarity 0.8, five words); a row repeated in full stays once."""
     dropped = near_duplicates.near_duplicates(docs, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns).dropDuplicates()
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    leaking = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaking, "doc_id", "left_anti").select(*docs.columns)
+    # decisions go by a key of the row, stored so that it stays: ids may be null or repeated
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col("_row").alias("doc_id"), "text")
+    leaking = decontaminate.contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(leaking, "_row", "left_anti").select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

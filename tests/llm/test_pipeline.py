@@ -60,6 +60,17 @@ def test_no_leak_is_left(spark, outputs):
     assert any(holds(r) for r in before) and not any(holds(r) for r in outputs[3].collect())
 
 
+def test_rows_without_id_and_repeated_rows(spark):
+    item = table(spark, SF_SMALL, "benchmark").first().text
+    docs = table(spark, SF_SMALL, "documents").limit(3).select("doc_id", "text")
+    odd = spark.createDataFrame([(None, "before it " + item + " and after"), (None, "nothing leaks in this text"), (-1, "one row twice in the corpus"), (-1, "one row twice in the corpus")], "doc_id long, text string")
+    both = stored(docs.unionAll(odd), "odd")
+    clean = [tuple(r) for r in corpus_pipeline.drop_contaminated(spark, both, SF_SMALL).collect()]
+    assert (None, "nothing leaks in this text") in clean and not any(item in t for _, t in clean)
+    once = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, both, SF_SMALL).collect()]
+    assert once.count((-1, "one row twice in the corpus")) == 1 and sum(i is None for i, _ in once) == 2
+
+
 def test_token_ids(outputs):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = {r.doc_id: r.text for r in outputs[3].collect()}
