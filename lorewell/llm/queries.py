@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import bpe_codec, bwt_merge, decontaminate, line_spread, multi_index, near_duplicates, suffix_trees, token_counts, toxicity, training_order
+from lorewell.llm import backoff, bpe_codec, bwt_merge, decontaminate, line_spread, multi_index, near_duplicates, suffix_trees, token_counts, toxicity, training_order
 from lorewell.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,8 @@ def op9_suffix_tree_dedup(spark, sf_dir):
 def op10_multi_index_neighbours(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return multi_index.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query()
+def op13_backoff_automaton(spark, sf_dir):
+    return backoff.score(table(spark, sf_dir, "documents"))
