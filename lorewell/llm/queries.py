@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import backoff, bpe_codec, bwt_merge, conversation_repair, decontaminate, line_spread, multi_index, near_duplicates, suffix_trees, token_counts, toxicity, training_order
+from lorewell.llm import backoff, bpe_codec, bwt_merge, conversation_repair, decontaminate, line_spread, multi_index, near_duplicates, spelling, suffix_trees, token_counts, toxicity, training_order
 from lorewell.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,11 @@ def op10_multi_index_neighbours(spark, sf_dir):
     return multi_index.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+@query()
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op12_conversation_repair(spark, sf_dir):
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
