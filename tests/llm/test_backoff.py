@@ -17,6 +17,12 @@ from conftest import SF_SMALL
 DOCS = "doc_id long, text string"
 
 
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(backoff, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(backoff, "BUCKET_BYTES", 9000)
+
+
 def tokens(text):
     low = re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
     return re.findall(r"[^\x20\x09-\x0D]+", low) + ["</s>"]
@@ -71,7 +77,7 @@ def close(got, expected):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_against_plain_counting(spark, order):
+def test_against_plain_counting(spark, small_blocks, order):
     rnd = random.Random(order)
     rows = [(i, " ".join(rnd.choice(["the", "The", "a", "cat", "dog", "ran", "é", "far\x0baway"]) for _ in range(rnd.randint(0, 40)))) for i in range(120)]
     rows += [(200 + i, odd.words(i, 30)) for i in range(20)]
