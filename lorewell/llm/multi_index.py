@@ -174,7 +174,11 @@ def _best(who, what, close, ids, depth) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in the same order of additions whatever rows stand beside."""
+    """Row by row, in the same order of additions whatever rows stand beside.
+
+    Rows are scaled by powers of two first, which changes no digit but keeps the squares in range.
+    """
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (a, b))
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 

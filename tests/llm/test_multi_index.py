@@ -53,12 +53,20 @@ def test_odd_vectors(spark):
             (6, [inf, 1.0], 0, 0.0, 1, 1), (7, [None, 1.0], 0, 0.0, 1, 1), (8, [1.0, 2.0, 3.0], 0, 0.0, 1, 1), (None, [1.0, 0.5], 0, 0.0, 1, 1), (50, [1e-30, 1e-30], 0, 0.0, 1, 1), (100, None, 0, 0.0, 1, 1), (9, [3e38, 0.0], 0, 0.0, 1, 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = {(r.query_id, r["rank"]): r.vec_id for r in multi_index.nearest(docs, docs.where("vec_id % 50 = 0")).collect()}
-    assert got == {(0, 1): 9, (0, 2): 1, (0, 3): 50, (50, 1): 1, (50, 2): 0, (50, 3): 9}
+    want = brute([(r[0], r[1]) for r in docs.distinct().select("vec_id", "embedding").collect() if len(r[1] or ()) == 2])
+    assert got == {(q, rank): j for q, rows in want.items() for rank, (j, _) in enumerate(rows, 1)} and len(got) == 6
     assert multi_index.nearest(docs.limit(0), docs.limit(0)).count() == 0
     alone = docs.where("vec_id = 0")
     assert multi_index.nearest(alone, alone).count() == 0
 
 
+def test_squares_out_of_range(spark):
+    rows = [(50, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1.0, 2.0]), (3, [1e-200, -1e-200])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, round(r.score, 12)) for r in multi_index.nearest(docs, docs.where("vec_id = 50")).orderBy("rank").collect()]
+    assert got == [(2, round(3 / 10**0.5, 12)), (1, round(0.5**0.5, 12)), (3, 0.0)]
+
+
 def test_walk_is_in_order_of_distance():
     rnd = np.random.default_rng(3)
     sample = rnd.normal(size=(500, 6))
