@@ -184,26 +184,36 @@ def table_as_pipe_block(spark, sf_dir):
     return records.sheet_blocks(sheets).select("seq", "page_number", "kind", "text")
 
 
-@query("""SELECT c_nationkey AS doc_id, string_agg(CAST(c_custkey AS VARCHAR) || ' | ' || c_name || ', "' || c_mktsegment || '"' || chr(10) || 'x | ', chr(10) ORDER BY c_custkey) AS text
+@query("""SELECT c_nationkey AS doc_id, string_agg(CAST(c_custkey AS VARCHAR) || ' | ' || c_name || ', "' || c_mktsegment || '"' || chr(10) || 'x | 5" pipe', chr(10) ORDER BY c_custkey) AS text
 FROM customer GROUP BY c_nationkey""")
 def csv_table_block(spark, sf_dir):
-    """Customers of a nation as one CSV text with quotes, separators and line ends inside cells, and blank rows between."""
-    row = F.concat(F.col("c_custkey").cast("string"), F.lit(';"'), "c_name", F.lit(', ""'), "c_mktsegment", F.lit('""\nx";\n;\n'))
+    """Customers of a nation as one CSV text of one of four dialects, with quotes, separators and line ends in cells, stray quotes, and blank rows."""
+    sep = F.element_at(F.array(*map(F.lit, records.SEPARATORS)), F.col("c_nationkey").cast("int") % 4 + 1)
+    row = F.concat(F.col("c_custkey").cast("string"), sep, F.lit('"'), "c_name", F.lit(', ""'), "c_mktsegment", F.lit('""\nx"'), sep, F.lit('5" pipe\n'), sep, sep, F.lit("\n"))
     files = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("doc_id")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", row.alias("row")))), lambda r: r["row"]), "").alias("text"))
-    return records.csv_blocks(files, sep=";").select("doc_id", "text")
+    return records.csv_blocks(files, sep=None).select("doc_id", "text")
 
 
-@query("""WITH l AS (SELECT c_nationkey AS doc_id, CAST((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 50 AS BIGINT) AS seq, c_custkey,
-  'name: ' || c_name || ' & ' || c_mktsegment AS line FROM customer)
-SELECT doc_id, seq, string_agg(line, chr(10) ORDER BY c_custkey) AS text FROM l GROUP BY doc_id, seq""")
+# What every fifth nation's text is wrapped in, and what a reader says to it.
+_BROKEN_XML = {1: ("<a><b>", "</a></b>", "tags do not balance"), 2: ("<a x=1>", "</a>", "a tag is not well-formed"), 3: ("", "</r><r>", "more than one root"), 4: ("a & b", "", "an ampersand stands alone")}
+
+
+@query(f"""WITH l AS (SELECT c_nationkey AS doc_id, CAST((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 50 AS BIGINT) AS seq, c_custkey,
+  'name: ' || c_name || ' & ' || c_mktsegment AS line FROM customer WHERE c_nationkey % 5 = 0)
+SELECT doc_id, seq, string_agg(line, chr(10) ORDER BY c_custkey) AS text, NULL AS error FROM l GROUP BY doc_id, seq
+UNION ALL SELECT DISTINCT c_nationkey, 0, NULL, 'Could not parse XML: ' || CASE c_nationkey % 5 {" ".join(f"WHEN {k} THEN '{why}'" for k, (_, _, why) in _BROKEN_XML.items())} END
+FROM customer WHERE c_nationkey % 5 > 0""")
 def xml_line_blocks(spark, sf_dir):
-    """Customers of a nation as one XML text with prefixes, comments, entities and empty elements."""
+    """Customers of a nation as one XML text with prefixes, comments, entities and empty elements; four of five are not well-formed."""
     item = F.concat(F.lit("<p:item k='1'><!-- <name>no</name> --><p:name> "), "c_name", F.lit(" &amp; "), "c_mktsegment", F.lit(" </p:name><none/></p:item>"))
     files = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("doc_id")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", item.alias("item")))), lambda r: r["item"]), "").alias("items"))
-    texts = files.select("doc_id", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><r xmlns:p="urn:x">'), "items", F.lit("</r>")).alias("text"))
-    return markup.xml_blocks(texts).where("error IS NULL").select("doc_id", "seq", "text")
+    body = F.col("items")
+    for k, (before, after, _) in _BROKEN_XML.items():
+        body = F.when(F.col("doc_id") % 5 == k, F.concat(F.lit(before), "items", F.lit(after))).otherwise(body)
+    texts = files.select("doc_id", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><r xmlns:p="urn:x">'), body, F.lit("</r>")).alias("text"))
+    return markup.xml_blocks(texts).select("doc_id", "seq", "text", "error")
 
 
 @query("""SELECT o_orderkey AS row_no, o_orderpriority AS line FROM orders WHERE o_orderkey < 5000

@@ -210,12 +210,47 @@ def _resolved(text: Column) -> Column:
     return F.translate(text, _MASKS, "&<>")
 
 
+_NAME = r"[A-Za-z_:][\w:.\-]*+"
+_VALUE = r"(?:\"[^\"]*+\"|'[^']*+')"
+# Instructions and declarations; closing tags; opening and empty ones with well-formed attributes.
+_WELL_FORMED = rf"^(?:<[?!].*|</{_NAME}\s*+>|<{_NAME}(?:\s++{_NAME}\s*+=\s*+{_VALUE})*+\s*+/?>)$"
+_LOOSE_AMPERSAND = r"&(?!(?:lt|gt|amp|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"
+
+
+def _nesting_fault(flat: Column) -> Column:
+    """Why the tags of a masked text are no XML document, or null: the open tags are folded as one path."""
+    tokens = F.regexp_extract_all(flat, F.lit(r"<[^<>]*>|[^<]+|<"), F.lit(0))
+    start = F.struct(F.lit("").alias("path"), F.lit(0).alias("roots"), F.lit(None).cast("string").alias("fault"))
+
+    def step(at: Column, token: Column) -> Column:
+        name = F.concat(F.lit("/"), F.regexp_extract(token, rf"^</?({_NAME})", 1), F.lit(">"))
+        opens = F.rlike(token, F.lit("^<[A-Za-z_:]"))
+        empty = opens & token.endswith("/>")
+        closes = token.startswith("</")
+        outside = at["path"] == ""
+        fault = (
+            F.when(token.startswith("<") & ~F.rlike(token, F.lit("(?s)" + _WELL_FORMED)), "a tag is not well-formed")
+            .when(closes & ~at["path"].endswith(name), "tags do not balance")
+            .when(opens & outside & (at["roots"] > 0), "more than one root")
+            .when(~token.startswith("<") & outside & (strip_text(token) != ""), F.when(at["roots"] > 0, "text outside the root").otherwise("tags do not balance")))
+        path = (
+            F.when(opens & ~empty, F.concat(at["path"], name))
+            .when(closes, F.substring(at["path"], F.lit(1), F.length(at["path"]) - F.length(name))).otherwise(at["path"]))
+        return F.when(at["fault"].isNotNull(), at).otherwise(F.struct(
+            path.alias("path"), (at["roots"] + F.when(opens & outside, 1).otherwise(0)).alias("roots"), fault.alias("fault")))
+
+    def verdict(at: Column) -> Column:
+        return F.coalesce(at["fault"], F.when(at["path"] != "", "tags do not balance").when(at["roots"] == 0, "no root"))
+
+    return F.aggregate(tokens, start, step, verdict)
+
+
 def xml_blocks(docs: DataFrame, content: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``tag: text`` for every element with own text, 50 per block, by expressions only.
 
     Prefixes are left out, the five named and numeric entities are resolved, and sections of raw
-    character data are read as text. A document whose tags do not balance, or that
-    states another encoding than UTF-8, gives one row with ``error`` set.
+    character data are read as text. A document that is not well-formed (nesting, attributes, one
+    root, loose ampersands), or that states another encoding than UTF-8, gives one row with ``error`` set.
     """
     raw = F.col(content).cast("string")
     docs = docs.withColumn("_flat", _masked(raw))
@@ -223,13 +258,9 @@ def xml_blocks(docs: DataFrame, content: str = "text", carry: tuple[str, ...] =
     tag, text = (F.regexp_extract_all(flat, F.lit(_OPENING), F.lit(g)) for g in (1, 2))
     pairs = F.filter(F.arrays_zip(tag.alias("tag"), F.transform(text, lambda t: strip_text(_resolved(t))).alias("text")), lambda p: p["text"] != "")
     lines = F.transform(pairs, lambda p: F.concat(p["tag"], F.lit(": "), p["text"]))
-    count = lambda pattern: F.regexp_count(flat, F.lit(pattern))
-    opened, closed = count(r"<[A-Za-z_][^<>]*(?<!/)>"), count(r"</[A-Za-z_][^<>]*>")
     encoding = F.lower(F.regexp_extract(raw, r"^\s*<\?xml[^>]*encoding=[\"']([^\"']*)", 1))
-    error = (
-        F.when(~encoding.isin(*_UTF8_NAMES), F.concat(F.lit("Could not parse XML: encoding "), encoding))
-        .when((opened != closed) | (count(r"<[A-Za-z_]") == 0) | (count("<") != count(r"<[^<>]*>")), "Could not parse XML: tags do not balance")
-    )
+    fault = F.when(F.rlike(flat, F.lit(_LOOSE_AMPERSAND)), "an ampersand stands alone").otherwise(_nesting_fault(flat))
+    error = F.concat(F.lit("Could not parse XML: "), F.when(~encoding.isin(*_UTF8_NAMES), F.concat(F.lit("encoding "), encoding)).otherwise(fault))
     found = docs.where(raw.isNotNull()).select(*carry, error.alias("error"), lines.alias("_lines"))
     groups = F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast("string"))).when(F.size("_lines") > 0, F.transform(
         F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / LINES_PER_BLOCK).cast("int")),

@@ -16,44 +16,52 @@ CELL_GLUE = " | "
 SHEET_ROWS_PER_BLOCK = 1000
 SEPARATORS = (",", ";", "\t", "|")
 
-# Private characters that stand for a quote, and for separators and line ends inside quotes.
-_QUOTE, _SEP, _LF, _CR = "\ue000", "\ue001", "\ue002", "\ue003"
+# Private characters that stand for separators and line ends inside quotes.
+_SEP, _LF, _CR = "\ue001", "\ue002", "\ue003"
+
+
+def _quoted(quote: str) -> str:
+    """What a quote opens: up to its partner, or to the end of the text without one; a doubled quote is a quote."""
+    q = re.escape(quote)
+    return f"{q}((?:[^{q}]++|{q}{q})*+)(?:{q}|\\z)"
 
 
 def csv_records(text: Column | str, sep: str = ",", quote: str = '"') -> Column:
-    """Rows of cells of a CSV text, by expressions only; separators and line ends inside quotes belong to the cell."""
-    bare = F.regexp_replace(_c(text), "^\ufeff", "")
-    # between quotes every second piece is quoted; a doubled quote leaves an empty piece and changes nothing
-    pieces = F.split(bare, re.escape(quote), -1)
-    masked = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.translate(p, f"{sep}\n\r", _SEP + _LF + _CR)).otherwise(p))
-    lines = F.split(F.array_join(masked, _QUOTE), "\r\n|\n|\r", -1)
+    """Rows of cells of a CSV text, by expressions only.
 
-    def cell(c: Column) -> Column:
-        quoted = F.length(c).__ge__(2) & c.startswith(_QUOTE) & c.endswith(_QUOTE)
-        inner = F.when(quoted, F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c)
-        whole = F.replace(F.replace(inner, F.lit(_QUOTE * 2), F.lit(quote)), F.lit(_QUOTE), F.lit(quote))
-        return F.translate(whole, _SEP + _LF + _CR, f"{sep}\n\r")
+    A quote opens only at the start of a cell; elsewhere it is a character. Separators and line ends
+    inside quotes belong to the cell, and what follows the closing quote is added to it.
+    """
+    mark = re.escape(sep)
+    cell = f"(?:{_quoted(quote)})?+[^{mark}\r\n]*+(?:{mark}|\r\n|\n|\r|\\z)"
+    tokens = F.regexp_extract_all(F.regexp_replace(_c(text), "^\ufeff", ""), F.lit(cell), F.lit(0))
 
-    return F.transform(lines, lambda line: F.transform(F.split(line, re.escape(sep), -1), cell))
+    def masked(t: Column) -> Column:
+        inner = F.replace(F.regexp_extract(t, "^" + _quoted(quote), 1), F.lit(quote * 2), F.lit(quote))
+        rest = F.regexp_replace(t, "^" + _quoted(quote), "")
+        return F.when(t.startswith(quote), F.concat(F.translate(inner, f"{sep}\n\r", _SEP + _LF + _CR), rest)).otherwise(t)
+
+    lines = F.split(F.array_join(F.transform(tokens, masked), ""), "\r\n|\n|\r", -1)
+    plain = lambda c: F.translate(c, _SEP + _LF + _CR, f"{sep}\n\r")
+    return F.transform(lines, lambda line: F.transform(F.split(line, mark, -1), plain))
 
 
 def csv_separator(text: Column | str, quote: str = '"') -> Column:
-    """The separator whose count outside quotes is the same in all rows of the text, a comma if there is none.
+    """The separator that cuts all rows of the text into equally many cells, a comma if there is none.
 
-    Of several the most frequent; a comma only if not all of them stand between two digits, as decimal commas do.
+    Of several the one with most cells; a comma only if not all of them stand between two digits, as decimal commas do.
     """
-    pieces = F.split(_c(text), re.escape(quote), -1)
-    outside = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise("q")), "")
-    lines = F.filter(F.split(outside, "\r\n|\n|\r", -1), lambda s: (s != "") & ((strip_text(s) != "") | F.contains(s, F.lit("\t"))))
+    bare = F.regexp_replace(_c(text), "(?<![^,;\t|\r\n])" + _quoted(quote), "q")
+    decimal = F.regexp_count(bare, F.lit(",")) == F.regexp_count(bare, F.lit(r"(?<=\d),(?=\d)"))
 
     def even(mark: str) -> Column:
-        counts = F.transform(lines, lambda s: F.regexp_count(s, F.lit(re.escape(mark))))
-        return F.when(F.array_min(counts) == F.array_max(counts), F.array_min(counts)).otherwise(0)
+        rows = F.filter(csv_records(text, mark, quote), lambda r: (F.size(r) > 1) | (strip_text(r[0]) != ""))
+        cells = F.array(F.transform(rows, F.size))  # a lambda's argument is evaluated once
+        return F.coalesce(F.transform(cells, lambda c: F.when(F.array_min(c) == F.array_max(c), F.array_min(c) - 1).otherwise(0))[0], F.lit(0))
 
-    decimal = F.regexp_count(outside, F.lit(",")) == F.regexp_count(outside, F.lit(r"(?<=\d),(?=\d)"))
-    # equal counts: the earlier separator
+    # equal counts: the earlier separator; none cuts anything: a comma
     rated = [F.struct((F.when(decimal, 0).otherwise(even(m)) if m == "," else even(m)).alias("n"), F.lit(-i).alias("i"), F.lit(m).alias("sep")) for i, m in enumerate(SEPARATORS)]
-    return F.coalesce(F.array_max(F.array(*rated))["sep"], F.lit(","))
+    return F.array_max(F.array(F.struct(F.lit(0).alias("n"), F.lit(1).alias("i"), F.lit(",").alias("sep")), *rated))["sep"]
 
 
 def csv_blocks(docs: DataFrame, content: str = "text", carry: tuple[str, ...] = ("doc_id",), sep: str | None = ",", quote: str = '"') -> DataFrame:
@@ -63,14 +71,15 @@ def csv_blocks(docs: DataFrame, content: str = "text", carry: tuple[str, ...] =
         rows = F.filter(csv_records(content, mark, quote), lambda r: F.exists(r, lambda c: strip_text(c) != ""))
         return F.array_join(F.transform(rows, lambda r: F.array_join(r, CELL_GLUE)), "\n")
 
-    if sep is None:
-        docs = docs.withColumn("_sep", csv_separator(content, quote))
-        body = shown(SEPARATORS[0])
-        for mark in SEPARATORS[1:]:
-            body = F.when(F.col("_sep") == mark, shown(mark)).otherwise(body)
-    else:
-        body = shown(sep)
-    return docs.select(*carry, body.alias("text")).where(F.col("text") != "").select(
+    def body(mark: Column) -> Column:
+        out = shown(SEPARATORS[0])
+        for known in SEPARATORS[1:]:
+            out = F.when(mark == known, shown(known)).otherwise(out)
+        return out
+
+    # arrays of one element: a lambda evaluates its argument once, and no filter is copied below the reader
+    texts = F.array(shown(sep)) if sep is not None else F.transform(F.array(csv_separator(content, quote)), body)
+    return docs.select(*carry, F.explode(F.filter(texts, lambda t: t != "")).alias("text")).select(
         *carry, F.lit(0).cast("long").alias("seq"), F.lit("table").alias("kind"), "text", F.lit(None).cast("int").alias("heading_level"),
         F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("section_title"), F.lit(None).cast("string").alias("error"))
 

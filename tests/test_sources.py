@@ -1,6 +1,9 @@
 """Golden inputs for every reader."""
 
+import csv
+import io
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -81,6 +84,27 @@ def test_xml_raw_data_entities_quotes_and_encoding(spark):
     assert [r.text for r in blocks.collect()] == ["a: café"] and failed.count() == 0
 
 
+def test_xml_that_is_not_well_formed(spark):
+    texts = {"<r><a><b>t</a></b></r>": "tags do not balance", "<r><a x=1>t</a></r>": "a tag is not well-formed", "<r>a</r><q>b</q>": "more than one root", "x<r/>": "tags do not balance", "<r/>x": "text outside the root",
+             "<r><a>": "tags do not balance", "</r>": "tags do not balance", "": "no root", "<r>a & b</r>": "an ampersand stands alone", "<r>a &nbsp; b</r>": "an ampersand stands alone",
+             "<r a='1'b='2'/>": "a tag is not well-formed", "<r>< a></r>": "a tag is not well-formed", "<r>1 < 2</r>": "a tag is not well-formed"}
+    got = dict(_rows(markup.xml_blocks(_docs(spark, *texts)), "doc_id", "error"))
+    assert got == {str(i): "Could not parse XML: " + why for i, why in enumerate(texts.values())}
+    fine = _docs(spark, "<?xml version='1.0'?>\n<!-- c --><a:r a='1' b=\"2>3\"><n.x/>\n<k>v</k ></a:r >\n<!-- d -->", "<r " + " ".join(f"a{i}='{i}'" for i in range(500)) + "><b>" + "<c>1</c>" * 3000 + "</b></r>")
+    assert {r[0] for r in _rows(markup.xml_blocks(fine), "error")} == {None}
+
+
+def test_csv_rows_as_the_csv_module_reads_them(spark):
+    rnd = random.Random(2)
+    texts = ['a,b\n5" pipe,x\nc,d', '"open, to the end\nof "" it', '"a"b"c",d', '""', "\ufeffx,y"] + [
+        "".join(rnd.choice(['"', '""', ",", "\n", "\r\n", "a", "b ", '"x,y"', "\r"]) for _ in range(rnd.randint(0, 14))) for _ in range(300)]
+    texts.append('"' + 'a ""quoted"" word, ' * 5_000 + '",end')
+    got = {r.doc_id: r.rows for r in _docs(spark, *texts).select("doc_id", records.csv_records("text").alias("rows")).collect()}
+    solid = lambda rows: [list(r) for r in rows if any(c.strip() for c in r)]
+    for i, text in enumerate(texts):
+        assert solid(got[str(i)]) == solid(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""))), text
+
+
 def test_routed_csv_of_mixed_dialects(spark):
     texts = ['a;b\n1,5;"x;y"\n2,5;z', "1,5;2,5\n3,1;4,2", "a\tb\n1\t2", "a|b|c\n1|2|3", "a,b\n1;2,3", "1,2\n3,4", "one, two\nthree", '"p;q",r\n"s",t\n']
     files = spark.createDataFrame([(str(i), "csv", bytearray(t, "utf-8")) for i, t in enumerate(texts)], "doc_id string, file_type string, content binary")
