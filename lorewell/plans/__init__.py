@@ -24,5 +24,5 @@ def query(sql: str | None = None):
 def load_all() -> None:
     import importlib
 
-    for part in ("corpus", "search", "logs", "admin"):
+    for part in ("corpus", "search", "logs", "admin", "streams"):
         importlib.import_module(f"lorewell.plans.{part}")

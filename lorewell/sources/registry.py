@@ -43,17 +43,24 @@ def register_reader(file_type: str, reader: Reader) -> None:
     READERS[file_type] = reader
 
 
-def route(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, file_type, content)`` to ``(blocks, failures(doc_id, reason))``.
+def outcomes(files: DataFrame) -> DataFrame:
+    """Blocks of every readable file of ``(doc_id, file_type, content)``; of any other one row with ``error``, ``fatal`` if no retry can help.
 
-    Keep ``files`` partitioned by ``file_type`` on storage and each branch reads
-    its own partitions only.
+    Keep ``files`` partitioned by ``file_type`` on storage and each branch reads its own
+    partitions only. Store the result once: blocks and failures are both taken from it.
     """
     parts = [_read(files.filter(F.col("file_type") == kind), reader) for kind, reader in READERS.items()]
-    both = reduce(DataFrame.unionByName, parts)
-    blocks = both.filter(F.col("error").isNull()).select(*_COLUMNS)
-    failed = both.filter(F.col("error").isNotNull()).select("doc_id", F.concat(F.lit("Extraction failed: "), F.col("error")).alias("reason"))
-    return blocks, failed.unionByName(unroutable(files))
+    read = reduce(DataFrame.unionByName, parts)
+    empty = [F.lit(None).cast(read.schema[c].dataType).alias(c) for c in _COLUMNS if c != "doc_id"]
+    unread = unroutable(files).select("doc_id", *empty, F.col("reason").alias("error"), F.lit(True).alias("fatal"))
+    failed = F.concat(F.lit("Extraction failed: "), F.col("error"))
+    return read.withColumn("error", failed).withColumn("fatal", F.lit(False)).unionByName(unread)
+
+
+def route(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, file_type, content)`` to ``(blocks, failures(doc_id, reason))``; both are views of ``outcomes``."""
+    both = outcomes(files)
+    return both.filter(F.col("error").isNull()).select(*_COLUMNS), both.filter(F.col("error").isNotNull()).select("doc_id", F.col("error").alias("reason"))
 
 
 def unroutable(files: DataFrame) -> DataFrame:

@@ -137,6 +137,26 @@ def test_ingest_stream_is_repeatable(spark, tmp_path):
     assert again == first
 
 
+def test_failed_documents_are_tried_again_and_given_up(spark, tmp_path):
+    out, encoder = str(tmp_path / "store"), FeatureHashEncoder(16)
+    broken, good = b"{", b'{"x": 1}'
+    send = lambda batch, *rows: ingest.process_batch(spark.createDataFrame(
+        [(d, "kb", "o", f"{d}.json", f"up/{d}/{v}", bytearray(c), v, "en", None) for d, v, c in rows], ingest.VERSIONED_UPLOADS), batch, out, encoder, "hash16", max_attempts=2)
+    entries = lambda: sorted((r.batch, r.doc_id, r.version, r.outcome, r.attempt) for r in ingest.ledger(spark, out).collect())
+    send(0, ("a", 1, broken), ("b", 1, broken), ("c", 1, good), ("c", 1, good), ("d", 5, good))
+    first = [(0, "a", 1, "failed", 1), (0, "b", 1, "failed", 1), (0, "c", 1, "completed", 1), (0, "d", 5, "completed", 1)]
+    assert entries() == first
+    # one comes mended as a newer version, one is tried for the last time, an older version of a stored one comes late
+    for _ in range(2):  # a repeated batch changes nothing
+        send(1, ("b", 2, good), ("d", 4, broken), ("c", 1, good))
+        assert entries() == sorted(first + [(1, "a", 1, "dead", 2), (1, "b", 1, "superseded", 2), (1, "b", 2, "completed", 1), (1, "c", 1, "repeat", 1), (1, "d", 4, "superseded", 1)])
+    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    assert {r.doc_id for r in read("dead").collect()} == {"a"} and read("retry").where("batch = 1").count() == 0
+    assert {r[0] for r in read("disposable").select("storage_key").collect()} == {"up/c/1", "up/d/5", "up/b/1", "up/b/2", "up/d/4"}
+    chunks = ingest.current_chunks(spark, out).collect()
+    assert sorted({(r.doc_id, r.batch, r.content, r.language) for r in chunks}) == [("b", 1, "x: 1", "en"), ("c", 0, "x: 1", "en"), ("d", 0, "x: 1", "en")]
+
+
 def test_stream_dedupe(spark, tmp_path):
     events, stream = _event_stream(spark, tmp_path)
     got = _run(ingest.first_seen(stream.select("event_type", "ts"), ["event_type"], "ts", "100 days"), tmp_path)
