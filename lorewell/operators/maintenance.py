@@ -23,28 +23,36 @@ CASCADE = {
 _IDENT = {"document_chunks": "chunk_id"}
 
 
-def subtree(nodes: DataFrame, roots: DataFrame, ident: str = "id", parent: str = "parent_id", max_rounds: int = 40) -> DataFrame:
+def subtree(nodes: DataFrame, roots: DataFrame, ident: str = "id", parent: str = "parent_id", max_rounds: int = 64) -> DataFrame:
     """Ids of ``roots`` and all their descendants.
 
-    Pointer doubling: each round every node learns whether a marked node lies
-    within twice as many ancestors, so a tree of depth d takes log2(d) rounds.
-    Rounds are cut by reliable checkpoints. A cycle would never finish and is an error.
+    A node is settled once it is known whether an ancestor is marked. Only open nodes are
+    written again: each round moves an open node's pointer over as many ancestors as it has
+    passed so far, so a tree of depth d takes log2(d) rounds, each cut by a reliable checkpoint;
+    nodes found marked are appended. n open nodes are settled within log2(n) + 1 rounds or
+    lie below a cycle, which is an error.
     """
-    marked = roots.select(ident).distinct().withColumn("_root", F.lit(True))
-    state = cut_lineage(
-        nodes.select(ident, F.col(parent).alias("_up")).join(marked, ident, "left")
-        .select(ident, "_up", F.coalesce("_root", F.lit(False)).alias("_hit"))
-    )
-    for _ in range(max_rounds):
-        open_nodes = state.filter(F.col("_up").isNotNull() & ~F.col("_hit"))
-        if open_nodes.isEmpty():
-            return state.filter("_hit").select(ident)
-        above = state.select(F.col(ident).alias("_up"), F.col("_up").alias("_next"), F.col("_hit").alias("_above"))
-        moved = open_nodes.join(above, "_up", "left").select(
-            ident, F.col("_next").alias("_up"), F.coalesce("_above", F.lit(False)).alias("_hit"))
-        settled = state.filter(F.col("_up").isNull() | F.col("_hit"))
-        state = cut_lineage(settled.unionByName(moved))
-    raise ValueError(f"parent links do not end after {max_rounds} rounds: the hierarchy has a cycle")
+    marked = cut_lineage(nodes.join(roots.select(ident).distinct(), ident, "left_semi").select(ident))
+    hits = [marked]
+    state = cut_lineage(nodes.filter(F.col(parent).isNotNull()).join(marked, ident, "left_anti").select(ident, F.col(parent).alias("_up")))
+    rounds = min(max_rounds, state.count().bit_length() + 1)
+    while not state.isEmpty():
+        if not rounds:
+            raise ValueError("parent links do not end: the hierarchy has a cycle")
+        rounds -= 1
+        found = hits[0]
+        for more in hits[1:]:
+            found = found.unionByName(more)
+        # a pointer to neither a marked nor an open node has come to its end
+        above = found.select(F.col(ident).alias("_up"), F.lit(None).alias("_next").cast(state.schema["_up"].dataType), F.lit(True).alias("_hit")).unionByName(
+            state.select(F.col(ident).alias("_up"), F.col("_up").alias("_next"), F.lit(False).alias("_hit")))
+        moved = cut_lineage(state.join(above, "_up").select(ident, F.col("_next").alias("_up"), "_hit"))
+        hits.append(moved.filter("_hit").select(ident))
+        state = moved.filter(~F.col("_hit")).drop("_hit")
+    out = hits[0]
+    for more in hits[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def cascade_delete(tables: dict[str, DataFrame], deleted: dict[str, DataFrame]) -> dict[str, DataFrame]:

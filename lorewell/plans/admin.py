@@ -211,7 +211,12 @@ def _service_tables(spark, sf_dir):
     messages = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"))
     chats = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 7 % 15000).alias("knowledge_base_id"))
     audit = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("action"))
-    return {"users": users, "knowledge_bases": kbs, "documents": docs, "chat_sessions": chats, "chat_messages": messages, "audit_logs": audit}
+    chunks = docs.select((F.col("id") * 10 + 1).alias("chunk_id"), F.col("id").alias("doc_id"), F.col("knowledge_base_id").alias("kb_id"))
+    citations = docs.select("id", F.col("knowledge_base_id").alias("message_id"), F.col("id").alias("document_id"))
+    usage = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("endpoint"))
+    tokens = kbs.select("id", F.col("owner_id").alias("user_id"))
+    return {"users": users, "knowledge_bases": kbs, "documents": docs, "document_chunks": chunks, "chat_sessions": chats, "chat_messages": messages,
+            "chat_citations": citations, "api_usage_logs": usage, "refresh_tokens": tokens, "audit_logs": audit}
 
 
 @query("""WITH u AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0),
@@ -223,6 +228,11 @@ UNION ALL SELECT 'knowledge_bases', count(*), CAST(sum(o_orderkey) AS BIGINT) FR
 UNION ALL SELECT 'documents', count(*), CAST(sum(id % 1000003) AS BIGINT) FROM d WHERE l_orderkey NOT IN (SELECT id FROM k)
 UNION ALL SELECT 'chat_sessions', count(*), CAST(sum(id) AS BIGINT) FROM s WHERE kb NOT IN (SELECT id FROM k)
 UNION ALL SELECT 'chat_messages', count(*), CAST(sum(event_id) AS BIGINT) FROM events WHERE user_id NOT IN (SELECT id FROM s WHERE kb IN (SELECT id FROM k))
+UNION ALL SELECT 'document_chunks', count(*), CAST(sum((id * 10 + 1) % 1000003) AS BIGINT) FROM d WHERE l_orderkey NOT IN (SELECT id FROM k)
+UNION ALL SELECT 'chat_citations', count(*), CAST(sum(id % 1000003) AS BIGINT) FROM d WHERE l_orderkey NOT IN (SELECT id FROM k)
+  AND l_orderkey NOT IN (SELECT event_id FROM events WHERE user_id IN (SELECT id FROM s WHERE kb IN (SELECT id FROM k)))
+UNION ALL SELECT 'api_usage_logs', count(*), CAST(sum(event_id) AS BIGINT) FROM events WHERE user_id NOT IN (SELECT id FROM u)
+UNION ALL SELECT 'refresh_tokens', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_custkey NOT IN (SELECT id FROM u)
 UNION ALL SELECT 'audit_logs', count(*), CAST(sum(event_id * CASE WHEN user_id IN (SELECT id FROM u) THEN 0 ELSE 1 END) AS BIGINT) FROM events""")
 def cascade_delete(spark, sf_dir):
     """Delete every user in debt and all that hangs below; what remains, per table."""
@@ -230,9 +240,9 @@ def cascade_delete(spark, sf_dir):
     dead = {"users": tables["users"].filter(F.col("c_acctbal") < 0).select("id")}
     left = maintenance.cascade_delete(tables, dead)
     out = None
+    idents = {"documents": F.expr("id % 1000003"), "chat_citations": F.expr("id % 1000003"), "document_chunks": F.expr("chunk_id % 1000003"), "audit_logs": F.expr("IF(user_id IS NULL, 0, id)")}
     for name, df in left.items():
-        ident = {"documents": F.col("id") % 1_000_003, "audit_logs": F.when(F.col("user_id").isNull(), 0).otherwise(F.col("id"))} if name in ("documents", "audit_logs") else {}
-        counted = df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.sum(ident.get(name, F.col("id"))).alias("id_sum"))
+        counted = df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.sum(idents.get(name, F.col("id"))).alias("id_sum"))
         out = counted if out is None else out.unionByName(counted)
     return out.select("table_name", "n_rows", "id_sum")
 
@@ -329,17 +339,20 @@ def partial_update(spark, sf_dir):
     return maintenance.apply_patches(rows, patches, ["name", "description"]).withColumn("description", F.coalesce("description", F.lit("none")))
 
 
-@query("""SELECT o_custkey AS owner_id, CAST(o_orderkey AS VARCHAR) || ' (copy)' AS name, o_orderpriority AS description, CAST(0 AS BIGINT) AS document_count
+@query("""SELECT o_custkey AS owner_id, CAST(o_orderkey AS VARCHAR) || ' (copy)' AS name, o_orderpriority AS description, CAST(0 AS BIGINT) AS document_count,
+  CASE WHEN o_orderkey % 3 = 0 THEN '0:' ELSE '2:' || o_orderstatus || ',' || o_orderpriority END AS tags
 FROM orders WHERE o_custkey % 2 = 0""")
 def duplicate_rows(spark, sf_dir):
     """Copies asked for by owners with an even number; requests by others own nothing."""
     null = F.lit(None).cast("string")
     kbs = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner_id"), F.col("o_orderkey").cast("string").alias("name"),
-        F.col("o_orderpriority").alias("description"), null.alias("color"), null.alias("icon"), F.array(F.lit("a")).alias("tags"))
+        F.col("o_orderpriority").alias("description"), null.alias("color"), null.alias("icon"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("o_orderstatus", "o_orderpriority")).alias("tags"))
     asked = kbs.select("id", F.when(F.col("owner_id") % 2 == 0, F.col("owner_id")).otherwise(-1).alias("owner_id"))
     copies = maintenance.duplicate_knowledge_bases(kbs, asked, F.lit(AS_OF).cast("timestamp"))
-    return copies.select("owner_id", "name", "description", "document_count")
+    tags = F.concat(F.size("tags").cast("string"), F.lit(":"), F.array_join("tags", ","))
+    return copies.select("owner_id", "name", "description", "document_count", tags.alias("tags"))
 
 
 @query("""WITH t AS (SELECT 't' || CAST(o_orderkey AS VARCHAR) AS h, o_custkey AS user_id, o_orderstatus = 'F' AND o_totalprice > 450000 AS revoked, o_orderdate + INTERVAL 30 DAY AS expires_at, o_orderkey FROM orders),

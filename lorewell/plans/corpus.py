@@ -63,12 +63,21 @@ def text_keys(spark, sf_dir):
 
 # ------------------------------------------------------------------ readers
 
+# Inputs in which every rule fires, derived from the documents by expressions that both dialects know.
+_SPACED = "replace(replace(text, '. ', concat('.', chr(10), ' ', chr(9), chr(10))), ', ', concat(',', chr(10), chr(10)))"
+_MARKED = "concat(chr(10), text)"
+for _first, _mark in {"E": "## ", "O": "  # ", "A": "- ", "T": "12. ", "I": "#", "L": "-", "H": "* "}.items():
+    _MARKED = f"replace({_MARKED}, concat(chr(10), '{_first}'), concat(chr(10), '{_mark}{_first}'))"
+
+
 @query(f"""SELECT doc_id, seq, kind, text FROM (
   SELECT doc_id, generate_subscripts(l, 1) - 1 AS seq, 'paragraph' AS kind, {sql_trim('unnest(l)')} AS text
-  FROM (SELECT doc_id, string_split_regex(text, {sql_text(chr(10) + _SPACE + '*' + chr(10))}) AS l FROM documents))
+  FROM (SELECT doc_id, string_split_regex({_SPACED}, {sql_text(chr(10) + _SPACE + '*' + chr(10))}) AS l FROM documents))
 WHERE text <> ''""")
 def paragraph_blocks(spark, sf_dir):
-    return plain.text_blocks(_texts(spark, sf_dir)).select("doc_id", "seq", "kind", "text")
+    """The documents with a blank line, some with white space on it, behind every sentence."""
+    spaced = _texts(spark, sf_dir).withColumn("text", F.expr(_SPACED))
+    return plain.text_blocks(spaced).select("doc_id", "seq", "kind", "text")
 
 
 _MD_HEAD = f"^#{{1,6}}{_SPACE}+"
@@ -77,7 +86,7 @@ _MD_ITEM = rf"^([-*+]|\d+\.){_SPACE}+"
 
 @query(f"""WITH l AS (
   SELECT doc_id, generate_subscripts(p, 1) - 1 AS line_no, {sql_trim('unnest(p)')} AS line
-  FROM (SELECT doc_id, string_split(regexp_replace(text, {sql_text(text.LINE_BREAK)}, chr(10), 'g'), chr(10)) AS p FROM documents)),
+  FROM (SELECT doc_id, string_split(regexp_replace({_MARKED}, {sql_text(text.LINE_BREAK)}, chr(10), 'g'), chr(10)) AS p FROM documents)),
 k AS (SELECT doc_id, line_no, line,
   CASE WHEN regexp_matches(line, {sql_text(_MD_HEAD)}) THEN 'heading' WHEN regexp_matches(line, {sql_text(_MD_ITEM)}) THEN 'list_item' ELSE 'paragraph' END AS kind
   FROM l WHERE line <> ''),
@@ -87,9 +96,11 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS posit
   last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_title
 FROM t""")
 def markdown_blocks(spark, sf_dir):
+    """The documents with their lines marked by first letter: headings of two levels, bullets, numbers, and marks that are none."""
     from pyspark.sql import Window
 
-    blocks = plain.markdown_blocks(_texts(spark, sf_dir))
+    marked = _texts(spark, sf_dir).withColumn("text", F.expr(_MARKED))
+    blocks = plain.markdown_blocks(marked)
     # dense numbering for the report: a group is the lines of one stored text
     position = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).cast("long")
     return blocks.select("doc_id", position.alias("position"), "kind", "text", "section_title")
