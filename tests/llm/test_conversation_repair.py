@@ -107,6 +107,17 @@ def test_query_against_search_on_the_given_table(spark):
     assert by_id(QUERIES["op12_conversation_repair"](spark, SF_SMALL)) == expected(rows)
 
 
+@pytest.mark.parametrize("long", [1, 3, 50])
+def test_long_conversations_are_cut(spark, long):
+    """Small limits cut conversations, within turns and between repeated rows too."""
+    rnd, rows = random.Random(long), made_up(40, 2)
+    for conv in (None, 500, 501):
+        rows += [(conv, rnd.choice([i // 3, i // 3, None]), rnd.choice(["user", "assistant", "system", "tool", ""]), rnd.choice(["Hi.", "no end", "", "x", "Why?", f"{i}!"])) for i in range(150)]
+    rows += [(502, 5, "user", "same.")] * 120
+    rows += [(i, 0, "user", "x.") for i in range(10_000, 10_100) if zlib.crc32(f"{i}:0".encode()) % 20 == 0] * 60
+    assert by_id(cr.repair(frame(spark, rows), long=long)) == expected(rows)
+
+
 def test_empty_and_all_lost(spark):
     assert cr.repair(frame(spark, [(1, 1, "user", "x")]).limit(0)).count() == 0
     lost = [i for i in range(200) if zlib.crc32(f"{i}:0".encode()) % 20 == 0]
