@@ -61,20 +61,20 @@ def usage_rollup(spark, sf_dir):
         "input_tokens", F.round("estimated_cost_usd", 6).alias("estimated_cost_usd"))
 
 
-def _alarm_sql(period: int, threshold: int) -> str:
+def alarm_sql(period: int, threshold: int) -> str:
     return f"""WITH c AS (SELECT (epoch_us(ts) // {period}000000) AS p, count(*) AS n_errors FROM events WHERE event_type = 'error' GROUP BY 1),
 b AS (SELECT * FROM c WHERE n_errors > {threshold})
 SELECT make_timestamp(b.p * {period}000000) AS alarm_at, b.n_errors FROM b JOIN b AS a ON a.p = b.p - 1"""
 
 
-@query(_alarm_sql(300, 1))
+@query(alarm_sql(300, 1))
 def error_alarm(spark, sf_dir):
     """More than one error in each of two 5-minute periods in a row (the given log never reaches 20)."""
     alarms = analytics.error_alarm(table(spark, sf_dir, "events"), F.col("event_type") == "error", threshold=1)
     return alarms.select(F.to_timestamp_ntz(F.date_format("alarm_at", "yyyy-MM-dd HH:mm:ss")).alias("alarm_at"), "n_errors")
 
 
-@query(_alarm_sql(3600, 4))
+@query(alarm_sql(3600, 4))
 def error_alarm_hourly(spark, sf_dir):
     alarms = analytics.error_alarm(table(spark, sf_dir, "events"), F.col("event_type") == "error", period_seconds=3600, threshold=4)
     return alarms.select(F.to_timestamp_ntz(F.date_format("alarm_at", "yyyy-MM-dd HH:mm:ss")).alias("alarm_at"), "n_errors")

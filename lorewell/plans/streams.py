@@ -1,13 +1,16 @@
-"""Streams replayed over the given tables (everything available, then stop) and read back as tables."""
+"""Ingest of mixed files, and streams replayed over the given tables (everything available, then stop) and read back."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lorewell.operators.encoding import FeatureHashEncoder
-from lorewell.plans import query
+from lorewell.plans import query, views
+from lorewell.plans.logs import alarm_sql
+from lorewell.plans.views import SQL_USAGE
 from lorewell.session import shared_folder, table
-from lorewell.streaming import ingest
+from lorewell.sources import registry
+from lorewell.streaming import ingest, usage
 
 # What the documents of each last digit deliver: in which batch, as which version, under which ending and content.
 _TEXT, _BROKEN, _GOOD, _BLANK = "text", '{"broken": ', '{"fine": true}', " \n "
@@ -59,3 +62,99 @@ def ingest_replay(spark, sf_dir):
     current = ingest.current_chunks(spark, f"{root}/store").groupBy("doc_id").agg(F.max("batch").cast("int").alias("current_batch"))
     rows = ingest.ledger(spark, f"{root}/store").join(current, "doc_id", "left")
     return rows.select("doc_id", "batch", "version", "outcome", F.regexp_replace("reason", "(JSON): .*", "$1").alias("reason"), "attempt", (F.col("chunk_count") > 0).alias("has_chunks"), F.coalesce("current_batch", F.lit(-1)).alias("current_batch"))
+
+
+def _replayed(spark, df, root, files_at_once=None):
+    """A table as a stream of the files it is written to."""
+    df.write.parquet(f"{root}/in")
+    reader = spark.readStream.schema(df.schema)
+    return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).parquet(f"{root}/in")
+
+
+def _requests(spark, sf_dir):
+    """The usage log, some of it on paths that are never logged and some without a user."""
+    health, nobody = F.col("id") % 11 == 0, F.col("id") % 7 == 0
+    logs = views.usage(spark, sf_dir).select("id", F.when(~nobody, F.col("user_id")).alias("user_id"), F.when(health, F.lit("/health")).otherwise(F.col("endpoint")).alias("endpoint"), "status_code")
+    return logs.repartitionByRange(3, "id")
+
+
+@query(f"WITH {SQL_USAGE} SELECT id, user_id, endpoint, status_code FROM logs WHERE id % 11 <> 0 AND id % 7 <> 0")
+def usage_append_replay(spark, sf_dir):
+    """Requests appended to the log in three batches, and the same files offered once more."""
+    root = shared_folder(spark, "usage")
+    stream = _replayed(spark, _requests(spark, sf_dir), root, 1)
+    for _ in range(2):
+        usage.append_usage(stream, f"{root}/log", f"{root}/progress").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/log")
+
+
+@query(f"""WITH {SQL_USAGE} SELECT endpoint, count(*) AS api_calls, count(*) FILTER (WHERE status_code >= 400) AS api_errors
+FROM logs WHERE id % 11 <> 0 AND id % 7 <> 0 GROUP BY endpoint""")
+def dashboard_replay(spark, sf_dir):
+    """Counts per endpoint kept up to date over three batches; the newest published version."""
+    root = shared_folder(spark, "dashboard")
+    counts = usage.endpoint_counts(_replayed(spark, _requests(spark, sf_dir), root, 1))
+    usage.start_versioned_dashboard(counts, f"{root}/out", f"{root}/progress", refresh=None).awaitTermination()
+    return usage.read_dashboard(spark, f"{root}/out")
+
+
+@query(f"SELECT alarm_at FROM ({alarm_sql(300, 1)})")
+def alarm_replay(spark, sf_dir):
+    """The alarms of the log as a stream; one event long after the others closes their windows."""
+    root = shared_folder(spark, "alarm")
+    events = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    closing = events.agg(F.lit("error").alias("event_type"), (F.max("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts"))
+    stream = _replayed(spark, events.unionByName(closing), root)
+    alarms = usage.error_alarms(stream, F.col("event_type") == "error", threshold=1)
+    run = alarms.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    found = spark.read.schema(alarms.schema).parquet(f"{root}/out")
+    return found.select(F.to_timestamp_ntz(F.date_format("alarm_at", "yyyy-MM-dd HH:mm:ss")).alias("alarm_at"))
+
+
+def _log_lines(files):
+    """A reader of our own: every line of a log is a paragraph of the section its first word names."""
+    lines = files.select("doc_id", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("seq", "text"))
+    return lines.select("doc_id", F.col("seq").cast("long").alias("seq"), F.lit("paragraph").alias("kind"), "text", F.lit(None).cast("int").alias("heading_level"),
+                        F.lit(None).cast("int").alias("page_number"), F.substring_index("text", " ", 1).alias("section_title"))
+
+
+@query("""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id AS id, doc_id % 8 AS k, lang, source FROM documents)
+SELECT doc_id, 'paragraph' AS kind, 'about ' || lang AS text, NULL AS section_title, NULL AS reason FROM d WHERE k = 0
+UNION ALL SELECT doc_id, 'paragraph', 'from ' || source, NULL, NULL FROM d WHERE k = 0
+UNION ALL SELECT doc_id, 'heading', lang, lang, NULL FROM d WHERE k = 1
+UNION ALL SELECT doc_id, 'list_item', source, lang, NULL FROM d WHERE k = 1
+UNION ALL SELECT doc_id, 'table', 'id: ' || doc_id || chr(10) || 'at.lang: ' || lang || chr(10) || 'at.tags[0]: a' || chr(10) || 'at.tags[1]: b', NULL, NULL FROM d WHERE k = 2 AND id % 3 > 0
+UNION ALL SELECT doc_id, NULL, NULL, NULL, 'Extraction failed: Could not parse JSON' FROM d WHERE k = 2 AND id % 3 = 0
+UNION ALL SELECT doc_id, 'table', 'id | lang' || chr(10) || doc_id || ' | ' || lang || ', ' || source, NULL, NULL FROM d WHERE k = 3
+UNION ALL SELECT doc_id, 'paragraph', 'lang: ' || lang || chr(10) || 'n: ' || doc_id, NULL, NULL FROM d WHERE k = 4 AND id % 3 > 0
+UNION ALL SELECT doc_id, NULL, NULL, NULL, 'Extraction failed: Could not parse XML: tags do not balance' FROM d WHERE k = 4 AND id % 3 = 0
+UNION ALL SELECT doc_id, 'paragraph', 'get ' || doc_id, 'get', NULL FROM d WHERE k = 5
+UNION ALL SELECT doc_id, 'paragraph', 'put ' || lang, 'put', NULL FROM d WHERE k = 5
+UNION ALL SELECT doc_id, NULL, NULL, NULL, CASE k WHEN 6 THEN 'archives are not unpacked' ELSE 'unknown file type' END FROM d WHERE k > 5""")
+def routed_blocks(spark, sf_dir):
+    """Files of mixed types, stored by type, each read and decoded once by its reader (one of them registered here): blocks and reasons."""
+    root = shared_folder(spark, "files")
+    ident, bad = F.col("doc_id").cast("string"), F.col("doc_id") % 3 == 0
+    lang, source = F.col("lang"), F.col("source")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    made = [
+        ("txt", text("about ", lang, "\n \nfrom ", source)), ("markdown", text("# ", lang, "\n\n- ", source)),
+        ("json", F.when(bad, text('{"id": ')).otherwise(text('{"id": ', ident, ', "at": {"lang": "', lang, '", "tags": ["a", "b"]}}'))),
+        ("csv", text("id\tlang\n", ident, '\t"', lang, ", ", source, '"\n')),
+        ("xml", F.when(bad, text("<r><lang>", lang, "</r></lang>")).otherwise(text("<r><lang>", lang, "</lang><n>", ident, "</n></r>"))),
+        ("log", text("get ", ident, "\nput ", lang)), ("zip", text("PK")), (None, text("?")),
+    ]
+    kind, content = (F.element_at(F.array(*[F.lit(v) if i == 0 else v for v in column]), F.col("doc_id").cast("int") % 8 + 1) for i, column in enumerate(zip(*made)))
+    files = table(spark, sf_dir, "documents").select(ident.alias("doc_id"), kind.alias("file_type"), content.cast("binary").alias("content"))
+    files.write.partitionBy("file_type").parquet(f"{root}/in")
+    registry.register_reader("log", _log_lines)
+    try:
+        stored = spark.read.schema("doc_id string, content binary, file_type string").parquet(f"{root}/in")
+        blocks, failed = registry.read_once(stored, f"{root}/out")
+    finally:
+        registry.unregister_reader("log")
+    reason = F.regexp_replace("reason", "(JSON): .*", "$1")
+    nothing = F.lit(None).cast("string")
+    return blocks.select("doc_id", "kind", "text", "section_title", nothing.alias("reason")).unionByName(
+        failed.select("doc_id", nothing.alias("kind"), nothing.alias("text"), nothing.alias("section_title"), reason.alias("reason")))

@@ -40,9 +40,14 @@ READERS: dict[str, Reader] = {
 
 
 def register_reader(file_type: str, reader: Reader) -> None:
+    """Read files of a type by ``reader`` from now on: ``(doc_id, content)`` to block columns, and ``error`` if it can fail."""
     READERS[file_type] = reader
 
 
+def unregister_reader(file_type: str) -> None:
+    READERS.pop(file_type, None)
+
+
 def outcomes(files: DataFrame) -> DataFrame:
     """Blocks of every readable file of ``(doc_id, file_type, content)``; of any other one row with ``error``, ``fatal`` if no retry can help.
 
@@ -63,6 +68,14 @@ def route(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.filter(F.col("error").isNull()).select(*_COLUMNS), both.filter(F.col("error").isNotNull()).select("doc_id", F.col("error").alias("reason"))
 
 
+def read_once(files: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """As ``route``, from outcomes stored under ``path`` by whether reading failed, so that no file is decoded for both."""
+    outcomes(files).withColumn("failed", F.col("error").isNotNull()).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("failed").parquet(path)
+    schema = outcomes(files).withColumn("failed", F.lit(True)).schema
+    both = files.sparkSession.read.schema(schema).parquet(path)
+    return both.filter(~F.col("failed")).select(*_COLUMNS), both.filter("failed").select("doc_id", F.col("error").alias("reason"), "fatal")
+
+
 def unroutable(files: DataFrame) -> DataFrame:
     why = F.lit(NEEDS_DECODED_ROWS)
     for kind, text in UNSUPPORTED.items():

@@ -105,6 +105,19 @@ def test_csv_rows_as_the_csv_module_reads_them(spark):
         assert solid(got[str(i)]) == solid(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""))), text
 
 
+def test_files_stored_by_type_are_read_once(spark, tmp_path):
+    rows = [(f"{kind}{i}", bytearray(b"{" if i % 2 else b"[1]"), kind) for kind in ("json", "txt", "csv") for i in range(4)]
+    spark.createDataFrame(rows, "doc_id string, content binary, file_type string").write.partitionBy("file_type").parquet(str(tmp_path / "in"))
+    files = spark.read.schema("doc_id string, content binary, file_type string").parquet(str(tmp_path / "in"))
+    plan = registry.outcomes(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == plan.count("PartitionFilters: [isnotnull(file_type") + plan.count("PartitionFilters: [NOT coalesce(file_type")  # each scan has a type of its own
+    blocks, failed = registry.read_once(files, str(tmp_path / "out"))
+    assert {r.doc_id for r in failed.collect()} == {"json1", "json3"} and blocks.count() == 10
+    for frame in (blocks, failed):  # what was stored is read, nothing is decoded again
+        again = frame._jdf.queryExecution().executedPlan().toString()
+        assert again.count("FileScan") == 1 and "MapInArrow" not in again
+
+
 def test_routed_csv_of_mixed_dialects(spark):
     texts = ['a;b\n1,5;"x;y"\n2,5;z', "1,5;2,5\n3,1;4,2", "a\tb\n1\t2", "a|b|c\n1|2|3", "a,b\n1;2,3", "1,2\n3,4", "one, two\nthree", '"p;q",r\n"s",t\n']
     files = spark.createDataFrame([(str(i), "csv", bytearray(t, "utf-8")) for i, t in enumerate(texts)], "doc_id string, file_type string, content binary")

@@ -55,6 +55,22 @@ def test_usage_append_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_dashboard_readers_see_whole_versions(spark, tmp_path):
+    path = str(tmp_path / "dash")
+    assert usage.read_dashboard(spark, path) is None
+    _, stream = _event_stream(spark, tmp_path, parts=5)
+    counts = stream.groupBy("event_type").agg(F.count("*").alias("n"))
+    usage.start_versioned_dashboard(counts, path, str(tmp_path / "cp"), refresh=None, keep=2).awaitTermination(180)
+    versions = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "dash").glob("version=*"))
+    assert versions == [3, 4]
+    total = usage.read_dashboard(spark, path).agg(F.sum("n")).first()[0]
+    opened = usage.read_dashboard(spark, path)
+    # a version that is still being written has no marker and is not read
+    spark.range(3).select(F.lit("half").alias("event_type"), F.col("id").alias("n")).write.parquet(f"{path}/version=5")
+    (tmp_path / "dash" / "version=5" / "_SUCCESS").unlink()
+    assert usage.read_dashboard(spark, path).agg(F.sum("n")).first()[0] == total == opened.agg(F.sum("n")).first()[0] == table(spark, SF_SMALL, "events").count()
+
+
 def test_status_machine_equals_batch(spark, tmp_path):
     states = {"signup": "pending", "view": "virus_scanning", "click": "extracting", "purchase": "chunking", "error": "failed"}
     shape = lambda df: df.select(
