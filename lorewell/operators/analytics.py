@@ -164,6 +164,29 @@ def usage_rollup(usage: DataFrame, ts: str = "created_at") -> DataFrame:
     ).withColumn("level", F.element_at(F.array(*map(F.lit, ["day", "endpoint", "?", "user", "?", "?", "?", "total"])), F.col("_g").cast("int") + 1)).drop("_g")
 
 
+SKETCH_K = 1000  # the rank of a percentile is off by about 0.3 % at most
+
+
+def usage_hours(usage: DataFrame, ts: str = "created_at", keys: tuple[str, ...] = ("user_id", "endpoint", "model"), k: int = SKETCH_K) -> DataFrame:
+    """One row per hour and ``keys``: calls, errors, summed latency, and a quantile sketch of the latencies.
+
+    Hours only ever grow by new rows, so a stored hour is never read again for its requests: any
+    coarser report merges the rows of this table.
+    """
+    return usage.groupBy(*keys, F.date_trunc("hour", ts).alias("hour")).agg(
+        F.count("*").alias("calls"), F.count_if(F.col("status_code") >= ERROR_STATUS).alias("errors"), F.sum("latency_ms").alias("latency_ms"),
+        F.count("latency_ms").alias("measured"), F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), k).alias("latencies"))
+
+
+def usage_percentiles(hours: DataFrame, keys: list[str], quantile: float = 0.95) -> DataFrame:
+    """Calls, errors, mean and a high percentile of the latency per ``keys``, from merged hours; no measured request, no percentile."""
+    merged = hours.groupBy(*keys).agg(
+        F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.sum("latency_ms").alias("_sum"), F.sum("measured").alias("measured"),
+        F.kll_merge_agg_double(F.when(F.col("measured") > 0, F.col("latencies"))).alias("_all"))
+    high = F.when(F.col("measured") > 0, F.kll_sketch_get_quantile_double("_all", F.lit(quantile)))
+    return merged.select(*keys, "calls", "errors", (F.col("_sum") / F.col("measured")).alias("latency_mean"), high.alias("latency_high"))
+
+
 def rate_limit_aligned(requests: DataFrame, keys: list[str], limit: int, window_seconds: int = 60, ts: str = "ts") -> DataFrame:
     """Clock-aligned windows with more than ``limit`` requests."""
     return (

@@ -61,6 +61,20 @@ def usage_rollup(spark, sf_dir):
         "input_tokens", F.round("estimated_cost_usd", 6).alias("estimated_cost_usd"))
 
 
+@query(f"""WITH {SQL_USAGE}, m AS (SELECT *, 'model-' || CAST(id % 3 AS VARCHAR) AS model FROM logs)
+SELECT endpoint, model, count(*) AS calls, count(*) FILTER (WHERE status_code >= 400) AS errors, round(avg(latency_ms), 3) AS latency_mean, TRUE AS percentile_holds
+FROM m GROUP BY endpoint, model""")
+def usage_percentiles(spark, sf_dir):
+    """Latency of each endpoint and model from merged hourly sketches; the 95th percentile is held against the log: its exact rank is within half a per cent."""
+    log = views.usage(spark, sf_dir).withColumn("model", F.concat(F.lit("model-"), (F.col("id") % 3).cast("string")))
+    rolled = analytics.usage_percentiles(analytics.usage_hours(log), ["endpoint", "model"])
+    below = log.join(F.broadcast(rolled.select("endpoint", "model", "latency_high")), ["endpoint", "model"]).groupBy("endpoint", "model").agg(
+        F.count_if(F.col("latency_ms") < F.col("latency_high")).alias("below"), F.count_if(F.col("latency_ms") <= F.col("latency_high")).alias("upto"), F.count("latency_ms").alias("n"))
+    slack = 0.005 * F.col("n") + 1
+    holds = (F.col("below") - slack <= 0.95 * F.col("n")) & (0.95 * F.col("n") <= F.col("upto") + slack)
+    return rolled.join(below, ["endpoint", "model"]).select("endpoint", "model", "calls", "errors", F.round("latency_mean", 3).alias("latency_mean"), holds.alias("percentile_holds"))
+
+
 def alarm_sql(period: int, threshold: int) -> str:
     return f"""WITH c AS (SELECT (epoch_us(ts) // {period}000000) AS p, count(*) AS n_errors FROM events WHERE event_type = 'error' GROUP BY 1),
 b AS (SELECT * FROM c WHERE n_errors > {threshold})

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lorewell.operators import maintenance
+from lorewell.operators import analytics, maintenance
 from lorewell.operators.analytics import error_alarm
 from lorewell.operators.ordered import carry_forward
 from lorewell.operators.ratelimit import anchored_windows
@@ -159,3 +159,25 @@ def test_parquet_table_round_trip(spark, tmp_path):
     write_table(rows, str(tmp_path), "users")
     back = read_table(spark, str(tmp_path), "users")
     assert back.schema == TABLES["users"] and back.select("id", "role").collect() == rows.collect()
+
+
+def test_merged_hours_give_the_percentile_of_the_log(spark):
+    rows = [(i % 3, "/a" if i % 5 else "/b", "m", dt.datetime(2024, 1, 1, i % 24), float((i * 7919) % 5000) if i % 50 else None, 500 if i % 10 == 0 else 200) for i in range(5000)]
+    rows.append((9, "/none", "m", dt.datetime(2024, 1, 1), None, 200))
+    log = _frame(spark, "user_id int, endpoint string, model string, created_at timestamp, latency_ms double, status_code int", *rows)
+    hours = analytics.usage_hours(log)
+    assert hours.count() == len({(r[0], r[1], r[3]) for r in rows})
+    for keys in (["endpoint"], ["user_id", "endpoint"]):
+        for got in analytics.usage_percentiles(hours, keys).collect():
+            own = [r for r in rows if all(r[{"user_id": 0, "endpoint": 1}[k]] == got[k] for k in keys)]
+            known = sorted(r[4] for r in own if r[4] is not None)
+            assert got.calls == len(own) and got.errors == sum(r[5] == 500 for r in own)
+            if not known:
+                assert got.latency_high is None and got.latency_mean is None
+            else:
+                assert abs(sum(v <= got.latency_high for v in known) / len(known) - 0.95) < 0.005 + 1 / len(known)
+                assert abs(got.latency_mean - sum(known) / len(known)) < 1e-6
+    # merging halves of the hours in two steps is merging them at once
+    early, late = (analytics.usage_hours(log.where(c)) for c in ("hour(created_at) < 12", "hour(created_at) >= 12"))
+    both = {r.endpoint: r.calls for r in analytics.usage_percentiles(early.unionByName(late), ["endpoint"]).collect()}
+    assert both == {r.endpoint: r.calls for r in analytics.usage_percentiles(hours, ["endpoint"]).collect()}
