@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,33 @@ def test_anchored_windows_equal_walk(spark, seed):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_anchored_windows_of_a_hot_key_come_down_a_tree(spark, fan):
+    """Any height of the tree gives the windows of a walk, over gaps, negative times and requests without a time."""
+    rng = random.Random(fan)
+    rows, t = [("a", None), ("c", None)], {"a": -90_000, "b": 400}
+    for _ in range(3000):
+        k = "a" if rng.random() < 0.95 else "b"
+        t[k] += rng.choice([0, 1, 40, 333, 999, 1000, 1001, 25_000 if rng.random() < 0.02 else 7])
+        rows.append((k, t[k]))
+    df = _frame(spark, "k string, ms long", *rows)
+    out = anchored_windows(df, "k", F.timestamp_millis("ms"), 3, 1000, 1000, fan=fan)
+    want = []
+    for k in "ab":
+        start, n = None, 0
+        for ms in sorted(m for kk, m in rows if kk == k and m is not None):
+            if start is None or ms >= start + 1000:
+                if start is not None:
+                    want.append((k, start, n, n > 3))
+                start, n = ms, 0
+            n += 1
+        want.append((k, start, n, n > 3))
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key" in plan and not re.search(r"hashpartitioning\(key#\d+, \d+\)", plan)
+    assert anchored_windows(df.limit(0), "k", F.timestamp_millis("ms"), 3, 1000, 1000, fan=fan).count() == 0
+
+
 def test_alarm_needs_consecutive_periods(spark):
     at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
     rows = [(at(m), True) for m in (0, 1, 6, 7, 15, 16, 25, 26, 31, 32, 36, 37)] + [(at(11), True), (at(12), False)]
