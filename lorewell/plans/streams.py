@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from lorewell.operators.encoding import FeatureHashEncoder
 from lorewell.plans import query, views
-from lorewell.plans.logs import alarm_sql
+from lorewell.plans.logs import _SQL_STATUS, _status_log, alarm_sql
 from lorewell.plans.views import SQL_USAGE
 from lorewell.session import shared_folder, table
 from lorewell.sources import registry
-from lorewell.streaming import ingest, usage
+from lorewell.streaming import ingest, stateful, usage
 
 # What the documents of each last digit deliver: in which batch, as which version, under which ending and content.
 _TEXT, _BROKEN, _GOOD, _BLANK = "text", '{"broken": ', '{"fine": true}', " \n "
@@ -112,6 +112,27 @@ def alarm_replay(spark, sf_dir):
     return found.select(F.to_timestamp_ntz(F.date_format("alarm_at", "yyyy-MM-dd HH:mm:ss")).alias("alarm_at"))
 
 
+@query(f"""WITH {_SQL_STATUS}, p AS (
+  SELECT *, lag(status) OVER w AS last, lag(ts) OVER w AS last_ts FROM changes WINDOW w AS (PARTITION BY doc_id ORDER BY ts, seq)),
+r AS (SELECT *, CASE WHEN last IN ('completed', 'failed') AND ts - last_ts >= INTERVAL 12 HOUR THEN NULL ELSE last END AS previous FROM p)
+SELECT doc_id, seq, coalesce(previous, '') AS previous, status, coalesce(previous, '') || '>' || status IN (
+  '>pending', 'pending>virus_scanning', 'virus_scanning>extracting', 'extracting>chunking', 'pending>failed', 'virus_scanning>failed', 'extracting>failed', 'chunking>failed') AS allowed
+FROM r""")
+def status_machine_replay(spark, sf_dir):
+    """The status log in four deliveries, each read by a restarted stream; failed documents are forgotten after twelve hours."""
+    root = shared_folder(spark, "status")
+    log = _status_log(spark, sf_dir).select("doc_id", F.col("ts").cast("timestamp").alias("ts"), "seq", "status")
+    second = F.unix_seconds("ts")
+    first, last = log.agg(F.min(second), F.max(second)).first()
+    part = F.floor((second - F.lit(first)) * 4 / (F.lit(last) - F.lit(first) + 1))
+    for batch in range(4):
+        log.where(part == batch).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(log.schema).parquet(f"{root}/in")
+        stateful.start_status_machine(stream, f"{root}/out", f"{root}/progress", keep_hours=12).awaitTermination()
+    found = spark.read.schema("doc_id long, seq long, previous string, status string, allowed boolean").parquet(f"{root}/out")
+    return found.withColumn("previous", F.coalesce("previous", F.lit("")))
+
+
 def _log_lines(files):
     """A reader of our own: every line of a log is a paragraph of the section its first word names."""
     lines = files.select("doc_id", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("seq", "text"))

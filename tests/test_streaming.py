@@ -1,5 +1,6 @@
 """Replayed streams must give the batch answers."""
 
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
@@ -83,6 +84,31 @@ def test_status_machine_equals_batch(spark, tmp_path):
     assert got.count() == events.count() and bad == want
 
 
+def test_status_machine_forgets_settled_documents(spark, tmp_path):
+    """Settled documents leave the state, whatever the batches; later changes start anew, earlier ones meet the end."""
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    whole = ["pending", "virus_scanning", "extracting", "chunking", "embedding", "completed"]
+    rows = [(f"d{i}", at(i + 0.1 * j), j, s) for i in range(8) for j, s in enumerate(whole)]
+    rows += [("open", at(0), 0, "pending"), ("open", at(60), 1, "virus_scanning"), ("late", at(0), 0, "pending"), ("late", at(1), 1, "failed")]
+    rows += [("late", at(2), 2, "pending"), ("late", at(2.5), 3, "failed"), ("late", at(20), 4, "pending"), ("late", at(21), 5, "failed"), ("nothing", None, 0, "pending"), ("nothing", at(1), 1, None)]
+    rows += [("clock", at(70), 0, "pending")]
+    log = spark.createDataFrame(rows, "doc_id string, ts timestamp, seq int, status string")
+    found = []
+    for n, bounds in enumerate([(0, 100), (0, 3, 9, 100), (0, 2.2, 2.6, 21, 65, 100)]):
+        place = str(tmp_path / str(n))
+        for lo, hi in zip(bounds, bounds[1:]):
+            when = F.coalesce("ts", F.lit(at(lo)))
+            log.where((when >= F.lit(at(lo))) & (when < F.lit(at(hi)))).write.mode("append").parquet(f"{place}/in")
+            run = stateful.start_status_machine(spark.readStream.schema(log.schema).parquet(f"{place}/in"), f"{place}/out", f"{place}/cp", keep_hours=12)
+            run.awaitTermination(180)
+            assert run.exception() is None
+        found.append(sorted(tuple(r) for r in spark.read.parquet(f"{place}/out").select("doc_id", "seq", "previous", "status", "allowed").collect()))
+        state = spark.read.format("statestore").option("path", f"{place}/cp").option("stateVarName", "last").load()
+        assert {r[0] for r in state.select("key.key").collect()} == {"open", "clock"}
+    assert found[0] == found[1] == found[2] and len(found[0]) == 8 * 6 + 2 + 6 + 1
+    assert [(d, s) for d, s, _, _, ok in found[0] if not ok] == [("late", 2)] and ("late", 4, None, "pending", True) in found[0]
+
+
 def test_anchored_limits_equal_batch(spark, tmp_path):
     events, stream = _event_stream(spark, tmp_path)
     window, limit = 6 * 3600 * 1000, 2
