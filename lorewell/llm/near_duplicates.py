@@ -7,9 +7,10 @@ with probability 7e-9 (3e-6).
 
 Documents with equal sets are one class. Pairs of classes are formed without listing all
 pairs of a bucket: first every class meets one leader, the smallest class of the bucket it
-shares most often; then, in buckets that still hold several components, the members outside
-the largest component meet the rest. Crowded buckets of that kind are split by a second
-shared band, which a similar pair lacks with probability 1e-8. A pair goes to the exact test
+shares most often. Crowded buckets that still hold several components choose a new leader, whom
+all members of other components meet, as long as that leaves a tenth fewer members outside. Then,
+in buckets that still hold several components, the members outside the largest component meet the
+rest, in crowded ones by the rarest shingles that set them apart. A pair goes to the exact test
 unless the joint likelihood of both sketches speaks against the limit by e^18; links are
 confirmed on full sets, and components follow by contraction. Nothing is collected.
 """
@@ -183,6 +184,10 @@ def _rare_meet(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     o = (d_x + d_y - T) / 2; in rare-first order the first shared one then stands at
     place d - o + 1 or before on both sides. If o <= 0 one class is within T / 2 of the reference
     and the other within T, so both are linked to it already.
+
+    T is at most M = n (100 - percent) / percent of either class, and d_x <= d_y + T. So places are cut before
+    classes meet: the class with the smaller difference brings its first M / 2 + 1 places, the other one its first
+    (M + min(M, d - least d of the group)) / 2 + 1, which leaves out the shingles that many classes share.
     """
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,20 +205,50 @@ def _rare_meet(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     apart = stored(both.mapInArrow(differ, "class_id long, root long, large long, item long, n int, d int"), "differences")
     held = apart.groupBy("large", "item").agg(F.count("*").alias("held"))
     place = F.row_number().over(Window.partitionBy("class_id", "large").orderBy("held", "item"))
-    ranked = apart.join(held, ["large", "item"]).withColumn("place", place).where("held > 1").drop("held")
-    side = lambda end: ranked.select("large", "item", F.col("root").alias(f"root_{end}"), F.col("class_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}"), F.col("place").alias(f"place_{end}"))
+    least = apart.groupBy("large").agg(F.min("d").alias("least"))
+    most = F.floor(F.col("n") * (100 - percent) / percent)
+    bound = F.floor((most + F.least(most, F.col("d") - F.col("least"))) / 2) + 1
+    ranked = apart.join(held, ["large", "item"]).withColumn("place", place).where("held > 1").join(least, "large").where(F.col("place") <= bound).withColumn("first", F.col("place") <= F.floor(most / 2) + 1)
+    side = lambda end: ranked.select("large", "item", "first", F.col("root").alias(f"root_{end}"), F.col("class_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}"), F.col("place").alias(f"place_{end}"))
     apart_most = F.floor((F.col("n_x") + F.col("n_y")) * (100 - percent) / (100 + percent))
     shared = F.ceil((F.col("d_x") + F.col("d_y") - apart_most) / 2)
     possible = (shared > 0) & (F.col("place_x") <= F.col("d_x") - shared + 1) & (F.col("place_y") <= F.col("d_y") - shared + 1) & (F.col("root_x") != F.col("root_y"))
-    met = side("x").where("root_x <> large").join(side("y"), ["large", "item"]).where(possible)
+    # x is the class with the smaller difference; of two components one is not the largest
+    met = side("x").where("first").drop("first").join(side("y").drop("first"), ["large", "item"]).where(F.struct("d_x", "x") < F.struct("d_y", "y")).where(possible)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(
         crowded.where("root <> large").select(F.least("class_id", "large").alias("a"), F.greatest("class_id", "large").alias("b"))).distinct()
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rooted(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select("bucket", "class_id", F.coalesce("root", "class_id").alias("root"))
+
+
+def _new_leaders(rows: DataFrame, turn: int) -> DataFrame:
+    """Every crowded bucket's leader of this turn with the members of other components: at most one pair per row."""
+    crowded = rows.where("crowded")
+    leaders = crowded.groupBy("bucket").agg(F.max(F.struct(F.xxhash64(F.lit(turn), "class_id").alias("draw"), F.col("class_id").alias("leader"), F.col("root").alias("leads"))).alias("l"))
+    met = crowded.join(leaders, "bucket").where(F.col("root") != F.col("l.leads"))
+    return met.select(F.least("class_id", "l.leader").alias("a"), F.greatest("class_id", "l.leader").alias("b")).distinct()
+
+
+def _contracted(members: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``links`` with those to further leaders, and the members of buckets that still hold several components.
+
+    Every turn costs one pair per row. Turns end when less than a tenth of the outsiders of
+    crowded buckets has been linked; whoever is left is for ``_open_pairs``.
+    """
+    turn, outside = 0, None
+    while True:
+        rows = stored(_mixed(_rooted(members, components(links))), "mixed")
+        left = rows.where("crowded and root <> large").select("class_id").distinct().count()
+        if not left or (outside is not None and 10 * left > 9 * outside):
+            return links, rows
+        turn, outside = turn + 1, left
+        links = stored(links.unionByName(_links(_new_leaders(rows, turn), classes, sets, percent)), "links")
+
+
+def _open_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a bucket and may still be similar."""
-    own = members.join(labels.select(F.col("node").alias("class_id"), "root"), "class_id", "left").select("bucket", "class_id", F.coalesce("root", "class_id").alias("root"))
-    rows = stored(_mixed(own), "mixed")
     crowded = rows.where("crowded").select("class_id", "root", "large").distinct()
     return _meet(rows.where("not crowded")).unionByName(_rare_meet(crowded, sets, percent)).distinct()
 
@@ -240,8 +275,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     leaders = members.where("class_id <> leader").groupBy("class_id", "leader").agg(F.count("*").alias("bands"))
     first = leaders.groupBy("class_id").agg(F.max(F.struct("bands", (-F.col("leader")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), F.col("class_id").alias("b"))
     links = stored(_links(first, classes, sets, percent), "links")
-    labels = components(links)
-    more = stored(_links(_open_pairs(members, labels, sets, percent), classes, sets, percent), "links")
+    links, rest = _contracted(members, links, classes, sets, percent)
+    more = stored(_links(_open_pairs(rest, sets, percent), classes, sets, percent), "links")
     labels = components(links.unionByName(more))
     by_key = keyed.select("set_key", "class_id").join(labels, F.col("class_id") == F.col("node"), "left").select("set_key", F.coalesce("root", "class_id").alias("root"))
     out = rows.join(by_key, "set_key", "left")

@@ -83,3 +83,19 @@ def test_components(spark):
         root[y] = x
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in got} and len(got) >= 60
+
+
+def test_pairs_of_a_loose_group_do_not_grow_with_its_square(spark, monkeypatch):
+    counts = []
+    links = near_duplicates._links
+
+    def counted(pairs, *args):
+        counts[-1] += pairs.count()
+        return links(pairs, *args)
+
+    monkeypatch.setattr(near_duplicates, "_links", counted)
+    for n in (200, 400, 800):
+        counts.append(0)
+        near_duplicates.near_duplicates(spark.createDataFrame(loose_copies(n), "doc_id long, text string"), 85).count()
+    # fourfold classes: the square would give sixteenfold pairs
+    assert counts[2] < 6 * counts[0], counts
