@@ -1,17 +1,16 @@
 """Removal of boilerplate lines by the number of distinct sites they are spread over.
 
-Only DataFrame functions. Every non-blank line is keyed by its digest. Per digest
-three HyperLogLog sketches, merged map-side by aggregation, estimate how many
-sites, how many documents and how many different *contexts* hold the line. A
-line's context in a document is the smallest digest among the document's other
-lines: copies of one document share it, so a line that is widespread only because
-its document was copied has few contexts and stays for the near-duplicate stage.
-
-A line is boilerplate if it is on at least ``min_sites`` sites and its documents
-have at least half as many contexts as they are many. Lines whose estimates lie
-near either limit are counted exactly. The margins are 15 and 9 standard errors
-of the sketches. Boilerplate stays in the document with the smallest ``doc_id``
-that has it and goes everywhere else.
+Only DataFrame functions. Every non-blank line is keyed by its digest. HyperLogLog sketches
+of the sites, merged map-side by aggregation, tell which lines are on at least ``min_sites``
+distinct sites; lines whose estimates lie near that limit are counted exactly.
+
+Copies of one document on many sites would lose all their lines that way, though they are work
+for the near-duplicate stage. So every document with such *widespread* lines has a context: the
+smallest digest among its other lines, none if all its lines are widespread. A widespread line
+is boilerplate if it stands in at least ``min_sites`` different contexts, counted in the same way.
+Boilerplate never makes a context, so lines that come together do not vouch for each other, and a
+group of copies, however large, is one context and outvotes nothing. Boilerplate stays in the
+document with the smallest ``doc_id`` that has it and goes everywhere else.
 """
 
 from __future__ import annotations
@@ -19,56 +18,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import clean_text
+from lorewell.llm.common import clean_text, stored
 
-LG_K = 10  # 1024 registers: a standard error of about 3.3 %
+LG_K = 10  # 1024 registers: a standard error of about 3.3 %, the margins below are 15 of them
 MIN_SITES = 10
 SALTS = 32
+CONTEXT_DIGITS = 16  # a context is told by the first 64 bits of its digest
 
 
 def _lines(text: str) -> Column:
     return F.split(clean_text(text), "\n", -1)
 
 
-def _occurrences(docs: DataFrame, text: str, site: str) -> DataFrame:
-    """One row per non-blank line of a document with an id: doc_id, site, pos, line (digest), context."""
-    digests = (
-        docs.where(F.col("doc_id").isNotNull())
-        .select("doc_id", F.col(site).alias("site"), F.transform(_lines(text), lambda s: F.when(F.trim(s) != "", F.md5(s))).alias("digests"))
-        .select("doc_id", "site", "digests", F.array_min("digests").alias("least"))
-        .select("doc_id", "site", "digests", "least", F.array_min(F.filter("digests", lambda d: d != F.col("least"))).alias("second"))
-    )
-    return (
-        digests.select("doc_id", "site", "least", "second", F.posexplode("digests").alias("pos", "line"))
-        .where(F.col("line").isNotNull())
-        .select("doc_id", "site", "pos", "line", F.coalesce(F.when(F.col("line") == F.col("least"), F.col("second")).otherwise(F.col("least")), F.lit("")).alias("context"))
-    )
+def _digests(docs: DataFrame, text: str, site: str) -> DataFrame:
+    """The digests of the lines of every document with an id, null for a blank line: doc_id, site, digests."""
+    digests = F.transform(_lines(text), lambda s: F.when(F.trim(s) != "", F.md5(s)))
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(site).alias("site"), digests.alias("digests"))
 
 
-def boilerplate_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """Digests of boilerplate lines with the first document of each: ``line, first_doc``."""
-    rows = _occurrences(docs, text, site)
+def _occurrences(docs: DataFrame, text: str, site: str) -> DataFrame:
+    """One row per non-blank line: doc_id, site, pos, line (digest)."""
+    return _digests(docs, text, site).select("doc_id", "site", F.posexplode("digests").alias("pos", "line")).where(F.col("line").isNotNull())
 
-    def estimate(name: str) -> Column:
-        return F.hll_sketch_estimate(F.hll_sketch_agg(name, LG_K))
 
-    spread = rows.groupBy("line").agg(
-        estimate("site").alias("sites"), estimate("context").alias("contexts"), estimate("doc_id").alias("docs"), F.min("doc_id").alias("first_doc")
-    )
-    # no line below half of the site limit, or far below the context limit, can pass the exact test
-    possible = spread.where((2 * F.col("sites") >= min_sites) & (F.col("contexts") >= 0.35 * F.col("docs")))
-    sure = (F.col("sites") >= 2 * min_sites) & (F.col("contexts") >= 0.7 * F.col("docs"))
-    near = possible.where(~sure).select("line")
+def _reaching(rows: DataFrame, counted: str, least: int) -> DataFrame:
+    """Lines of ``rows(doc_id, line, ...)`` with at least ``least`` distinct values of ``counted``, and their first document."""
+    spread = rows.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg(counted, LG_K)).alias("n"), F.min("doc_id").alias("first_doc"))
+    # no line below half of the limit can pass the exact test, none above twice the limit can fail it
+    possible, sure = spread.where(2 * F.col("n") >= least), F.col("n") >= 2 * least
     # dealt by line and salt, so that a line of a third of all documents is counted by many tasks
-    salted = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = possible.where(~sure).select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     exact = (
-        rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"], "left_semi").groupBy("line")
-        .agg(F.countDistinct("site").alias("sites"), F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
-        .where((F.col("sites") >= min_sites) & (2 * F.col("contexts") >= F.col("docs")))
+        rows.select("doc_id", "line", counted, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+        .join(salted, ["line", "salt"], "left_semi").groupBy("line")
+        .agg(F.countDistinct(counted).alias("n"), F.min("doc_id").alias("first_doc"))
+        .where(F.col("n") >= least)
     )
     return possible.where(sure).select("line", "first_doc").unionByName(exact.select("line", "first_doc"))
 
 
+def widespread_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """Every occurrence of a line that is on ``min_sites`` distinct sites or more: ``doc_id, pos, line``."""
+    rows = _occurrences(docs, text, site)
+    return rows.select("doc_id", "pos", "line").join(_reaching(rows, "site", min_sites).select("line"), "line").select("doc_id", "pos", "line")
+
+
+def boilerplate_lines(docs: DataFrame, held: DataFrame, text: str = "text", site: str = "source", min_contexts: int = MIN_SITES) -> DataFrame:
+    """Of the lines of ``held``, as ``widespread_lines`` gives them, the boilerplate and the first document of each: ``line, first_doc``."""
+    short = lambda d: F.substring(d, 1, CONTEXT_DIGITS)
+    # what is gathered for a document is no longer than its own list of lines
+    wide = held.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    own = _digests(docs, text, site).select("doc_id", F.transform("digests", short).alias("digests"))
+    least = F.array_min(F.array_except("digests", F.transform("lines", short)))
+    contexts = own.join(wide, "doc_id").groupBy("doc_id").agg(F.coalesce(F.min(least), F.lit("")).alias("context"), F.first("lines").alias("lines"))
+    return _reaching(contexts.select("doc_id", "context", F.explode("lines").alias("line")), "context", min_contexts)
+
+
 def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, plus ``n_lines`` and ``n_removed``.
 
@@ -78,10 +83,9 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
     document and lose the same lines. Line breaks are ``\\n``; an empty text has one
     blank line. Empty tables give empty results. Work per document is linear in its lines.
     """
-    flagged = boilerplate_lines(docs, text, site, min_sites)
+    held = stored(widespread_lines(docs, text, site, min_sites), "widespread")
     gone = (
-        _occurrences(docs, text, site).select("doc_id", "line", "pos")
-        .join(flagged, "line").where(F.col("doc_id") != F.col("first_doc"))
+        held.join(boilerplate_lines(docs, held, text, site, min_sites), "line").where(F.col("doc_id") != F.col("first_doc"))
         .groupBy(F.col("doc_id").alias("_gone_doc")).agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
     )
     named = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

@@ -51,12 +51,11 @@ WITH l AS (
   SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents
 ), h AS (SELECT doc_id, source, pos, line, CASE WHEN trim(line) <> '' THEN md5(line) END AS d FROM l),
-m AS (SELECT doc_id, min(DISTINCT d) AS k1 FROM h WHERE doc_id IS NOT NULL GROUP BY doc_id),
-m2 AS (SELECT h.doc_id, k1, min(d) FILTER (d <> k1) AS k2 FROM h JOIN m ON h.doc_id = m.doc_id GROUP BY h.doc_id, k1),
-o AS (SELECT h.doc_id, source, pos, d, coalesce(CASE WHEN d = k1 THEN k2 ELSE k1 END, '') AS context FROM h JOIN m2 ON h.doc_id = m2.doc_id WHERE d IS NOT NULL),
+w AS (SELECT d FROM h WHERE d IS NOT NULL AND doc_id IS NOT NULL GROUP BY d HAVING count(DISTINCT source) >= 10),
+c AS (SELECT doc_id, coalesce(min(h.d) FILTER (w.d IS NULL), '') AS context FROM h LEFT JOIN w ON h.d = w.d WHERE doc_id IS NOT NULL GROUP BY doc_id),
 f AS (
-  SELECT d, min(doc_id) AS first_doc FROM o GROUP BY d
-  HAVING count(DISTINCT source) >= 10 AND 2 * count(DISTINCT context) >= count(DISTINCT doc_id)
+  SELECT h.d, min(h.doc_id) AS first_doc FROM h JOIN w ON h.d = w.d JOIN c ON h.doc_id = c.doc_id
+  GROUP BY h.d HAVING count(DISTINCT context) >= 10
 ), g AS (SELECT h.doc_id, h.pos, h.line, f.d IS NOT NULL AND h.doc_id <> f.first_doc AS gone FROM h LEFT JOIN f ON h.d = f.d)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256

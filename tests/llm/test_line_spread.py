@@ -38,6 +38,32 @@ def test_spread_and_copies(spark):
     assert by[200].n_removed == 2 and by[204].n_removed == 1 and by[201].n_lines == 1
 
 
+def pages(first, n, shared):
+    """``n`` pages on 40 sites, three lines of their own each and ``shared`` lines that all have."""
+    footer = [f"{odd.words(5000 + j, 6)} footer" for j in range(shared)]
+    return [(first + i, f"s{i % 40}", "\n".join([odd.words(10_000 + 3 * i + j, 9) for j in range(3)] + footer)) for i in range(n)]
+
+
+def test_footers_of_many_lines(spark):
+    out = compare(spark, pd.DataFrame(pages(0, 400, 10), columns=["doc_id", "source", "text"]))
+    assert sum(r.n_removed for r in out) == 3990 and max(r.n_removed for r in out) == 10
+
+
+def test_copies_do_not_outvote(spark):
+    rows = pages(0, 400, 1)
+    rows += [(1000 + i, f"s{i % 40}", rows[7][2]) for i in range(450)]
+    by = {r.doc_id: r.n_removed for r in compare(spark, pd.DataFrame(rows, columns=["doc_id", "source", "text"]))}
+    assert by[0] == 0 and all(by[i] == 1 for i in range(1, 400))
+    assert all(by[1000 + i] == 1 for i in range(450))  # the copies lose the footer, not the rest
+
+
+def test_contexts_at_the_limit(spark):
+    for contexts, gone in ((9, False), (10, True)):
+        rows = [(i, f"s{i % 20}", f"on all\n{odd.words(i % contexts, 9)} {i % contexts} of {contexts}") for i in range(60)]
+        by = {r.doc_id: r.n_removed for r in compare(spark, pd.DataFrame(rows, columns=["doc_id", "source", "text"]))}
+        assert (by[59] > 0) == gone
+
+
 def test_registered_query(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_SMALL}/documents.parquet'")
@@ -54,5 +80,7 @@ def test_odd_rows(spark):
 
 
 def test_no_python_on_the_main_path(spark):
-    plan = QUERIES["op4_line_site_spread"](spark, SF_SMALL)._jdf.queryExecution().toString()
-    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    for frame in (QUERIES["op4_line_site_spread"](spark, SF_SMALL), line_spread.widespread_lines(docs)):
+        plan = frame._jdf.queryExecution().toString()
+        assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
