@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorewell.functions import display, rules, text
-from lorewell.operators import analytics, listing, maintenance
+from lorewell.operators import analytics, counters, listing, maintenance
 from lorewell.plans import query, views
 from lorewell.plans.views import SQL_CHUNKS, SQL_DOCS, SQL_SESSIONS, SQL_USAGE
-from lorewell.session import table
+from lorewell.session import shared_folder, table
 from lorewell.sources.manifest import confirm_sizes, confirm_uploads, expired_uploads
+from lorewell.streaming import counters as stored
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -33,11 +34,12 @@ SELECT (SELECT count(*) FROM customer) AS total_users, (SELECT count(*) FROM kbs
   (SELECT count(*) FROM logs WHERE status_code >= 400 AND created_at >= (SELECT max(created_at) FROM logs) - INTERVAL 24 HOUR) AS api_errors_last_24h,
   (SELECT {_SQL_STATUS_TEXT} FROM s) AS documents_by_status""")
 def analytics_summary(spark, sf_dir):
-    counts = views.corpus_chunks(spark, sf_dir).groupBy("kb_id").agg(F.count("*").alias("total_chunk_count"))
-    kbs = views.knowledge_bases(spark, sf_dir).join(counts, "kb_id", "left")
-    out = analytics.analytics_summary(
-        table(spark, sf_dir, "customer"), kbs, views.documents(spark, sf_dir), views.sessions(spark, sf_dir),
-        views.usage(spark, sf_dir), views.last_event(spark, sf_dir))
+    """The dashboard over the stored counters, which the arrival of each document has raised."""
+    root = shared_folder(spark, "counters")
+    arrived = views.counted_documents(spark, sf_dir)
+    stored.write_delta(arrived.select(F.lit(None).cast(counters.IMAGE).alias("before"), F.struct(*arrived.columns[1:]).cast(counters.IMAGE).alias("after")), root, 0)
+    out = counters.dashboard(
+        stored.read_counters(spark, root), table(spark, sf_dir, "customer"), views.sessions(spark, sf_dir), views.usage(spark, sf_dir), views.last_event(spark, sf_dir))
     return out.withColumn("documents_by_status", _shown("documents_by_status"))
 
 
@@ -83,10 +85,10 @@ SELECT kb_id, n - d AS drift_document_count, -b AS drift_storage_bytes_used FROM
 def counter_drift(spark, sf_dir):
     """Counters kept as the service does (every upload counted, bytes never written) against the facts."""
     docs = views.documents(spark, sf_dir)
-    stored = docs.groupBy("kb_id").agg(F.count("*").alias("document_count"), F.lit(0).cast("long").alias("storage_bytes_used"))
+    kept = docs.groupBy("kb_id").agg(F.count("*").alias("document_count"), F.lit(0).cast("long").alias("storage_bytes_used"))
     actual = docs.groupBy("kb_id").agg(
         F.count_if(F.col("status") == "completed").alias("document_count"), F.sum("size_bytes").alias("storage_bytes_used"))
-    return analytics.counter_drift(stored, actual, ["document_count", "storage_bytes_used"])
+    return analytics.counter_drift(kept, actual, ["document_count", "storage_bytes_used"])
 
 
 @query(f"""WITH {SQL_DOCS} SELECT kb_id, bool_or(status NOT IN ('completed', 'failed')) AS still_processing,

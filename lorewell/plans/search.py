@@ -11,9 +11,7 @@ from lorewell.plans import query, views
 from lorewell.plans.views import (
     DIMENSION, SQL_CHAT_QUESTIONS, SQL_CHUNKS, SQL_COSINE, SQL_DOCS, SQL_TOPIC_QUESTIONS, sql_encode, sql_tokens, sql_trim,
 )
-from lorewell.schemas import CHUNKS
-from lorewell.session import shared_folder, table
-from lorewell.sources.tables import write_chunks
+from lorewell.session import table
 
 VECTOR_DIMENSION = 64
 TOPIC_FLOOR = 0.1
@@ -182,7 +180,7 @@ kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank)
 def chat_hits(spark, sf_dir):
     asked = views.chat_questions(spark, sf_dir)
     return asked, retrieval.retrieve(
-        asked, views.encoded_chunks(spark, sf_dir), views.documents(spark, sf_dir), min_similarity=CHAT_FLOOR,
+        asked, views.stored_chunks(spark, sf_dir), views.documents(spark, sf_dir), min_similarity=CHAT_FLOOR,
         dimension=DIMENSION)
 
 
@@ -196,11 +194,7 @@ def chat_retrieval(spark, sf_dir):
 @query(f"WITH {_SQL_CHAT} SELECT query_id, rank, chunk_id, document_name, content, round(similarity, 6) AS similarity FROM hits")
 def stored_chunk_search(spark, sf_dir):
     """The same over chunk rows written by the sink once and read back, as a service keeps them."""
-    path = shared_folder(spark, "chunks")
-    chunks = views.encoded_chunks(spark, sf_dir)
-    write_chunks(chunks.select(*[c for c in chunks.columns if c in CHUNKS.names]), path)
-    hits = retrieval.retrieve(
-        views.chat_questions(spark, sf_dir), spark.read.parquet(path), views.documents(spark, sf_dir), min_similarity=CHAT_FLOOR, dimension=DIMENSION)
+    _, hits = chat_hits(spark, sf_dir)
     return hits.select("query_id", "rank", "chunk_id", "document_name", "content", F.round("similarity", 6).alias("similarity"))
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorewell.operators import counters
 from lorewell.operators.encoding import FeatureHashEncoder
 from lorewell.plans import query, views
 from lorewell.plans.logs import _SQL_STATUS, _status_log, alarm_sql
-from lorewell.plans.views import SQL_USAGE
+from lorewell.plans.views import SQL_CHUNKS, SQL_DOCS, SQL_USAGE
 from lorewell.session import shared_folder, table
 from lorewell.sources import registry
+from lorewell.streaming import counters as stored
 from lorewell.streaming import ingest, stateful, usage
 
 # What the documents of each last digit deliver: in which batch, as which version, under which ending and content.
@@ -98,6 +100,34 @@ def dashboard_replay(spark, sf_dir):
     return usage.read_dashboard(spark, f"{root}/out")
 
 
+@query(f"""WITH {SQL_DOCS}, {SQL_CHUNKS}, n AS (SELECT doc_id, count(*) AS chunk_count FROM chunks GROUP BY doc_id),
+a AS (SELECT CASE doc_id % 10 WHEN 4 THEN 'moved' ELSE kb_id END AS kb_id, status, size_bytes, CASE WHEN status = 'completed' THEN coalesce(chunk_count, 0) ELSE 0 END AS chunk_count
+  FROM docs LEFT JOIN n USING (doc_id) WHERE doc_id % 10 <> 3),
+s AS (SELECT kb_id, status, count(*) AS n, sum(size_bytes) AS b, sum(chunk_count) AS c FROM a GROUP BY ALL)
+SELECT kb_id, CAST(coalesce(sum(n) FILTER (status = 'completed'), 0) AS BIGINT) AS document_count, CAST(sum(b) AS BIGINT) AS storage_bytes_used, CAST(sum(c) AS BIGINT) AS total_chunk_count,
+  string_agg(status || '=' || CAST(n AS VARCHAR), ',' ORDER BY status) AS documents_by_status FROM s GROUP BY kb_id""")
+def counters_replay(spark, sf_dir):
+    """Counters over the life of all documents, in five batches and two bases: uploads, results of processing, deletes of one in ten, moves of one in ten."""
+    root = shared_folder(spark, "counters")
+    docs = views.counted_documents(spark, sf_dir)
+    image = lambda **change: F.struct(*[change.get(c, F.col(c)).alias(c) for c in docs.columns[1:]]).cast(counters.IMAGE)
+    nothing = F.lit(None).cast(counters.IMAGE)
+    indexed = F.when(F.col("status") == "completed", F.col("chunk_count")).otherwise(F.lit(0).cast("long"))
+    sent, done, moved = image(status=F.lit("pending"), chunk_count=F.lit(0).cast("long")), image(chunk_count=indexed), image(chunk_count=indexed, kb_id=F.lit("moved"))
+    digit = F.col("doc_id") % 10
+    # when, which documents, before, after
+    life = [(F.lit(0) + F.col("doc_id") % 2, F.lit(True), nothing, sent), (F.lit(2), F.col("status") != "pending", sent, done), (F.lit(3), digit == 3, done, nothing), (F.lit(4), digit == 4, done, moved)]
+    steps = F.array_compact(F.array(*[F.when(which, F.struct(at.cast("int").alias("step"), before.alias("before"), after.alias("after"))) for at, which, before, after in life]))
+    docs.select(F.explode(steps).alias("c")).select("c.*").write.partitionBy("step").parquet(f"{root}/feed")
+    for step in range(5):
+        spark.read.parquet(f"{root}/feed/step={step}").write.mode("append").parquet(f"{root}/in")
+        changes = spark.readStream.schema(f"before {counters.IMAGE}, after {counters.IMAGE}").parquet(f"{root}/in")
+        stored.start_counters(changes, f"{root}/out", f"{root}/progress", compact_every=2).awaitTermination()
+    out = counters.knowledge_base_counters(stored.read_counters(spark, f"{root}/out"))
+    shown = F.array_join(F.transform(F.map_entries("documents_by_status"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return out.withColumn("documents_by_status", shown)
+
+
 @query(f"SELECT alarm_at FROM ({alarm_sql(300, 1)})")
 def alarm_replay(spark, sf_dir):
     """The alarms of the log as a stream; one event long after the others closes their windows."""

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lorewell.functions.text import CJK, DEVANAGARI, SENTENCE_END, SPACE_CLASS, SPACES, checksum
 from lorewell.operators.chunking import chunk_blocks
 from lorewell.operators.encoding import FeatureHashEncoder, encode_column
-from lorewell.session import spread_small_scan, table
+from lorewell.schemas import CHUNKS
+from lorewell.session import shared_folder, spread_small_scan, table
 from lorewell.sources.plain import markdown_blocks
+from lorewell.sources.tables import write_chunks
 
 DIMENSION = 256
 EPOCH = "2024-01-01"
@@ -73,6 +75,13 @@ def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "checksum", checksum("content"))
 
 
+def counted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with what the counters hold of them; the chunker says how many chunks each has."""
+    parts = corpus_chunks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
+    docs = documents(spark, sf_dir).select("doc_id", "kb_id", "owner_id", "status", F.col("size_bytes").cast("long").alias("size_bytes"))
+    return docs.join(parts, "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0).cast("long")))
+
+
 def encoded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk rows as the sink stores them: with vector and the document's name copied in."""
     chunks = corpus_chunks(spark, sf_dir).withColumn(
@@ -80,6 +89,14 @@ def encoded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(chunks, "content", FeatureHashEncoder(DIMENSION))
 
 
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table as the sink writes it, read back: documents are chunked and encoded once, however often it is read."""
+    path = shared_folder(spark, "chunks")
+    chunks = encoded_chunks(spark, sf_dir)
+    write_chunks(chunks.select(*[c for c in chunks.columns if c in CHUNKS.names]), path)
+    return spark.read.schema(CHUNKS).parquet(path).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     return encode_column(items, "question", FeatureHashEncoder(DIMENSION), "qvec")
