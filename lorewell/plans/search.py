@@ -223,7 +223,7 @@ spoken AS (SELECT query_id, count(*) AS n_history, string_agg(role || ':' || tex
 
 @query(f"""WITH {_SQL_CHAT}, {_SQL_SOURCES}
 SELECT q.query_id, CASE WHEN s.query_id IS NULL THEN 'no_answer' ELSE 'answered' END AS outcome, round(coalesce(s.best, 0.0), 6) AS confidence,
-  coalesce(s.n_sources, 0) AS n_sources, 'Sources:' || chr(10) || chr(10) || s.listing || chr(10) || chr(10) || 'Question: ' || q.question AS prompt,
+  coalesce(s.n_sources, 0) AS n_sources, '<question>' || q.question || '</question>' || chr(10) || '<passages>' || chr(10) || s.listing || chr(10) || '</passages>' AS prompt,
   CASE WHEN s.query_id IS NULL THEN 0 ELSE 2 END AS n_messages
 FROM questions q LEFT JOIN sources s USING (query_id)""")
 def context_prompt(spark, sf_dir):

@@ -109,7 +109,7 @@ def test_one_hit_answers_and_foreign_owner_gets_none(spark):
     out = {r["query_id"]: r for r in context.prompts(asked, kept).collect()}
     assert out["r"]["outcome"] == "no_answer" and out["r"]["confidence"] == 0.0 and out["r"]["messages"] is None
     assert round(out["q"]["confidence"], 6) == 0.89
-    assert out["q"]["prompt"] == "Sources:\n\n[1] (name-d0, page 4):\nThe fact.\n\nQuestion: What?"
+    assert out["q"]["prompt"] == "<question>What?</question>\n<passages>\n[1] (name-d0, page 4):\nThe fact.\n</passages>"
     assert [m["role"] for m in out["q"]["messages"]] == ["system", "user"]
     cite = context.citations(kept).collect()
     assert len(cite) == 1 and cite[0]["page_number"] == 4 and cite[0]["document_name"] == "name-d0"
