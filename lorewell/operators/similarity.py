@@ -4,8 +4,9 @@ Vectors are packed into blocks, blocks meet in an ordinary equi-join on the
 tenant (or bucket) key, and each pair of blocks is one matrix product that
 keeps only the best ``k`` per question. No (question, chunk) pair outside those
 is ever a row. Questions are broadcast when their measured size allows it, so
-the chunk vectors are not shuffled at all; otherwise the chunk blocks of a key
-are salted over several partitions and the question blocks are copied to each.
+the chunk vectors are not shuffled at all; otherwise the chunks of a key are dealt
+over as many partitions as their count asks for, and the question blocks of such a
+key are copied to each. Keys with few chunks, as most are, copy nothing.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorewell.operators.ordered import top_per_key
-from lorewell.session import BROADCAST_LIMIT_BYTES, fits_broadcast
+from lorewell.session import BROADCAST_LIMIT_BYTES, fits_broadcast, shared_folder
 
 BLOCK_ROWS = 2048
 # Vector bytes waiting in one task over all keys before every open block is written out.
 OPEN_BYTES = 64 * 1024 * 1024
-SALTS = 16
+# Chunks of one key that one task scores against the key's questions.
+SALT_ROWS = 1 << 15
 # Scores are rounded so that equal vectors tie whatever block they are in.
 SCORE_DIGITS = 12
 
@@ -173,6 +175,24 @@ def _allowed(row: dict, n_questions: int, n_chunks: int) -> np.ndarray:
 _ARROW_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
+def _dealt(chunks: DataFrame, q: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Chunks with a salt, and question blocks copied to each salt of their key; keys of up to ``SALT_ROWS`` chunks have one.
+
+    Only larger keys are listed, one row for ``SALT_ROWS`` chunks at least. The list is stored, so that
+    Spark knows its size and broadcasts it only if it is small.
+    """
+    path = shared_folder(chunks.sparkSession, "salts")
+    counted = chunks.groupBy(*keys).agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_salts")).where("_salts > 1")
+    counted.write.parquet(path)
+    salts = chunks.sparkSession.read.schema(counted.schema).parquet(path)
+    n = F.coalesce("_salts", F.lit(1))
+    # The salt belongs to the row, not to its block: a repeated task may
+    # build other blocks but sends every row to the same place.
+    salted = chunks.join(salts, keys, "left").withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), n).cast("int"))
+    copies = q.join(salts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
+    return salted.drop("_salts"), copies.drop("_salts")
+
+
 def top_k_join(
     questions: DataFrame,
     chunks: DataFrame,
@@ -206,10 +226,7 @@ def top_k_join(
     if fits_broadcast(questions, payload, broadcast_limit):
         pairs = pack_vectors(chunks, keys, "chunk_id", "embedding", c_extras, "c").join(F.broadcast(q), keys)
     else:
-        # The salt belongs to the row, not to its block: a repeated task may
-        # build other blocks but sends every row to the same place.
-        salted = chunks.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
-        copies = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted, copies = _dealt(chunks, q, keys)
         on = [*keys, "_salt"]
         pairs = pack_vectors(salted, on, "chunk_id", "embedding", c_extras, "c").join(copies, on)
 

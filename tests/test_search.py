@@ -52,6 +52,22 @@ def test_top_k_equals_brute_force_on_both_routes(spark, limit, monkeypatch):
     assert got == _brute(rows, q, 7, 0.2)
 
 
+def test_salts_follow_the_chunks_of_a_tenant(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SALT_ROWS", 200)
+    rows, q, chunks, questions = _data(spark)
+    assert _got(similarity.top_k_join(questions, chunks.repartition(6), retrieval.TENANT, 7, 0.2, broadcast_limit=-1)) == _brute(rows, q, 7, 0.2)
+    salted, copies = similarity._dealt(chunks, questions, retrieval.TENANT)
+    held = {r[:2]: 0 for r in rows}
+    for r in rows:
+        held[r[:2]] += 1
+    used = {(r.kb_id, r.owner_id): r.n for r in salted.groupBy(*retrieval.TENANT).agg(F.countDistinct("_salt").alias("n")).collect()}
+    assert used == {key: -(-n // 200) for key, n in held.items()} and max(used.values()) > 5 and min(used.values()) == 1
+    sent = {(r.kb_id, r.owner_id): r.n for r in copies.groupBy(*retrieval.TENANT).agg(F.count("*").alias("n")).collect()}
+    assert sent == {key: 5 * used.get(key, 1) for key in {row[:2] for row in q}}
+    most = salted.groupBy(*retrieval.TENANT, "_salt").count().agg(F.max("count")).first()[0]
+    assert most < 300 and salted.count() == len(rows)
+
+
 def test_per_question_filters(spark):
     rows, q, chunks, questions = _data(spark, n=900)
     asked = questions.withColumns({
