@@ -7,7 +7,8 @@ stable bucket passes over the transforms, four symbols a pass where their string
 in 16 bits, else fewer; after h symbols it is the
 order by the first h symbols, so no suffix of different shards is ever compared. The
 pass at which a place first parts two neighbours is their common prefix; places that
-never part within ``size`` symbols are intervals of a repeated string.
+never part within ``size`` symbols are intervals of a repeated string. Pieces none of
+whose windows has the hash of a window of another document are not merged.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lorewell.llm.repeats import Units, removed_repeats
+from lorewell.llm.repeats import Units, removed_repeats, window_hashes
 
 SIZE = 50
 SHARD_BYTES = 32 * 1024
@@ -106,8 +107,29 @@ def _shards(contents: list[bytes]) -> list[np.ndarray]:
     return shards
 
 
+def contested(contents: list[bytes], counts: np.ndarray, docs: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """Which pieces hold a window whose hash other pieces of another document have too; no window of the rest can start earlier."""
+    hashes = window_hashes(contents, size)
+    owner = np.repeat(np.arange(len(contents)), counts)
+    order = np.argsort(hashes)
+    hashes, doc = hashes[order], docs[owner[order]]
+    heads = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    apart = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
+    held = np.zeros(len(contents), bool)
+    held[owner[order[np.repeat(apart, np.diff(np.append(heads, len(doc))))]]] = True
+    return held
+
+
 def judge(contents: list[bytes], counts: np.ndarray, docs: np.ndarray, starts: np.ndarray, size: int = SIZE) -> np.ndarray:
     """For every window of the pieces in turn, whether it also starts in a document with a smaller id."""
+    held = contested(contents, counts, docs, size)
+    out = np.zeros(counts.sum(), bool)
+    if held.any():
+        out[np.repeat(held, counts)] = _merged_judge([c for c, h in zip(contents, held.tolist()) if h], counts[held], docs[held], size)
+    return out
+
+
+def _merged_judge(contents: list[bytes], counts: np.ndarray, docs: np.ndarray, size: int) -> np.ndarray:
     merged, common = merge_transforms(_shards(contents), size)
     lengths = np.array([len(c) for c in contents])
     begin = np.cumsum(lengths) - lengths

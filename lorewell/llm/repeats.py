@@ -36,7 +36,7 @@ SLICE_BYTES = 256 * 1024  # bytes worked on at once, so that the arrays stay in
 BLOCKS_PER_PARTITION = 4
 CROWDED = 64_000  # pieces of one anchor above which its windows are dealt by their full content
 ANCHOR_BYTES = 6
-CHUNK_BYTES = 128 * 1024  # pieces judged at once, cut between anchors
+CHUNK_BYTES = 512 * 1024  # pieces judged at once, cut between anchors
 
 CENSUS = "bucket int, block int, anchors binary, counts binary"
 FLAGS = "block int, bucket int, repeated binary, crowded binary"
@@ -73,6 +73,14 @@ def gram_hashes(units: np.ndarray, k: int) -> np.ndarray:
     return both
 
 
+def window_hashes(contents: list[bytes], size: int) -> np.ndarray:
+    """Hashes of the ``size``-byte windows of the pieces in turn; every piece has at least that length."""
+    counts = np.array([len(c) for c in contents]) - size + 1
+    every = gram_hashes(_BYTE_HASH[np.frombuffer(b"".join(contents), np.uint8)], size)
+    # windows that run over a piece's end are left out
+    return every[np.arange(counts.sum()) + np.repeat(np.arange(len(contents)) * (size - 1), counts)]
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     span = 1
     while 2 * span <= width:
@@ -385,10 +393,10 @@ def judged_of(kind: Units, judge: Judge) -> Callable[[pa.Table], pa.Table]:
 def _chunks(hashes: np.ndarray, sizes: list[int]) -> Iterator[np.ndarray]:
     """Groups of pieces of about ``CHUNK_BYTES``; pieces with one hash stay together."""
     order = np.argsort(hashes, kind="stable")
-    total = np.cumsum(np.array(sizes)[order]) // CHUNK_BYTES
-    same = np.append(False, hashes[order][1:] == hashes[order][:-1])
-    cut = np.flatnonzero((np.append(False, total[1:] != total[:-1])) & ~same)
-    yield from (c for c in np.split(order, cut) if len(c))
+    total = np.cumsum(np.array(sizes)[order])
+    heads = np.flatnonzero(np.append(True, hashes[order][1:] != hashes[order][:-1]))
+    chunk = np.append(0, total)[heads] // CHUNK_BYTES  # of each anchor, by where its pieces begin
+    yield from np.split(order, heads[1:][chunk[1:] != chunk[:-1]])
 
 
 def covered(kind: Units, n: int, marks: list[tuple[int, int, np.ndarray | None]]) -> np.ndarray:

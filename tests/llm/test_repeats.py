@@ -104,3 +104,25 @@ def test_odd_rows(spark):
     cleaned = {r.doc_id: r for r in bwt_merge.remove_substrings(docs).collect()}
     assert cleaned[2].kept == b"" and [tuple(s) for s in cleaned[2].spans] == [(0, len(known[1]))]
     assert suffix_trees.remove_sequences(docs.limit(0)).count() == 0 and bwt_merge.remove_substrings(docs.limit(0)).count() == 0
+
+
+def test_chunks_are_cut_after_the_anchor_that_fills_them(monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 100)
+    hashes = np.repeat(np.arange(40), 2)
+    chunks = [c.tolist() for c in repeats._chunks(hashes, [33] * 80)]  # no limit falls between two anchors
+    assert sorted(i for c in chunks for i in c) == list(range(80))
+    assert max(map(len, chunks)) <= 4
+    assert all(len(set(hashes[a]) & set(hashes[b])) == 0 for a, b in zip(chunks, chunks[1:]))
+
+
+def test_only_pieces_that_share_a_window_are_merged(monkeypatch):
+    merged = []
+    whole = bwt_merge.merge_transforms
+    monkeypatch.setattr(bwt_merge, "merge_transforms", lambda shards, depth: merged.append(sum(map(len, shards))) or whole(shards, depth))
+    rnd = random.Random(5)
+    alone = [bytes(rnd.choices(range(97, 123), k=60)) for _ in range(200)]
+    judge = lambda contents, docs: bwt_merge.judge(contents, np.array([len(c) - 49 for c in contents]), np.array(docs), np.zeros(len(contents), np.int64))
+    assert not judge(alone, range(200)).any() and not merged
+    part = alone[7][5:58]
+    found = judge([*alone, part, alone[9][:55]], [*range(200), 300, 9])  # the last repeats its own document only
+    assert np.flatnonzero(found).tolist() == [200 * 11, 200 * 11 + 1, 200 * 11 + 2, 200 * 11 + 3] and merged == [60 + 53]
