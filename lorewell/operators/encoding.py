@@ -7,13 +7,16 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BATCH_TEXTS = 100
 VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
+ARROW_VECTOR = pa.list_(pa.field("element", pa.float32(), nullable=False))
+# Words whose bucket an encoder remembers.
+KNOWN_WORDS = 100_000
 
 # An encoder maps a list of texts to one float vector per text.
 Encoder = Callable[[list[str]], "np.ndarray"]
@@ -39,7 +42,7 @@ class FeatureHashEncoder:
         """Bucket of a word; words counted negatively have theirs in the upper half."""
         digest = hashlib.md5(word.encode("utf-8"), usedforsecurity=False).hexdigest()
         slot = int(digest[:8], 16) % self.dimension + (0 if int(digest[8], 16) < 8 else self.dimension)
-        if len(self._slots) < 500_000:
+        if len(self._slots) < KNOWN_WORDS:
             self._slots[word] = slot
         return slot
 
@@ -62,18 +65,19 @@ class FeatureHashEncoder:
 def encode_udf(encoder: Encoder, batch: int = BATCH_TEXTS):
     """Iterator UDF: the encoder is set up once per task and called with at most ``batch`` texts."""
 
-    @F.pandas_udf(VECTOR)
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(VECTOR)
+    def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            vectors: list[np.ndarray] = []
-            texts = part.fillna("").tolist()
-            for start in range(0, len(texts), batch):
-                sent = texts[start:start + batch]
+            vectors = [pa.array([], ARROW_VECTOR)]
+            for start in range(0, len(part), batch):
+                sent = part.slice(start, batch).fill_null("").to_pylist()
                 got = encoder(sent)
                 if len(got) != len(sent):
                     raise EncodingError(f"sent {len(sent)} texts, got {len(got)} vectors")
-                vectors.extend(np.asarray(got, dtype=np.float32))
-            yield pd.Series(vectors, index=part.index)
+                got = np.asarray(got, dtype=np.float32)
+                offsets = np.arange(len(got) + 1, dtype=np.int32) * got.shape[1]
+                vectors.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(got.ravel()), type=ARROW_VECTOR))
+            yield pa.concat_arrays(vectors)
 
     return encode
 

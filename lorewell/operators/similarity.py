@@ -15,16 +15,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorewell.functions.batches import small_batches
 from lorewell.operators.ordered import top_per_key
 from lorewell.session import BROADCAST_LIMIT_BYTES, fits_broadcast, shared_folder
 
 BLOCK_ROWS = 2048
 # Vector bytes waiting in one task over all keys before every open block is written out.
-OPEN_BYTES = 64 * 1024 * 1024
+OPEN_BYTES = 32 * 1024 * 1024
+# Questions scored against a block of chunks at once, and pairs scored in double precision at once.
+TILE_ROWS = 256
+PAIRS_AT_ONCE = 4096
+# Questions whose best scores a task remembers while it goes through blocks of chunks.
+QUESTIONS_HELD = 1 << 17
 # Chunks of one key that one task scores against the key's questions.
 SALT_ROWS = 1 << 15
 # Scores are rounded so that equal vectors tie whatever block they are in.
@@ -64,14 +71,13 @@ def pack_vectors(
         arrow = None
         signs = planes.matrix() if planes else None
 
-        def close(blocks):
-            rows = []
-            for key, entries in blocks:
-                lists = list(zip(*(e[0] for e in entries)))
-                rows.append((*key, *map(list, lists), np.concatenate([e[1] for e in entries]).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*rows), arrow)], schema=arrow)
+        def close(target):
+            entries = open_blocks.pop(target)
+            lists = map(list, zip(*(e[0] for e in entries)))
+            row = (*target, *lists, np.concatenate([e[1] for e in entries]).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, arrow)], schema=arrow)
 
-        for batch in batches:
+        for batch in small_batches(batches):
             if arrow is None:
                 types = {f.name: f.type for f in batch.schema}
                 arrow = pa.schema(
@@ -104,52 +110,99 @@ def pack_vectors(
                         waiting += unit[i].nbytes
                         if len(entries) >= BLOCK_ROWS:
                             waiting -= unit[i].nbytes * len(entries)
-                            yield close([(target, open_blocks.pop(target))])
+                            yield close(target)
                     if waiting >= OPEN_BYTES:
-                        yield close(open_blocks.items())
-                        open_blocks, waiting = {}, 0
-        if open_blocks:
-            yield close(open_blocks.items())
+                        yield from map(close, list(open_blocks))
+                        waiting = 0
+        yield from map(close, list(open_blocks))
 
     return df.select(*keys, ident, *extras, vector).mapInArrow(run, schema)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, floor: float):
-    """Row and column of the best ``k`` of every row by (score desc, id asc) that reach the floor."""
-    cut = np.full(len(scores), floor)
-    if scores.shape[1] > k:
-        at = scores.shape[1] - k
-        cut = np.maximum(np.partition(scores, at, axis=1)[:, at], floor)
-    # everything tied with the k-th is kept until the ids have decided
-    row, col = np.nonzero(scores >= cut[:, None])
+def _merged_best(best: np.ndarray, row: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The best scores of every question with those of one more block; ``row`` ascends."""
+    k = best.shape[1]
+    fresh = np.full(best.shape, -np.inf)
+    fresh[row, np.arange(len(row)) - np.searchsorted(row, row, side="left")] = score
+    return np.partition(np.concatenate([best, fresh], axis=1), k, axis=1)[:, k:]
+
+
+def _best_pairs(q: np.ndarray, c: np.ndarray, place: np.ndarray, k: int, cut: np.ndarray, allowed: np.ndarray | None):
+    """Row, column and score of the best ``k`` of every row by (score desc, place asc) that reach the row's cut.
+
+    Single precision finds the pairs that can be among them, by its largest possible error; only these
+    are scored in double precision and compared.
+    """
+    slack = (q.shape[1] + 8) * 2.0 ** -23
+    single = c.astype(np.float32).T
+    parts = []
+    for start in range(0, len(q), TILE_ROWS):
+        rough = q[start:start + TILE_ROWS].astype(np.float32) @ single
+        if allowed is not None:
+            rough[~allowed[start:start + TILE_ROWS]] = -np.inf
+        least = (cut[start:start + TILE_ROWS] - slack).astype(np.float32)
+        close = rough >= least[:, None]
+        many = np.flatnonzero(np.count_nonzero(close, axis=1) > k)
+        if len(many):
+            at = rough.shape[1] - k
+            kth = np.partition(rough[many], at, axis=1)[:, at] - np.float32(2 * slack)
+            close[many] &= rough[many] >= kth[:, None]
+        row, col = np.nonzero(close)
+        score = np.empty(len(row))
+        for i in range(0, len(row), PAIRS_AT_ONCE):
+            pairs = slice(i, i + PAIRS_AT_ONCE)
+            score[pairs] = np.einsum("ij,ij->i", q[start + row[pairs]], c[col[pairs]])
+        score = np.round(score, SCORE_DIGITS)
+        # everything tied with the k-th is kept until the ids have decided
+        keep = score >= cut[start + row]
+        row, col, score = row[keep], col[keep], score[keep]
+        order = np.lexsort((place[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+        parts.append((start + row[keep], col[keep], score[keep]))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _places(ids: pa.Array) -> np.ndarray:
     place = np.empty(len(ids), dtype=np.int64)
-    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-    order = np.lexsort((place[col], -scores[row, col], row))
-    row, col = row[order], col[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
-    return row[keep], col[keep]
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    return place
 
 
-def _score_blocks(k: int, floor: float, ident_types, filtered: bool):
+def _score_blocks(k: int, floor: float, filtered: bool, once: bool):
+    """Best pairs of each joined pair of blocks. With ``once`` (a chunk meets a question in one block only)
+    a block of questions keeps its best scores, and later chunk blocks give only what reaches them."""
+
     def run(batches):
-        schema = pa.schema([("query_id", ident_types[0]), ("chunk_id", ident_types[1]), ("similarity", pa.float64())])
+        held: dict[tuple, np.ndarray] = {}
+        questions_held = 0
         for batch in batches:
-            names = batch.schema.names
-            for values in zip(*(c.to_pylist() for c in batch.columns)):
-                row = dict(zip(names, values))
-                questions, chunks = np.array(row["q_ids"]), np.array(row["c_ids"])
-                q = np.frombuffer(row["q_mat"]).reshape(len(questions), -1)
-                c = np.frombuffer(row["c_mat"]).reshape(len(chunks), -1)
+            at = {name: i for i, name in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                cell = lambda name: batch.column(at[name])[i]  # noqa: B023, E731
+                questions, chunks = cell("q_ids").values, cell("c_ids").values
+                q = np.frombuffer(cell("q_mat").as_buffer()).reshape(len(questions), -1)
+                c = np.frombuffer(cell("c_mat").as_buffer()).reshape(len(chunks), -1)
                 if q.shape[1] != c.shape[1]:
                     raise ValueError(f"question vectors have {q.shape[1]} elements, chunk vectors {c.shape[1]}")
-                scores = np.round(q @ c.T, SCORE_DIGITS)
+                allowed = None
                 if filtered:
-                    scores = np.where(_allowed(row, len(questions), len(chunks)), scores, -np.inf)
-                asked, found = _best(scores, chunks, k, floor)
+                    row = {name: cell(name).as_py() for name in at if not name.endswith(("_ids", "_mat")) or name == "q_doc_ids"}
+                    allowed = _allowed(row, len(questions), len(chunks))
+                name = tuple(questions.to_pylist()) if once else ()
+                best = held.get(name)
+                cut = np.full(len(q), floor) if best is None else np.maximum(best.min(axis=1), floor)
+                asked, found, score = _best_pairs(q, c, _places(chunks), k, cut, allowed)
+                if once:
+                    if best is None:
+                        best, questions_held = np.full((len(q), k), -np.inf), questions_held + len(q)
+                        while held and questions_held > QUESTIONS_HELD:  # their blocks only give more than is needed
+                            questions_held -= len(held.pop(next(iter(held))))
+                    held[name] = _merged_best(best, asked, score)
                 if len(asked):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(questions[asked].tolist(), ident_types[0]), pa.array(chunks[found].tolist(), ident_types[1]),
-                         pa.array(scores[asked, found])], schema=schema)
+                        [questions.take(pa.array(asked)), chunks.take(pa.array(found)), pa.array(score)], names=["query_id", "chunk_id", "similarity"])
+
     return run
 
 
@@ -172,9 +225,6 @@ def _allowed(row: dict, n_questions: int, n_chunks: int) -> np.ndarray:
     return mask
 
 
-_ARROW_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def _dealt(chunks: DataFrame, q: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Chunks with a salt, and question blocks copied to each salt of their key; keys of up to ``SALT_ROWS`` chunks have one.
 
@@ -230,19 +280,18 @@ def top_k_join(
         on = [*keys, "_salt"]
         pairs = pack_vectors(salted, on, "chunk_id", "embedding", c_extras, "c").join(copies, on)
 
-    scored = _scored_pairs(pairs, k, min_similarity, filtered)
+    scored = _scored_pairs(pairs, k, min_similarity, filtered, once=True)
     return top_per_key(scored, ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], k)
 
 
-def _scored_pairs(pairs: DataFrame, k: int, min_similarity: float, filtered: bool = False) -> DataFrame:
+def _scored_pairs(pairs: DataFrame, k: int, min_similarity: float, filtered: bool = False, once: bool = False) -> DataFrame:
     """Joined blocks to the best pairs of each pair of blocks."""
     types = [pairs.schema[c].dataType.elementType for c in ("q_ids", "c_ids")]
     schema = T.StructType([
         T.StructField("query_id", types[0]), T.StructField("chunk_id", types[1]), T.StructField("similarity", T.DoubleType()),
     ])
-    arrow_types = tuple(_ARROW_TYPES[t.simpleString()] for t in types)
     needed = [c for c in pairs.columns if c.startswith(("q_", "c_"))]
-    return pairs.select(*needed).mapInArrow(_score_blocks(k, min_similarity, arrow_types, filtered), schema)
+    return pairs.select(*needed).mapInArrow(_score_blocks(k, min_similarity, filtered, once), schema)
 
 
 # ---------------------------------------------------------------- approximate

@@ -1,6 +1,9 @@
 """Similarity joins, retrieval, context and history against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +170,53 @@ def test_encoder_contract(spark):
 def test_markers(spark):
     df = spark.createDataFrame([("m", "see [1], [3] and [x] [02]", 2)], "message_id string, answer string, n_citations int")
     assert [(int(r["marker"]), r["valid"]) for r in context.marker_report(df).orderBy("position").collect()] == [(1, True), (3, False), (2, True)]
+
+
+def test_blocks_are_scored_in_small_tiles_and_give_only_what_can_be_among_the_best():
+    rng = np.random.default_rng(11)
+    unit = lambda n: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(rng.normal(size=(n, 16)))
+    questions, blocks = unit(2048), [unit(2048) for _ in range(3)]
+    blocks[1][:40] = blocks[0][:40]  # ties between blocks
+    asked = [f"q{i}" for i in range(2048)]
+    batches = [pa.RecordBatch.from_pydict({
+        "q_ids": [asked], "q_mat": [questions.tobytes()], "c_ids": [list(range(2048 * b, 2048 * b + 2048))], "c_mat": [c.tobytes()]}) for b, c in enumerate(blocks)]
+    tracemalloc.start()
+    out = list(similarity._score_blocks(8, -1.0, False, True)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * 1024 * 1024  # one matrix of all scores has 32
+    assert [b.num_rows for b in out][0] == 8 * 2048 and sum(b.num_rows for b in out[1:]) < 1.4 * 8 * 2048
+    scores = np.round(questions @ np.concatenate(blocks).T, similarity.SCORE_DIGITS)
+    rows = pa.Table.from_batches(out).to_pylist()
+    found = {}
+    for r in rows:
+        found.setdefault(r["query_id"], []).append((-r["similarity"], r["chunk_id"]))
+    for i in range(0, 2048, 97):
+        want = sorted(zip((-scores[i]).tolist(), range(len(scores[i]))))[:8]
+        assert [c for _, c in sorted(found[asked[i]])[:8]] == [c for _, c in want]
+
+
+def test_the_encoder_remembers_a_bounded_number_of_words():
+    encoder = encoding.FeatureHashEncoder(16)
+    text = " ".join(f"w{i}" for i in range(encoding.KNOWN_WORDS + 500))
+    assert np.array_equal(encoder([text]), encoder([text]))
+    assert len(encoder._slots) <= encoding.KNOWN_WORDS == 100_000
+
+
+def test_open_blocks_leave_one_at_a_time(monkeypatch):
+    """A task that runs into its limit of waiting bytes hands every block on by itself."""
+    from pyspark.sql import types as T
+
+    class Rows:
+        schema = T.StructType([T.StructField("kb_id", T.StringType()), T.StructField("chunk_id", T.LongType()), T.StructField("embedding", encoding.VECTOR)])
+        select = lambda self, *names: self
+        mapInArrow = lambda self, run, schema: run  # noqa: E731, N815
+
+    run = similarity.pack_vectors(Rows(), ["kb_id"], "chunk_id", "embedding", [], "c")
+    n = 1000
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([f"kb{i % 10}" for i in range(n)]), pa.array(range(n), pa.int64()), pa.array([[float(i), 1.0] if i % 9 else None for i in range(n)], pa.list_(pa.float32()))],
+        names=["kb_id", "chunk_id", "embedding"])
+    out = list(run(iter([batch])))
+    assert [b.num_rows for b in out] == [1] * 10
+    assert sorted(i for b in out for i in b.column("c_ids")[0].as_py()) == [i for i in range(n) if i % 9]
