@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lorewell.functions.batches import FLUSH_CHARS, records
 from lorewell.schemas import BLOCKS
 
 FLUSH_ROWS = 8192
@@ -38,13 +39,15 @@ def decode_documents(
     """Blocks of every document; an unreadable one yields a single row with ``error`` set."""
     carried = [docs.schema[name] for name in carry]
     schema = T.StructType(carried + _BLOCK_FIELDS)
+    text_at = schema.fieldNames().index("text", len(carry))
 
     def run(batches):
         for batch in batches:
             carried_type = [(f.name, f.type) for f in batch.schema][: len(carry)]
             arrow = pa.schema(carried_type + _BLOCK_ARROW)
             rows: list[tuple] = []
-            for record in zip(*(c.to_pylist() for c in batch.columns)):
+            chars = 0
+            for record in records(batch):
                 head, body = record[:-1], record[-1]
                 # whatever a decoder trips over concerns this document only, and none of its blocks count then
                 try:
@@ -55,9 +58,10 @@ def decode_documents(
                     found = [(*head, 0, None, None, None, None, None, f"{type(fault).__name__}: {fault}")]
                 for row in found:
                     rows.append(row)
-                    if len(rows) >= FLUSH_ROWS:
+                    chars += len(row[text_at] or "")
+                    if len(rows) >= FLUSH_ROWS or chars >= FLUSH_CHARS:
                         yield _to_batch(rows, arrow)
-                        rows = []
+                        rows, chars = [], 0
             if rows:
                 yield _to_batch(rows, arrow)
 

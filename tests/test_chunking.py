@@ -1,15 +1,19 @@
 """Golden chunking cases and invariants."""
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import SF_SMALL
+from lorewell.functions.batches import FLUSH_CHARS
 from lorewell.functions.text import estimate_tokens, strip_text
 from lorewell.operators.chunking import ChunkState, chunk_blocks, count_tokens, overlap_tail, pack_sentences
 from lorewell.plans.views import corpus_chunks
 from lorewell.schemas import BLOCKS
+from lorewell.sources.decode import decode_documents
 
 SIXTY = " ".join(f"This is numbered sentence {i} of the long paragraph." for i in range(60))
 
@@ -172,3 +176,35 @@ def test_corpus_invariants(spark):
     dense = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("chunk_index").alias("m"), F.min("chunk_index").alias("l"))
     assert dense.filter("m + 1 <> n OR l <> 0").isEmpty()
     chunks.unpersist()
+
+
+class Rows:
+    """Hands out the function that a job would run over its batches."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_python_steps_hand_on_batches_of_bounded_text():
+    text = "A sentence of some words. " * 800
+    doc, schema = T.StructField("doc_id", T.LongType()), pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    decode = decode_documents(Rows(T.StructType([doc])), lambda body: [("paragraph", body, None, None, None)])
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": [text] * 600}, schema=schema)
+    read = list(decode(iter([docs])))
+    assert sum(b.num_rows for b in read) == 600
+    assert max(b.nbytes for b in read) < 2 * FLUSH_CHARS
+
+    blocks = pa.Table.from_batches(read).select(["doc_id", "kind", "text", "page_number", "section_title"]).combine_chunks().to_batches()
+    fold = chunk_blocks(Rows(T.StructType([doc])), clustered=True)
+    chunks = list(fold(iter(blocks)))
+    assert max(b.nbytes for b in chunks) < 2 * FLUSH_CHARS
+    whole = pa.Table.from_batches(chunks).to_pylist()
+    state = ChunkState(512, 64)
+    one = [t[0] for t in [*state.feed("paragraph", text, None, None), *state.finish()]]
+    assert [c["content"] for c in whole] == one * 600 and {c["doc_id"] for c in whole} == set(range(600))
