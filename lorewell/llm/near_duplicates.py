@@ -35,6 +35,7 @@ BASE = 1.02
 TOP = 65_534
 DOUBT = 18.0  # nats of likelihood below which a pair is never dropped
 CROWDED = 256  # pairs of one bucket from which a shared rare shingle is asked for too
+DRAWN, COMMON = 64, 1024  # classes of a crowded group that tell which shingles are common, and how many of these are told
 SHINGLE = 5
 PART = 65_536  # shingles sketched at once
 
@@ -175,6 +176,58 @@ def _meet(rows: DataFrame) -> DataFrame:
     return few.join(every, "bucket").where("root_x <> root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _differences(own: bytes, base: bytes) -> tuple[int, np.ndarray]:
+    """The size of a set, and the shingles that it adds to the base or (inverted) lacks."""
+    own, base = np.frombuffer(own, np.uint64), np.frombuffer(base, np.uint64)
+    return len(own), np.concatenate([np.setdiff1d(own, base, assume_unique=True), ~np.setdiff1d(base, own, assume_unique=True)]).view(np.int64)
+
+
+def _common(crowded: DataFrame, sets: DataFrame, base: DataFrame) -> DataFrame:
+    """``large, common``: shingles that set several of ``DRAWN`` classes of a group apart, the commonest last.
+
+    It only gives the order of places, and any order gives the same pairs of similar classes.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups: dict[int, list[np.ndarray]] = {}
+            for large, own, base in zip(*(c.to_pylist() for c in batch.columns)):
+                groups.setdefault(large, []).append(_differences(own, base)[1])
+            for large, apart in groups.items():
+                item, held = np.unique(np.concatenate(apart), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(item), large), pa.int64()), pa.array(item), pa.array(held, pa.int64())], names=["large", "item", "held"])
+
+    draw = F.row_number().over(Window.partitionBy("large").orderBy(F.xxhash64("class_id"), "class_id"))
+    drawn = crowded.where("class_id <> large").select("class_id", "large").withColumn("draw", draw).where(F.col("draw") <= DRAWN)
+    both = drawn.join(sets, "class_id").join(base, "large").select("large", "items", "base")
+    held = both.mapInArrow(count, "large long, item long, held long").groupBy("large", "item").agg(F.sum("held").alias("held")).where("held > 1")
+    most = F.row_number().over(Window.partitionBy("large").orderBy(F.desc("held"), "item"))
+    return held.withColumn("most", most).where(F.col("most") <= COMMON).groupBy("large").agg(F.sort_array(F.collect_list(F.struct("held", "item"))).getField("item").alias("common"))
+
+
+def _places(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The first M + 1 places of every class's difference, rarest first; ``d`` is the size of the whole difference."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, (own, base, common) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)))):
+                n, apart = _differences(own, base)
+                if not len(apart):
+                    continue
+                rank = np.full(len(apart), -1)
+                if common:
+                    _, here, there = np.intersect1d(apart, np.array(common, np.int64), assume_unique=True, return_indices=True)
+                    rank[here] = there
+                first = apart[np.lexsort((apart, rank))[: n * (100 - percent) // percent + 1]]
+                same = pa.array(np.full(len(first), at), pa.int32())
+                sizes = [pa.array(np.full(len(first), v), pa.int32()) for v in (n, len(apart))]
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(same) for c in range(3)] + [pa.array(first), *sizes, pa.array(np.arange(1, len(first) + 1), pa.int32())], names=["class_id", "root", "large", "item", "n", "d", "place"])
+
+    base = sets.select(F.col("class_id").alias("large"), F.col("items").alias("base"))
+    both = crowded.where("class_id <> large").join(sets, "class_id").join(base, "large").join(_common(crowded, sets, base), "large", "left")
+    return stored(both.select("class_id", "root", "large", "items", "base", "common").mapInArrow(differ, "class_id long, root long, large long, item long, n int, d int, place int"), "places")
+
+
 def _rare_meet(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of crowded buckets that the limit leaves possible, by what sets them apart from a reference.
 
@@ -188,27 +241,13 @@ def _rare_meet(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     T is at most M = n (100 - percent) / percent of either class, and d_x <= d_y + T. So places are cut before
     classes meet: the class with the smaller difference brings its first M / 2 + 1 places, the other one its first
     (M + min(M, d - least d of the group)) / 2 + 1, which leaves out the shingles that many classes share.
+    No more than M + 1 places of a class leave its task, however far it is from the reference.
     """
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, (own, base) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                own, base = np.frombuffer(own, np.uint64), np.frombuffer(base, np.uint64)
-                apart = np.concatenate([np.setdiff1d(own, base, assume_unique=True), ~np.setdiff1d(base, own, assume_unique=True)])
-                if len(apart):
-                    same = pa.array(np.full(len(apart), at), pa.int32())
-                    sizes = [pa.array(np.full(len(apart), v), pa.int32()) for v in (len(own), len(apart))]
-                    yield pa.RecordBatch.from_arrays([batch.column(c).take(same) for c in range(3)] + [pa.array(apart.view(np.int64)), *sizes], names=["class_id", "root", "large", "item", "n", "d"])
-
-    base = sets.select(F.col("class_id").alias("large"), F.col("items").alias("base"))
-    both = crowded.join(sets, "class_id").join(base, "large").where("class_id <> large").select("class_id", "root", "large", "items", "base")
-    apart = stored(both.mapInArrow(differ, "class_id long, root long, large long, item long, n int, d int"), "differences")
-    held = apart.groupBy("large", "item").agg(F.count("*").alias("held"))
-    place = F.row_number().over(Window.partitionBy("class_id", "large").orderBy("held", "item"))
+    apart = _places(crowded, sets, percent)
     least = apart.groupBy("large").agg(F.min("d").alias("least"))
     most = F.floor(F.col("n") * (100 - percent) / percent)
     bound = F.floor((most + F.least(most, F.col("d") - F.col("least"))) / 2) + 1
-    ranked = apart.join(held, ["large", "item"]).withColumn("place", place).where("held > 1").join(least, "large").where(F.col("place") <= bound).withColumn("first", F.col("place") <= F.floor(most / 2) + 1)
+    ranked = apart.join(least, "large").where(F.col("place") <= bound).withColumn("first", F.col("place") <= F.floor(most / 2) + 1)
     side = lambda end: ranked.select("large", "item", "first", F.col("root").alias(f"root_{end}"), F.col("class_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}"), F.col("place").alias(f"place_{end}"))
     apart_most = F.floor((F.col("n_x") + F.col("n_y")) * (100 - percent) / (100 + percent))
     shared = F.ceil((F.col("d_x") + F.col("d_y") - apart_most) / 2)

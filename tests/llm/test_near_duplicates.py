@@ -99,3 +99,23 @@ def test_pairs_of_a_loose_group_do_not_grow_with_its_square(spark, monkeypatch):
         near_duplicates.near_duplicates(spark.createDataFrame(loose_copies(n), "doc_id long, text string"), 85).count()
     # fourfold classes: the square would give sixteenfold pairs
     assert counts[2] < 6 * counts[0], counts
+
+
+def test_crowded_classes_bring_a_bounded_part_of_their_difference(spark):
+    rnd = np.random.default_rng(7)
+    sets = [rnd.choice(2**62, 100, replace=False).astype(np.uint64)]
+    far = np.concatenate([sets[0][:60], rnd.choice(2**62, 40, replace=False).astype(np.uint64)])
+    for i in range(150):  # most of the difference is shared by all
+        own, edits = far.copy(), 2 + i % 7
+        own[rnd.choice(100, edits, replace=False)] = rnd.choice(2**62, edits, replace=False).astype(np.uint64)
+        sets.append(own)
+    sets = [np.unique(s) for s in sets]
+    held = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "class_id long, items binary")
+    crowded = spark.createDataFrame([(i, i, 0) for i in range(len(sets))], "class_id long, root long, large long")
+    for percent in (80, 85):
+        most = {i: len(s) * (100 - percent) // percent for i, s in enumerate(sets)}
+        places = near_duplicates._places(crowded, held, percent).groupBy("class_id").count().collect()
+        assert len(places) == 150 and all(r["count"] <= most[r.class_id] + 1 for r in places)
+        got = {(r.a, r.b) for r in near_duplicates._rare_meet(crowded, held, percent).collect()}
+        pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * (s := len(np.intersect1d(sets[a], sets[b]))) >= percent * (len(sets[a]) + len(sets[b]) - s)]
+        assert pairs and {(b, a) for a, b in pairs} <= got
