@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 
 from lorewell.llm.merges import Cache, merge_symbols
 
+SHORT = 24  # bytes of a pre-token up to which a scan of ranks is faster than a heap
+NEVER = 1 << 64
+SHORT_ENTRIES = 800_000  # pre-tokens with 16-bit ids that a worker keeps from task to task, about 200 bytes each
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TOKENS_SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string"
 
@@ -98,22 +102,44 @@ class WordBpe:
     def __post_init__(self) -> None:
         self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         self.bytes = byte_symbols()
+        self.inner, self.final = [self.ids[b] for b in self.bytes], [self.ids[b + self.suffix] for b in self.bytes]
+        # two ids as one key: the rank of their merge and the id that it gives
+        self.pairs = {self.ids[a] << 32 | self.ids[b]: r << 32 | self.ids[a + b] for (a, b), r in self.ranks.items()}
         self.split_any = re.compile(builtin_pattern(self.pattern)).findall
         self.split_latin = re.compile(builtin_pattern(self.pattern, LATIN_END)).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.cache = Cache(self._pre_token)
+        self.short = Cache(lambda word: struct.pack(f"<{len(ids := self._merged(word))}H", *ids), entries=SHORT_ENTRIES)
+
+    def _merged(self, word: str) -> list[int]:
+        """Ids of a pre-token; few symbols are scanned for the smallest rank, by id, many go through the heap."""
+        raw = word.encode("utf-8", "replace")
+        if len(raw) > SHORT:
+            symbols = [self.bytes[b] for b in raw]
+            symbols[-1] += self.suffix
+            ranks = self.ranks
+            return [self.ids[s] for s in merge_symbols(symbols, lambda a, b: ranks.get((a, b)))]
+        ids, step = [self.inner[b] for b in raw], self.pairs.get
+        ids[-1] = self.final[raw[-1]]
+        steps = [step(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while steps and (least := min(steps)) != NEVER:
+            i = steps.index(least)
+            del ids[i], steps[i]
+            ids[i] = least & 0xFFFFFFFF
+            if i:
+                steps[i - 1] = step(ids[i - 1] << 32 | ids[i], NEVER)
+            if i < len(steps):
+                steps[i] = step(ids[i] << 32 | ids[i + 1], NEVER)
+        return ids
 
     def _pre_token(self, word: str) -> tuple[bytes, str]:
-        symbols = [self.bytes[b] for b in word.encode("utf-8", "replace")]
-        symbols[-1] += self.suffix
-        ranks = self.ranks
-        ids = [self.ids[s] for s in merge_symbols(symbols, lambda a, b: ranks.get((a, b)))]
-        return np.array(ids, "<u4").tobytes(), self.decode(ids)
+        ids = self._merged(word)
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.strings[i] for i in ids])
 
     @staticmethod
     def normal(text: str) -> str:
         """NFC and lower case; runs of white space stay, as no pre-token holds any."""
-        if text.isascii():
+        if not BEYOND_LATIN(text):  # nothing composes, and no lower-casing depends on neighbours
             return text.lower()
         text = unicodedata.normalize("NFC", text)
         # character by character: str.lower() would treat a final sigma by its neighbours
@@ -136,6 +162,16 @@ class WordBpe:
                 found.extend(map(cached, self.split(self.normal(piece))))
         return found
 
+    def encode_short(self, text: str) -> bytes:
+        """Little-endian 16-bit ids of a text; all ids must fit."""
+        cached = self.short.__getitem__
+        if not any(s in text for s in self.special):
+            return b"".join(map(cached, self.split(self.normal(text))))
+        found: list[bytes] = []
+        for place, piece in enumerate(self.cut(text)):
+            found += [struct.pack("<H", self.special[piece])] if place % 2 else map(cached, self.split(self.normal(piece)))
+        return b"".join(found)
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(ids for ids, _ in self.parts(text)), "<u4")
 
@@ -196,15 +232,17 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def encode_words(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id`` and, as ``text``, the little-endian 16-bit ids of every whole text; a text without tokens has none."""
+    """``doc_id`` and, as ``text``, the little-endian 16-bit ids of every whole text; a text without tokens has none.
+
+    A worker keeps its memo of pre-tokens for its later tasks, which mostly meet the same words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(vocabulary)
         if max(codec.strings) >= 0xFFFF:
             raise ValueError("ids do not fit 16 bits beside a separator")
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.encode(t).astype("<u2").tobytes() for t in _texts(batch)], pa.binary())], names=["doc_id", "text"])
-        codec.cache.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(codec.encode_short, _texts(batch)), pa.binary())], names=["doc_id", "text"])
 
     return _source(docs).mapInArrow(run, "doc_id long, text binary")
 

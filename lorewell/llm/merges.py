@@ -44,12 +44,12 @@ def merge_symbols(symbols: list[str], rank: Callable[[str, str], float | None])
 class Cache(dict):
     """Memo of a function of one string; bounded by emptying it."""
 
-    def __init__(self, make: Callable, fixed: dict | None = None):
+    def __init__(self, make: Callable, fixed: dict | None = None, entries: int | None = None):
         super().__init__(fixed or {})
-        self.make, self.fixed = make, fixed or {}
+        self.make, self.fixed, self.entries = make, fixed or {}, entries
 
     def __missing__(self, key):
-        if len(self) >= CACHE_ENTRIES + len(self.fixed):
+        if len(self) >= (self.entries or CACHE_ENTRIES) + len(self.fixed):
             self.clear()
             self.update(self.fixed)
         self[key] = value = self.make(key)

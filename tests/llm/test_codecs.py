@@ -84,3 +84,22 @@ def test_empty_tables(spark):
     empty = odd.documents(spark).limit(0)
     assert token_counts.token_counts(empty, PIECE).count() == 0
     assert bpe_codec.round_trip(empty, WORD).count() == 0
+
+
+def test_scanned_merges_equal_the_heap(monkeypatch):
+    codec, rnd = bpe_codec.load(WORD), random.Random(12)
+    letters = "abcdeinorst" * 4 + "xyzäéßøłı'9-"
+    words = {"".join(rnd.choices(letters, k=rnd.randint(1, 30))) for _ in range(3000)} | {"aaaaaaaaaaaa", "lowering", "ſ", "\U0001f600"}
+    few = [codec._merged(w) for w in words]
+    monkeypatch.setattr(bpe_codec, "SHORT", 0)
+    assert few == [codec._merged(w) for w in words]
+
+
+def test_short_ids_equal_the_long_ones_with_a_full_memo(monkeypatch):
+    codec = bpe_codec.load(WORD)
+    monkeypatch.setattr(codec.short, "entries", 3)
+    codec.short.clear()
+    texts = ["", " \t", "İstanbul ȺBC ΑΣ e\u0301 <|endoftext|>x<|startoftext|>", "One two three four five one two", "naïve ÉCOLE \u1e9e \ua7cb don't 12"]
+    for text in texts * 2:
+        assert codec.encode_short(text) == codec.encode(text).astype("<u2").tobytes()
+        assert len(codec.short) <= 3
