@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import repeat
 
@@ -35,7 +35,9 @@ ITEMS, ITEM_BYTES = 256, 1 << 20
 PASSAGE, STRIDE = 32, 16
 COSINE = 0.3
 EXTRA_RANK = 64
-PIECE = 256  # strides of a text whose words are counted against the items at once
+GRAM, PAIRS = 4096, 1 << 18  # words of which a task sums all pairs, and pairs summed at once
+GROUP, ROWS = 1 << 15, 1 << 12  # words of short texts that are searched together, and their rows that are counted at once
+PIECE = 32  # strides of a text whose words are counted against the items at once
 SCHEMA = "doc_id long, item_id long, cosine double, begin int, common_words int, item_words int, answer_share double"
 
 _PLAIN = bytes(32 if chr(b) in "\t\n\v\f\r.,;:!?\"()[]{}|*#%$&<>/\\~`^=+" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -122,6 +124,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[Block]:
 def _passages(texts: DataFrame, block: Block) -> DataFrame:
     """The distinct passages as sorted lists of terms, with repetitions; a passage without a known word is an empty list."""
 
+    width = len(block.vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[bytes, np.ndarray] = {}
@@ -130,10 +134,11 @@ def _passages(texts: DataFrame, block: Block) -> DataFrame:
                 for a in range(0, len(words), PASSAGE):
                     digest = hashlib.blake2b(b" ".join(words[a : a + PASSAGE]), digest_size=16).digest()
                     if digest not in rows:
-                        own = terms[a : a + PASSAGE]
-                        rows[digest] = np.sort(own[own >= 0])
-            offsets = pa.array(np.cumsum([0, *map(len, rows.values())]), pa.int32())
-            terms = np.concatenate(list(rows.values())) if rows else np.zeros(0, np.int32)
+                        rows[digest] = terms[a : a + PASSAGE]
+            own = np.concatenate(list(rows.values())) if rows else np.zeros(0, np.int32)
+            passage = np.repeat(np.arange(len(rows)), [len(r) for r in rows.values()])[own >= 0]
+            terms = np.sort(passage * width + own[own >= 0]) % width if width else own
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(passage, minlength=len(rows)))), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(terms, pa.int32()))], names=["digest", "terms"])
 
     return stored(texts.mapInArrow(run, "digest binary, terms array<int>").dropDuplicates(["digest"]).select("terms"), "passages")
@@ -171,16 +176,53 @@ def _weigh(rows: DataFrame, block: Block) -> None:
     block.unknown = float(np.average(block.weight, weights=frequency if frequency.any() else None))
 
 
+class _Pairs:
+    """Sums of a' a over rows of a task, a word with a word, taken times a basis at the end."""
+
+    def __init__(self, words: int):
+        self.words, self.sums = words, np.zeros(words * (words + 1) // 2)
+
+    def add(self, terms: np.ndarray, values: np.ndarray, lengths: np.ndarray) -> None:
+        """Rows of ``lengths`` distinct, sorted terms."""
+        heads = np.cumsum(lengths) - lengths
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            of, upper = heads[lengths == n], np.tril_indices(n)
+            for a in range(0, len(of), step := max(1, PAIRS // len(upper[0]))):
+                at = of[a : a + step, None] + np.arange(n)
+                t, v = terms[at].astype(np.int64), values[at]
+                np.add.at(self.sums, ((t * (t + 1) // 2)[:, upper[0]] + t[:, upper[1]]).ravel(), (v[:, upper[0]] * v[:, upper[1]]).ravel())
+
+    def times(self, basis: np.ndarray) -> np.ndarray:
+        out = np.zeros(basis.shape, np.float32)
+        for a in range(0, self.words, 256):
+            b = min(a + 256, self.words)
+            lower = np.zeros((b - a, b), np.float32)
+            for t in range(a, b):
+                lower[t - a, : t + 1] = self.sums[t * (t + 1) // 2 : (t + 1) * (t + 2) // 2]
+            out[a:b] += lower @ basis[:b]
+            lower[np.arange(b - a), np.arange(a, b)] = 0
+            out[:b] += lower.T @ basis[a:b]
+        return out
+
+
 def _times_itself(rows: DataFrame, block: Block, basis: np.ndarray) -> np.ndarray:
-    """Sum over passages of a' a basis; each task adds up its own rows."""
-    weight, width, tile = block.weight, basis.shape[1], 256
+    """Sum over passages of a' a basis; each task adds up its own rows.
+
+    Up to ``GRAM`` words a task sums the pairs of words of its passages, and multiplies once; a passage then costs the
+    square of its few known words. Above, where the pairs would not fit a task, every passage is multiplied by the basis.
+    """
+    weight, width, tile, few = block.weight, basis.shape[1], 256, len(block.vocabulary) <= GRAM
     small = basis.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(basis.shape, np.float32)
+        total, pairs = np.zeros(basis.shape, np.float32), _Pairs(len(basis)) if few else None
         for batch in batches:
             passage, terms, counts = _counts(batch.column(0))
-            offsets = np.append(0, np.cumsum(np.bincount(passage, minlength=batch.num_rows)))
+            held = np.bincount(passage, minlength=batch.num_rows)
+            if pairs:
+                pairs.add(terms, np.log1p(counts) * weight[terms], held)
+                continue
+            offsets = np.append(0, np.cumsum(held))
             for a in range(0, len(offsets) - 1, 256):  # what a step holds stays in the processor's cache
                 cut = offsets[a : a + 257]
                 t, c = terms[cut[0] : cut[-1]], counts[cut[0] : cut[-1]]
@@ -197,6 +239,8 @@ def _times_itself(rows: DataFrame, block: Block, basis: np.ndarray) -> np.ndarra
                 wide *= value[order][:, None]
                 first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
                 total[t[first]] += np.add.reduceat(wide, first, axis=0)
+        if pairs:
+            total = pairs.times(small)
         tiles = [i for i in range(0, len(total), tile) if total[i : i + tile].any()]
         yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.int32()), pa.array([total[i : i + tile].tobytes() for i in tiles], pa.binary())], names=["tile", "part"])
 
@@ -239,14 +283,26 @@ def _fit(texts: DataFrame, block: Block) -> None:
 
 
 def _find(texts: DataFrame, block: Block) -> DataFrame:
-    scaled = block.items / np.maximum(block.norms, 1e-9)[:, None]
+    # what a word adds to the cosine of a passage with each item, but for the passage's norm
+    pull = (block.space * block.weight.astype(np.float32)[:, None]) @ (block.items / np.maximum(block.norms, 1e-9)[:, None]).T.astype(np.float32)
+    plain = replace(block, space=None, items=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times = _occurrences(block)
+        search = Search(plain, pull)
         for batch in batches:
             out: list[tuple] = []
+            group, size = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += _hits(block, scaled, times, doc, text or b"")
+                words, terms = plain.terms(text or b"")
+                if not len(words) or terms.max() < 0:
+                    continue
+                if group and size + len(words) > GROUP:
+                    out += search.hits(group)
+                    group, size = [], 0
+                group.append((doc, words, terms))
+                size += len(words)
+            if group:
+                out += search.hits(group)
             columns = list(zip(*out)) if out else [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "cosine", "begin", "common_words", "item_words", "answer_share"])
@@ -264,96 +320,146 @@ def _occurrences(block: Block) -> np.ndarray:
     return times
 
 
-def _holding(block: Block, times: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """Places (passage * items + item) in stretches with 60 % of an item's words, for items of any weight.
+class Search:
+    """Leaks of a block's items in groups of documents.
 
-    A stretch is the fewest whole strides that hold any run of as many words as the item has.
-    Its words are counted with their occurrences in the item, so no such common subsequence is missed.
+    The words of a group are laid out in rows of ``STRIDE``, with empty rows between documents, so that no
+    passage or stretch crosses from one to the next. A passage is a row and the row behind it.
     """
-    sizes = np.array([len(w) for w in block.words])
-    needed, strides = -(-6 * sizes // 10), -(-(sizes - 1) // STRIDE) + 1
-    most, n = int(strides.max()), -(-len(terms) // STRIDE)
-    piece = max(PIECE, 2 * most)
-    found = []
-    for first in range(0, n, piece):
-        part = terms[first * STRIDE : (first + piece + most - 1) * STRIDE]
-        own, column = np.unique(part, return_inverse=True)
-        skip = int(len(own) > 0 and own[0] < 0)
-        own = own[skip:]
-        counts = times[own]
-        items = np.flatnonzero(np.add.reduce(counts, axis=0, dtype=times.dtype) >= needed)
-        if not len(items):
+
+    def __init__(self, block: Block, pull: np.ndarray):
+        # padding and unknown words have rows of their own at the end of every table
+        self.block, self.n_items, self.n_words = block, len(block.ids), len(block.vocabulary)
+        self.times = np.concatenate([_occurrences(block), np.zeros((2, self.n_items), np.uint16)])
+        self.by_item = np.ascontiguousarray(self.times.T).ravel()
+        self.pull = np.concatenate([pull, np.zeros((2, self.n_items), np.float32)])
+        self.most_pull = np.maximum(self.pull.max(axis=1), 0).astype(np.float64)
+        self.mass = np.concatenate([block.weight**2, [0, 0]])
+        self.square = np.concatenate([block.weight**2, [0, block.unknown**2]])
+        sizes = np.array([len(w) for w in block.words])
+        self.needed, self.strides = -(-6 * sizes // 10), -(-(sizes - 1) // STRIDE) + 1
+        self.longest = int(self.strides.max())
+
+    def held(self, rows: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Places (passage * items + item) in stretches with 60 % of an item's words, for items of any weight.
+
+        A stretch is the fewest whole strides that hold any run of as many words as the item has.
+        Its words are counted with their occurrences in the item, so no such common subsequence is missed.
+        Parts of texts, then their stretches, are ruled out by sums that can only be larger.
+        """
+        piece = max(PIECE, 2 * self.longest)
+        parts = [(f + a, min(piece, n - a), min(piece + self.longest - 1, n - a)) for f, n in zip(first.tolist(), counts.tolist()) for a in range(0, n, piece)]
+        begin, starts, length = (np.array(c) for c in zip(*parts))
+        width = len(self.times)
+        at = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
+        key = (np.repeat(np.arange(len(parts)), length)[:, None] * width + rows[at]).ravel()
+        key = np.unique(key[rows[at].ravel() < self.n_words])
+        part, term = np.divmod(key, width)
+        heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+        # a part's distinct words are bounded by its words; sums of an item's occurrences by the item's size
+        sums = np.stack([np.add.reduce(self.times[term[a:b]], axis=0, dtype=self.times.dtype) for a, b in zip(heads, np.append(heads[1:], len(part)))]) if len(heads) else np.zeros((0, self.n_items), self.times.dtype)
+        which, item = np.nonzero(sums >= self.needed)
+        which = part[heads][which]
+        found = []
+        ends = np.cumsum(length[which])
+        for some in np.split(np.arange(len(which)), np.searchsorted(ends, np.arange(ROWS, ends[-1], ROWS))) if len(which) else []:
+            if len(some):
+                found += self.stretches(rows, begin[which[some]], starts[which[some]], length[which[some]], item[some])
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def stretches(self, rows: np.ndarray, begin: np.ndarray, starts: np.ndarray, length: np.ndarray, item: np.ndarray) -> list[np.ndarray]:
+        """The places of parts, each with one item."""
+        offset = np.cumsum(length) - length
+        inside = np.arange(length.sum()) - np.repeat(offset, length)
+        at, own, end = np.repeat(begin, length) + inside, np.repeat(item, length), np.repeat(offset + length, length)
+        sums = np.append(0, np.cumsum(self.by_item.take(own[:, None] * len(self.times) + rows[at]).sum(axis=1, dtype=np.int64)))
+        here = np.arange(len(at))
+        enough = sums[np.minimum(here + self.strides[own], end)] - sums[here] >= self.needed[own]
+        enough &= inside < np.repeat(starts, length)
+        at, own, left = at[enough], own[enough], (end - here)[enough]
+        found = []
+        for n in np.unique(self.strides[own]).tolist():
+            some = self.strides[own] == n
+            for a in range(0, int(some.sum()), step := max(1, ROWS // n)):
+                s, i, most = at[some][a : a + step], own[some][a : a + step], left[some][a : a + step]
+                row = np.minimum(np.arange(n), most[:, None] - 1) + s[:, None]  # the last row of a text again, which adds nothing
+                terms = np.sort(rows[row].reshape(len(s), -1), axis=1)
+                terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = self.n_words
+                good = self.by_item.take(i[:, None] * len(self.times) + terms).sum(axis=1, dtype=np.int64) >= self.needed[i]
+                found += [(s[good] + k) * self.n_items + i[good] for k in range(max(n - 1, 1))]
+        return found
+
+    def cosines(self, rows: np.ndarray, passages: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        terms = np.sort(np.concatenate([rows[passages], rows[passages + 1]], axis=1), axis=1)
+        known = (terms < self.n_words).sum(axis=1)
+        latent = np.zeros((len(passages), self.n_items), np.float32)
+        for j in range(int(known.max(initial=0))):
+            more = np.flatnonzero(known > j)
+            latent[more] += self.pull[terms[more, j]]
+        return latent / norm[:, None]
+
+    def hits(self, group: list[tuple]) -> Iterator[tuple]:
+        """Rows of the result for ``(doc_id, words, terms)`` of some documents."""
+        counts = np.array([-(-len(words) // STRIDE) for _, words, _ in group])
+        step = counts + max(self.longest - 1, 1)
+        first = np.cumsum(step) - step
+        flat = np.full(int(step.sum()) * STRIDE, -2, np.int32)
+        for f, (_, words, terms) in zip(first.tolist(), group):
+            flat[f * STRIDE : f * STRIDE + len(words)] = terms
+        flat[flat < 0] += self.n_words + 2
+        rows = flat.reshape(-1, STRIDE)
+        held = self.held(rows, first, counts)
+        both = lambda table: (one := table[rows].sum(axis=1)) + np.append(one[1:], 0)
+        norm, known = np.sqrt(both(self.square)), (rows < self.n_words).any(axis=1)
+        own = known | np.append(known[1:], False)
+        own &= np.repeat(np.tile([True, False], len(group)), np.stack([counts, step - counts], axis=1).ravel())
+        held = held[own[held // self.n_items]]
+        # a projection is no longer than what it projects, and no item is pulled to more than by the most that each word can
+        near = own & (both(self.mass) >= (COSINE * norm) ** 2) & (both(self.most_pull) >= (COSINE - 1e-3) * norm)
+        held_in = np.unique(held // self.n_items)
+        latent = near.copy()
+        latent[held_in] = True
+        use = np.flatnonzero(latent)
+        cells, scores = [], []
+        for a in range(0, len(use), 1024):
+            some = use[a : a + 1024]
+            cosine = self.cosines(rows, some, norm[some])
+            close = cosine >= COSINE
+            mine = held[np.searchsorted(held, some[0] * self.n_items) : np.searchsorted(held, (some[-1] + 1) * self.n_items)]
+            close[np.searchsorted(some, mine // self.n_items), mine % self.n_items] = True
+            at, which = np.nonzero(close)
+            cells.append(some[at] * self.n_items + which)
+            scores.append(cosine[at, which])
+        best: dict[tuple[int, int], list] = {}
+        if cells:
+            place, which = np.divmod(np.concatenate(cells), self.n_items)
+            doc = np.searchsorted(first, place, side="right") - 1
+            for d, i, begin, score in zip(doc.tolist(), which.tolist(), ((place - first[doc]) * STRIDE).tolist(), np.concatenate(scores).tolist()):
+                best.setdefault((d, i), []).append((begin, score))
+        for (d, i), places in best.items():
+            yield from _leak(self.block, i, places, group[d])
+
+
+def _leak(block: Block, i: int, places: list[tuple[int, float]], document: tuple) -> Iterator[tuple]:
+    """The strongest leak of an item around passages of a document, in order of place."""
+    doc, words, _ = document
+    item = block.words[i]
+    reach = len(item)
+    found = None
+    stop = -1
+    for begin, _ in places:  # neighbouring passages are one stretch
+        if begin + PASSAGE + reach <= stop:
             continue
-        known = np.flatnonzero(part >= 0)
-        holds = np.zeros((-(-len(part) // STRIDE), len(own)), bool)
-        holds[known // STRIDE, column[known] - skip] = True
-        for length in np.unique(strides[items]).tolist():
-            some = items[strides[items] == length]
-            stretch = holds.copy()
-            for k in range(1, min(length, len(holds))):
-                stretch[:-k] |= holds[k:]
-            at, which = np.nonzero(stretch[:piece].astype(np.float32) @ counts[:, some].astype(np.float32) >= needed[some])
-            for k in range(max(length - 1, 1)):
-                found.append((first + at + k) * len(sizes) + some[which])
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-
-
-def _hits(block: Block, scaled: np.ndarray, times: np.ndarray, doc: int | None, text: bytes) -> Iterator[tuple]:
-    words, terms = block.terms(text)
-    if not len(words):
-        return
-    known = terms >= 0
-    if not known.any():
-        return
-    held = _holding(block, times, terms)
-    value = np.where(known, block.weight[terms], block.unknown)
-    square = np.append(0, np.cumsum(value**2))
-    at = np.flatnonzero(known)
-    steps = PASSAGE // STRIDE
-    window = (at // STRIDE)[:, None] - np.arange(steps)  # the passages that hold a word
-    term = np.repeat(terms[at], steps)
-    window = window.ravel()
-    term, window = term[window >= 0], window[window >= 0]
-    if not len(window):
-        return
-    order = np.argsort(window, kind="stable")
-    window, term = window[order], term[order]
-    heads = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
-    own, lengths = window[heads], np.diff(np.append(heads, len(window)))
-    norm = np.sqrt(square[np.minimum(own * STRIDE + PASSAGE, len(words))] - square[own * STRIDE])
-    mass = np.add.reduceat(block.weight[term] ** 2, heads)
-    # a projection is no longer than what it projects
-    use = np.flatnonzero((mass >= (COSINE * norm) ** 2) | np.isin(own, held // len(block.ids)))
-    best: dict[int, list] = {}
-    for a in range(0, len(use), 1024):
-        some = use[a : a + 1024]
-        picked = np.repeat(heads[some] - np.cumsum(lengths[some]) + lengths[some], lengths[some]) + np.arange(lengths[some].sum())
-        latent = np.add.reduceat(block.space[term[picked]] * block.weight[term[picked]].astype(np.float32)[:, None], np.cumsum(lengths[some]) - lengths[some], axis=0)
-        cosine = latent @ scaled.T / norm[some][:, None]
-        near = cosine >= COSINE
-        if len(held):
-            near |= np.isin(own[some][:, None] * len(block.ids) + np.arange(len(block.ids)), held)
-        for w, i in zip(*np.nonzero(near)):
-            begin = int(own[some[w]]) * STRIDE
-            best.setdefault(int(i), []).append((begin, float(cosine[w, i])))
-    for i, places in best.items():
-        item = block.words[i]
-        reach = len(item)
-        found = None
-        stop = -1
-        for begin, _ in places:  # neighbouring passages are one stretch
-            if begin + PASSAGE + reach <= stop:
-                continue
-            last = begin
-            for other, _ in places:
-                if last < other <= last + PASSAGE:
-                    last = other
-            stop = last + PASSAGE + reach
-            hit = leaks(item, block.answers[i], words[max(0, begin - reach) : stop])
-            if hit and (found is None or hit > found[1]):
-                found = (begin, hit)
-        if found:
-            yield doc, block.ids[i], max(c for _, c in places), found[0], found[1][0], len(item), found[1][1]
+        last = begin
+        for other, _ in places:
+            if last < other <= last + PASSAGE:
+                last = other
+        stop = last + PASSAGE + reach
+        hit = leaks(item, block.answers[i], words[max(0, begin - reach) : stop])
+        if hit and (found is None or hit > found[1]):
+            found = (begin, hit)
+    if found:
+        yield doc, block.ids[i], max(c for _, c in places), found[0], found[1][0], len(item), found[1][1]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

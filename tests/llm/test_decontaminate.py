@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import odd
 from conftest import SF_SMALL
 from lorewell.llm import decontaminate
@@ -105,6 +106,83 @@ def test_short_verbatim_items_of_everyday_words(spark):
     assert abs(block.unknown - unknown) < 1e-9 and abs(block.weight - weight).max() < 1e-9
 
 
+def fitted(spark, items, frame):
+    block = next(decontaminate._blocks(spark.createDataFrame([(*i, 1) for i in items], ITEMS)))
+    decontaminate._fit(frame.selectExpr("doc_id", "cast(text AS binary) AS text"), block)
+    return block
+
+
+def test_passages_are_multiplied_as_pairs_of_words(spark, monkeypatch):
+    items = [(j, odd.words(500 + j, 20)) for j in range(8)]
+    frame = spark.createDataFrame([(i, " ".join([odd.words(i % 50, 90), items[i % 8][1][: i % 70], items[i % 5][1]]), "s", 1, 2) for i in range(200)], DOCS)
+    block = next(decontaminate._blocks(spark.createDataFrame([(*i, 1) for i in items], ITEMS)))
+    rows = decontaminate._passages(frame.selectExpr("doc_id", "cast(text AS binary) AS text"), block)
+    decontaminate._weigh(rows, block)
+    a = np.zeros((rows.count(), len(block.vocabulary)))
+    for i, r in enumerate(rows.collect()):
+        assert r.terms == sorted(r.terms)
+        terms, counts = np.unique(np.array(r.terms, int), return_counts=True)
+        a[i, terms] = np.log1p(counts) * block.weight[terms]
+    basis = np.random.default_rng(3).standard_normal((a.shape[1], 12))
+    pairs = []
+    add = decontaminate._Pairs.add
+    monkeypatch.setattr(decontaminate._Pairs, "add", lambda self, *args: pairs.append(len(args[0])) or add(self, *args))
+    one = decontaminate._Pairs(a.shape[1])
+    column = rows.toArrow().column(0).combine_chunks()
+    passage, terms, counts = decontaminate._counts(column)
+    one.add(terms, np.log1p(counts) * block.weight[terms], np.bincount(passage, minlength=len(column)))
+    assert pairs and np.allclose(one.times(basis.astype(np.float32)), a.T @ (a @ basis), rtol=1e-4, atol=1e-3)
+    for most in (4096, 0):
+        monkeypatch.setattr(decontaminate, "GRAM", most)
+        assert np.allclose(decontaminate._times_itself(rows, block, basis), a.T @ (a @ basis), rtol=1e-4, atol=1e-3)
+
+
+def test_groups_of_documents_are_searched_as_each_alone(spark, monkeypatch):
+    rnd = random.Random(8)
+    items = [(j, odd.words(500 + j, n)) for j, n in enumerate((1, 5, 16, 17, 40, 70))]
+    common = " ".join(i[1] for i in items).split()
+    docs = []
+    for i in range(60):
+        words = [rnd.choice(common) if rnd.random() < 0.5 else odd.words(9000 + k + 100 * i, 1) for k in range(rnd.choice((3, 16, 33, 150, 900)))]
+        at = rnd.randrange(len(words))
+        leak = items[i % 6][1].split()
+        words[at:at] = leak if i % 3 else leak[: len(leak) * 2 // 3]
+        docs.append((i, " ".join(words), "s", 1, 2))
+    block = fitted(spark, items, spark.createDataFrame(docs, DOCS))
+    pull = (block.space * block.weight[:, None]) @ (block.items / block.norms[:, None]).T
+    search = decontaminate.Search(block, pull.astype(np.float32))
+    group = [(i, *block.terms(text.encode())) for i, text, *_ in docs]
+    places = {}
+    leak = decontaminate._leak
+    monkeypatch.setattr(decontaminate, "_leak", lambda b, i, p, d: places.update({(d[0], i): p}) or leak(b, i, p, d))
+    together = sorted(search.hits(group))
+    want = {}
+    for doc, words, terms in group:
+        for j, item in enumerate(block.words):
+            held = set()
+            length = -(-(len(item) - 1) // decontaminate.STRIDE) + 1
+            for s in range(0, len(words), 16):
+                found = set(words[s : s + 16 * length])
+                if 10 * sum(w in found for w in item) >= 6 * len(item):
+                    held |= {s + 16 * k for k in range(max(length - 1, 1))}
+            for s in range(0, len(words), 16):
+                own = terms[s : s + 32]
+                if (own < 0).all():
+                    continue
+                mass = (block.weight[own[own >= 0]] ** 2).sum()
+                norm = np.sqrt(mass + block.unknown**2 * (own < 0).sum())
+                cosine = pull[own[own >= 0], j].sum() / norm
+                if s in held or (cosine >= 0.3 and mass >= (0.3 * norm) ** 2):
+                    want.setdefault((doc, j), []).append((s, cosine))
+    assert want and {k: [s for s, _ in p] for k, p in places.items()} == {k: [s for s, _ in p] for k, p in want.items()}
+    assert all(abs(x[1] - y[1]) < 1e-4 for k in want for x, y in zip(want[k], places[k]))
+    assert {(i, i % 6) for i in range(60) if i % 3} <= {(h[0], h[1]) for h in together}
+    for rows, piece in ((1, 32), (1 << 12, 2)):  # how much is counted at once changes nothing
+        monkeypatch.setattr(decontaminate, "ROWS", rows)
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        assert sorted(h for d in group for h in search.hits([d])) == together
+
+
 def test_common_subsequence():
     assert decontaminate.common_subsequence([b"a", b"b", b"c", b"b"], [b"b", b"x", b"c", b"a", b"b"]) == 3
     assert decontaminate.common_subsequence([b"a"], []) == 0
