@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewell.functions.batches import small_batches
 from lorewell.llm.common import stored
 from lorewell.llm.components import components
 from lorewell.llm.repeats import Units, _mix, gram_hashes
@@ -96,7 +97,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id, n, set_key, sketch`` per row; the last two are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [shingles(t or b"") for t in batch.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             sketch = dict(zip(full, registers([sets[i] for i in full])))
@@ -139,7 +140,7 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     """The pairs ``a, b`` that hold the limit on full sets."""
 
     def probable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             if batch.num_rows:
                 one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in (2, 3))
                 keep = keep_pair(one, two, batch.column(4).to_numpy().astype(float), batch.column(5).to_numpy().astype(float), percent)
@@ -206,26 +207,35 @@ def _common(crowded: DataFrame, sets: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def _places(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The first M + 1 places of every class's difference, rarest first; ``d`` is the size of the whole difference."""
+    """The first M + 1 places of every class's difference, rarest first, in one row; ``d`` is the size of the whole difference."""
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ranked, places = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for at, (own, base, common) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)))):
-                n, apart = _differences(own, base)
+            kept, sizes, first = [], [], []
+            for at in range(batch.num_rows):  # nothing but one row's difference is held beside the batch
+                n, apart = _differences(*(batch.column(c)[at].as_buffer() for c in (3, 4)))
                 if not len(apart):
                     continue
+                if (group := batch.column(2)[at].as_py()) != last:
+                    common = batch.column(5)[at].values
+                    told = np.zeros(0, np.int64) if common is None else common.to_numpy()
+                    last, places = group, np.argsort(told)
+                    ranked = told[places]
                 rank = np.full(len(apart), -1)
-                if common:
-                    _, here, there = np.intersect1d(apart, np.array(common, np.int64), assume_unique=True, return_indices=True)
-                    rank[here] = there
-                first = apart[np.lexsort((apart, rank))[: n * (100 - percent) // percent + 1]]
-                same = pa.array(np.full(len(first), at), pa.int32())
-                sizes = [pa.array(np.full(len(first), v), pa.int32()) for v in (n, len(apart))]
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(same) for c in range(3)] + [pa.array(first), *sizes, pa.array(np.arange(1, len(first) + 1), pa.int32())], names=["class_id", "root", "large", "item", "n", "d", "place"])
+                if len(ranked):
+                    near = np.minimum(np.searchsorted(ranked, apart), len(ranked) - 1)
+                    rank = np.where(ranked[near] == apart, places[near], -1)
+                kept.append(at)
+                sizes.append((n, len(apart)))
+                first.append(apart[np.lexsort((apart, rank))[: n * (100 - percent) // percent + 1]])
+            items = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
+            n, d = (pa.array([size[k] for size in sizes], pa.int32()) for k in range(2))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in range(3)] + [n, d, items], names=["class_id", "root", "large", "n", "d", "items"])
 
     base = sets.select(F.col("class_id").alias("large"), F.col("items").alias("base"))
     both = crowded.where("class_id <> large").join(sets, "class_id").join(base, "large").join(_common(crowded, sets, base), "large", "left")
-    return stored(both.select("class_id", "root", "large", "items", "base", "common").mapInArrow(differ, "class_id long, root long, large long, item long, n int, d int, place int"), "places")
+    return stored(both.select("class_id", "root", "large", "items", "base", "common").mapInArrow(differ, "class_id long, root long, large long, n int, d int, items array<long>"), "places")
 
 
 def _rare_meet(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -246,14 +256,18 @@ def _rare_meet(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     apart = _places(crowded, sets, percent)
     least = apart.groupBy("large").agg(F.min("d").alias("least"))
     most = F.floor(F.col("n") * (100 - percent) / percent)
-    bound = F.floor((most + F.least(most, F.col("d") - F.col("least"))) / 2) + 1
-    ranked = apart.join(least, "large").where(F.col("place") <= bound).withColumn("first", F.col("place") <= F.floor(most / 2) + 1)
-    side = lambda end: ranked.select("large", "item", "first", F.col("root").alias(f"root_{end}"), F.col("class_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}"), F.col("place").alias(f"place_{end}"))
+    # classes meet their group's least before they are taken apart into places
+    sized = stored(apart.join(least, "large").withColumn("first", F.floor(most / 2) + 1).withColumn("bound", F.floor((most + F.least(most, F.col("d") - F.col("least"))) / 2) + 1), "places")
+
+    def side(end: str, bound: str) -> DataFrame:
+        own = [F.col("root").alias(f"root_{end}"), F.col("class_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("d").alias(f"d_{end}")]
+        return sized.select("large", *own, F.posexplode(F.slice("items", F.lit(1), F.col(bound).cast("int"))).alias(f"place_{end}", "item")).withColumn(f"place_{end}", F.col(f"place_{end}") + 1)
+
     apart_most = F.floor((F.col("n_x") + F.col("n_y")) * (100 - percent) / (100 + percent))
     shared = F.ceil((F.col("d_x") + F.col("d_y") - apart_most) / 2)
     possible = (shared > 0) & (F.col("place_x") <= F.col("d_x") - shared + 1) & (F.col("place_y") <= F.col("d_y") - shared + 1) & (F.col("root_x") != F.col("root_y"))
     # x is the class with the smaller difference; of two components one is not the largest
-    met = side("x").where("first").drop("first").join(side("y").drop("first"), ["large", "item"]).where(F.struct("d_x", "x") < F.struct("d_y", "y")).where(possible)
+    met = side("x", "first").join(side("y", "bound"), ["large", "item"]).where(F.struct("d_x", "x") < F.struct("d_y", "y")).where(possible)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(
         crowded.where("root <> large").select(F.least("class_id", "large").alias("a"), F.greatest("class_id", "large").alias("b"))).distinct()
 

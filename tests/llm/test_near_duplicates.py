@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
@@ -119,3 +120,46 @@ def test_crowded_classes_bring_a_bounded_part_of_their_difference(spark):
         got = {(r.a, r.b) for r in near_duplicates._rare_meet(crowded, held, percent).collect()}
         pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * (s := len(np.intersect1d(sets[a], sets[b]))) >= percent * (len(sets[a]) + len(sets[b]) - s)]
         assert pairs and {(b, a) for a, b in pairs} <= got
+
+
+def test_places_stay_with_their_class_until_its_bound_is_known(spark):
+    rnd = np.random.default_rng(9)
+    sets = [np.unique(rnd.choice(2**62, 120, replace=False).astype(np.uint64))]
+    for i in range(60):
+        own = sets[0].copy()
+        own[rnd.choice(120, 50 + i % 9, replace=False)] = 5 + i % 9 + np.arange(50 + i % 9, dtype=np.uint64)
+        sets.append(np.unique(own))
+    held = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "class_id long, items binary")
+    crowded = spark.createDataFrame([(i, i % 2 * i, 0) for i in range(len(sets))], "class_id long, root long, large long")
+    rows = near_duplicates._places(crowded, held, 80).collect()
+    assert sorted(r.class_id for r in rows) == list(range(1, 61))  # one row each
+    base = set(sets[0].view(np.int64).tolist())
+    for r in rows:
+        own = set(sets[r.class_id].view(np.int64).tolist())
+        apart = {*own - base, *(~i for i in base - own)}
+        assert (r.n, r.d) == (len(own), len(apart)) and len(r["items"]) == len(set(r["items"])) == min(len(apart), r.n * 20 // 80 + 1) and set(r["items"]) <= apart
+
+
+def test_sketches_are_taken_apart_a_few_rows_at_a_time(spark, monkeypatch):
+    most = []
+    sketch = near_duplicates.registers
+    runs = []
+
+    class Frame:
+        """Keeps the function that a task would run."""
+
+        def __init__(self, frame):
+            self.frame = frame
+
+        def mapInArrow(self, run, schema):
+            runs.append(run)
+            return self.frame
+
+    docs = spark.createDataFrame([(i, odd.words(i, 12)) for i in range(900)], "doc_id long, text string")
+    monkeypatch.setattr(near_duplicates, "_source", lambda frame: Frame(frame))
+    near_duplicates.signatures(docs)
+    monkeypatch.setattr(near_duplicates, "registers", lambda sets: most.append(len(sets)) or sketch(sets))
+    batch = pa.record_batch([pa.array(range(900)), pa.array([odd.words(i, 12).encode() for i in range(900)], pa.binary())], names=["doc_id", "text"])
+    out = pa.Table.from_batches(runs[0](iter([batch])))
+    assert max(most) <= 256 and out.num_rows == 900 and out.column("doc_id").to_pylist() == list(range(900))
+    assert out.column("sketch").to_pylist() == [s.tobytes() for s in sketch([near_duplicates.shingles(odd.words(i, 12).encode()) for i in range(900)])]
